@@ -262,14 +262,14 @@ def sub_task_name(c: str = "sub_task") -> Column:
     return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
 
 
+def _times(category: str) -> Column:
+    """How often a record names a category."""
+    return F.size(F.filter("error_categories", lambda x: x == category))
+
+
 def error_distribution(errors: DataFrame) -> DataFrame:
     """Count and share of errors per category; the six fixed categories, zeros included."""
-    hits = [
-        F.coalesce(
-            F.sum(F.size(F.filter("error_categories", lambda x, c=c: x == c))), F.lit(0)
-        ).cast("long").alias(c)
-        for c in ERROR_CATEGORIES
-    ]
+    hits = [F.coalesce(F.sum(_times(c)), F.lit(0)).cast("long").alias(c) for c in ERROR_CATEGORIES]
     one = errors.agg(F.count(F.lit(1)).alias("n"), *hits)
     rows = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("errors")) for c in ERROR_CATEGORIES])
     return one.select("n", F.explode(rows).alias("r")).select(
@@ -280,10 +280,7 @@ def error_distribution(errors: DataFrame) -> DataFrame:
 
 def error_distribution_by(errors: DataFrame, by: str = "sub_task") -> DataFrame:
     """``error_distribution`` per sub-task."""
-    counts = [
-        F.sum(F.size(F.filter("error_categories", lambda x, c=c: x == c))).cast("long").alias(c)
-        for c in ERROR_CATEGORIES
-    ]
+    counts = [F.sum(_times(c)).cast("long").alias(c) for c in ERROR_CATEGORIES]
     per = errors.groupBy(sub_task_name(by).alias(by)).agg(F.count(F.lit(1)).alias("n"), *counts)
     rows = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("errors")) for c in ERROR_CATEGORIES])
     return per.select(by, "n", F.explode(rows).alias("r")).select(

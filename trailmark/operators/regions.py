@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.functions.numbers import stable_round
 from trailmark.operators.skew import TARGET_ROWS, row_number, running
 
 CELL = 64  # side of a grid cell in pixels
@@ -77,9 +78,9 @@ def region_properties(
 ) -> DataFrame:
     """Brightness, contrast and saturation per region, 4 decimals."""
     measures = {
-        "brightness": F.round(F.avg("_lum") / 255.0, 4),
-        "contrast": F.round(F.stddev_pop("_lum") / 255.0, 4),
-        "saturation": F.round(F.avg("_sat"), 4),
+        "brightness": stable_round(F.avg("_lum") / 255.0, 4),
+        "contrast": stable_round(F.stddev_pop("_lum") / 255.0, 4),
+        "saturation": stable_round(F.avg("_sat"), 4),
     }
     picked = (
         pixels_in_regions(pixels, regions, cell)
@@ -95,9 +96,9 @@ def image_properties(pixels: DataFrame) -> DataFrame:
     lit = pixels.select("image_id", luminance().alias("_lum"), saturation().alias("_sat"))
     return lit.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n_pixels"),
-        F.round(F.avg("_lum") / 255.0, 4).alias("brightness"),
-        F.round(F.stddev_pop("_lum") / 255.0, 4).alias("contrast"),
-        F.round(F.avg("_sat"), 4).alias("saturation"),
+        stable_round(F.avg("_lum") / 255.0, 4).alias("brightness"),
+        stable_round(F.stddev_pop("_lum") / 255.0, 4).alias("contrast"),
+        stable_round(F.avg("_sat"), 4).alias("saturation"),
     )
 
 
@@ -114,9 +115,9 @@ def region_depth(depth: DataFrame, regions: DataFrame, cell: int = CELL) -> Data
     )
     return per.join(top, "image_id").select(
         "image_id", "region_id",
-        F.round(F.col("_top") - F.col("_avg"), 4).alias("mean_depth"),
-        F.round(F.col("_top") - F.col("_max"), 4).alias("min_depth"),
-        F.round(F.col("_top") - F.col("_min"), 4).alias("max_depth"),
+        stable_round(F.col("_top") - F.col("_avg"), 4).alias("mean_depth"),
+        stable_round(F.col("_top") - F.col("_max"), 4).alias("min_depth"),
+        stable_round(F.col("_top") - F.col("_min"), 4).alias("max_depth"),
     )
 
 

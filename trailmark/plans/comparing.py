@@ -39,16 +39,17 @@ def backfill_report(spark, d):
 
 
 @query("apply_outcomes", B.sql("traces", "run_b", body="""
-SELECT t.task_id, coalesce(r.is_correct, t.is_correct) AS is_correct,
+SELECT t.task_id, coalesce(coalesce(r.is_correct, t.is_correct)::VARCHAR, 'missing') AS is_correct,
   coalesce(CASE WHEN r.is_correct THEN r.ground_truth END, t.ground_truth) AS ground_truth
 FROM traces t LEFT JOIN run_b r ON t.dataset_id = r.idx::VARCHAR"""))
 def apply_outcomes(spark, d):
     out = C.apply_outcomes(B.traces(spark, d), _union(B.runs(spark, d)[1]))
-    return out.select("task_id", "is_correct", "ground_truth")
+    ok = F.coalesce(F.col("is_correct").cast("string"), F.lit("missing"))
+    return out.select("task_id", ok.alias("is_correct"), "ground_truth")
 
 
 @query("attach_annotations", B.sql("event_entries", body="""
-SELECT e.task_id, e.event_id, e.state_index, coalesce(a.q, 5) AS q_value, coalesce(a.x, '') AS experience
+SELECT e.task_id, e.event_id, e.state_index, coalesce(a.q, 5)::BIGINT AS q_value, coalesce(a.x, '') AS experience
 FROM event_entries e LEFT JOIN (
   SELECT user_id, label_state, arg_max(q, event_id) AS q, arg_max(x, event_id) AS x FROM (
     SELECT user_id, event_id, event_id % 40 AS label_state, (floor(value)::BIGINT % 11)::INT AS q, props AS x FROM events) GROUP BY 1, 2
@@ -249,7 +250,7 @@ def comparison_report(spark, d):
 
 
 @query("error_report_cases", B.sql("errors", body="""
-SELECT st AS sub_task, case_no, line, text FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY idx) AS case_no FROM errors),
+SELECT st AS sub_task, case_no, line::BIGINT AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY idx) AS case_no FROM errors),
   LATERAL (SELECT unnest(['#### #' || case_no || ' [idx=' || idx || ']', '- **Ground Truth**: ' || ground_truth || ' | **Predicted**: ' || predicted,
       '- **Categories**: ' || CASE WHEN len(cats) = 0 THEN 'N/A' ELSE array_to_string(cats, ', ') END]) AS text, unnest([0, 3, 4]) AS line)"""))
 def error_report_cases(spark, d):

@@ -46,9 +46,9 @@ def state_history(spark, d):
 
 @query("state_history_in_ranges", _HISTORY)
 def state_history_in_ranges(spark, d):
-    """The same with every user cut into ranges of about 15 events."""
-    t = T.step_trajectory(B.step_events(spark, d), axes=B.micros(), target_rows=15)
-    out = T.state_history(t, axes=B.micros(), target_rows=15)
+    """The same with every user cut into ranges of at most 40 events."""
+    t = T.step_trajectory(B.step_events(spark, d), axes=B.micros(), target_rows=40)
+    out = T.state_history(t, axes=B.micros(), target_rows=40)
     return out.select("task_id", "event_id", "state_index", "n_observations", "observation_chars")
 
 
@@ -157,15 +157,15 @@ def next_step(spark, d):
 
 
 @query("attach_retrieval_logs", B.sql("steps", body="""
-SELECT task_id, pos, pos + 2 AS step, nxt + 1 AS follows, coalesce(pos + 1 = nxt, false) AS consistent FROM (
+SELECT task_id, pos, pos + 2 AS step, coalesce(nxt + 1, -1) AS follows, coalesce(pos + 1 = nxt, false) AS consistent FROM (
   SELECT *, min(CASE WHEN code <> 5 THEN pos END) OVER (PARTITION BY task_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt
   FROM steps) WHERE code = 5"""))
 def attach_retrieval_logs(spark, d):
-    return T.attach_retrieval_logs(B.traces(spark, d)).select("task_id", "pos", "step", "follows", "consistent")
+    return T.attach_retrieval_logs(B.traces(spark, d)).select("task_id", "pos", "step", F.coalesce("follows", F.lit(-1)).alias("follows"), "consistent")
 
 
 @query("rounds_of_states", B.sql("steps", body="""
-SELECT l.task_id, l.pos + 2 AS step, 1 AS round, 'question' AS view, 1 AS n_experiences, s.type, s.tool
+SELECT l.task_id, l.pos + 2 AS step, 1::BIGINT AS round, 'question' AS view, 1::BIGINT AS n_experiences, s.type, s.tool
 FROM steps l JOIN steps s ON l.task_id = s.task_id AND s.pos = l.pos + 1 WHERE l.code = 5 AND s.code <> 5"""))
 def rounds_of_states(spark, d):
     t = B.traces(spark, d)
@@ -218,7 +218,7 @@ def non_empty_trajectories(spark, d):
 
 
 @query("prune_message_images", B.sql("messages", body="""
-SELECT m.conv_id, m.turn, m.role, CASE WHEN touched THEN has_text::INT ELSE has_text::INT + has_image::INT + has_video::INT END AS n_parts,
+SELECT m.conv_id, m.turn, m.role, (CASE WHEN touched THEN has_text::INT ELSE has_text::INT + has_image::INT + has_video::INT END)::BIGINT AS n_parts,
   (has_image AND NOT touched) AS keeps_image
 FROM (SELECT m.*, m.role = 'user' AND m.turn IS DISTINCT FROM l.latest AS touched FROM messages m LEFT JOIN (
     SELECT conv_id, max(turn) AS latest FROM messages WHERE role = 'user' AND has_image GROUP BY conv_id) l ON m.conv_id = l.conv_id) m

@@ -39,7 +39,7 @@ def local_session(cores: str = "8", app: str = "trailmark", memory: str = "8g")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
