@@ -24,5 +24,6 @@ def l2_normalize(a: Column | str) -> Column:
     return F.transform(col(a), lambda x: x.cast("double") / length)
 
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    return dot(a, b) / ((norm(a) + F.lit(NORM_EPSILON)) * (norm(b) + F.lit(NORM_EPSILON)))
+def plain_cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine without the epsilon; null for a zero vector."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))

@@ -39,6 +39,19 @@ def _order(lines: DataFrame) -> DataFrame:
     return lines.orderBy("section", "sub_task", "part", "case_no", "line")
 
 
+def _has_sub_tasks(records: DataFrame) -> bool:
+    """False when there are records and none names a sub-task: then the cases form one flat list."""
+    named = sub_task_name() != "Unknown"
+    return records.where(named).limit(1).count() > 0 or records.limit(1).count() == 0
+
+
+def _case_mark(nested: bool) -> Column:
+    return F.concat(
+        F.lit("#### #" if nested else "### #"), F.col("case_no").cast("string"),
+        F.lit(" [idx="), F.col("idx").cast("string"), F.lit("]"),
+    )
+
+
 def _category_rank() -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in ERROR_CATEGORIES]), F.col("category")).cast("long")
 
@@ -50,6 +63,7 @@ def error_report(errors: DataFrame, total: int, generated: str = "") -> DataFram
     and ``src_pos``.
     """
     none, zero = F.lit(""), F.lit(0)
+    nested = _has_sub_tasks(errors)
     n = errors.agg(F.count(F.lit(1)).alias("n"))
     head = _lines(n, 0, none, 0, zero, [
         F.lit("# Error Analysis Report\n"), F.lit("| Metric | Value |"), F.lit("|--------|-------|"),
@@ -83,7 +97,7 @@ def error_report(errors: DataFrame, total: int, generated: str = "") -> DataFram
     sec_cases = _lines(overview, 6, F.col("sub_task"), 2, zero, [none, F.lit("### Cases\n")])
     cats = F.coalesce(F.nullif(F.array_join("error_categories", ", "), none), F.lit("N/A"))
     cases = _lines(number_cases(errors), 6, F.col("_st"), 3, F.col("case_no"), [
-        F.concat(F.lit("#### #"), F.col("case_no").cast("string"), F.lit(" [idx="), F.col("idx").cast("string"), F.lit("]")),
+        _case_mark(nested),
         F.concat(F.lit("- **Question**: "), F.col("question")),
         F.concat(F.lit("- **Images**: "), F.array_join("image_paths", ", ")),
         F.concat(F.lit("- **Ground Truth**: "), F.col("ground_truth"), F.lit(" | **Predicted**: "), F.col("predicted")),
@@ -91,7 +105,9 @@ def error_report(errors: DataFrame, total: int, generated: str = "") -> DataFram
         F.concat(F.lit("- **Analysis**: "), F.col("analysis")),
         none,
     ])
-    parts = [table, note, over_head, over, gap, sec_head, sec_table, sec_cases, cases]
+    flat_head = _lines(n, 5, none, 0, zero, [F.lit("## Case Details\n")])
+    sections = [over_head, over, gap, sec_head, sec_table, sec_cases] if nested else [flat_head]
+    parts = [table, note, *sections, cases]
     out = head
     for p in parts:
         out = out.unionByName(p)
@@ -101,6 +117,7 @@ def error_report(errors: DataFrame, total: int, generated: str = "") -> DataFram
 def comparison_report(records: DataFrame, total: int, generated: str = "") -> DataFrame:
     """Comparison report lines in order; ``records`` has compare records and ``src_pos``."""
     none, zero = F.lit(""), F.lit(0)
+    nested = _has_sub_tasks(records)
     wins = win_counts(records)
     text = lambda c: F.col(c).cast("string")
     head = _lines(wins, 0, none, 0, zero, [
@@ -111,8 +128,10 @@ def comparison_report(records: DataFrame, total: int, generated: str = "") -> Da
         F.concat(F.lit("| Direct wins | "), text("direct_wins"), F.lit(" |")),
         F.concat(F.lit("| Tool wins | "), text("tool_wins"), F.lit(" |")),
         F.lit(f"| Generated | {generated} |"), none,
-        F.lit("## Sub-task Overview\n"), F.lit("| Sub-task | Direct Wins | Tool Wins | Total |"),
-        F.lit("|----------|-------------|-----------|-------|"),
+        *([
+            F.lit("## Sub-task Overview\n"), F.lit("| Sub-task | Direct Wins | Tool Wins | Total |"),
+            F.lit("|----------|-------------|-----------|-------|"),
+        ] if nested else [F.lit("## Case Details\n")]),
     ])
     by = win_counts_by(records)
     over = _lines(by, 1, F.col("sub_task"), 0, zero, [
@@ -127,7 +146,7 @@ def comparison_report(records: DataFrame, total: int, generated: str = "") -> Da
     ])
     verdict = lambda c: F.when(F.col(c), "correct").otherwise("wrong")
     cases = _lines(number_cases(records), 3, F.col("_st"), 1, F.col("case_no"), [
-        F.concat(F.lit("#### #"), text("case_no"), F.lit(" [idx="), text("idx"), F.lit("] — "),
+        F.concat(_case_mark(nested), F.lit(" — "),
                  F.when(F.col("direct_is_correct"), "Direct").otherwise("Tool"), F.lit(" wins")),
         F.concat(F.lit("- **Question**: "), F.col("question")),
         F.concat(F.lit("- **Images**: "), F.array_join("image_paths", ", ")),
@@ -138,7 +157,8 @@ def comparison_report(records: DataFrame, total: int, generated: str = "") -> Da
         F.concat(F.lit("- **Explanation**: "), F.col("explanation")),
         none,
     ])
-    return _order(head.unionByName(over).unionByName(gap).unionByName(sec).unionByName(cases))
+    out = head.unionByName(over).unionByName(gap).unionByName(sec) if nested else head
+    return _order(out.unionByName(cases))
 
 
 def write_report(lines: DataFrame, path: str) -> None:

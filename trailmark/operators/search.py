@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from trailmark.config import RetrievalConfig
 from trailmark.functions.text import source_tag
-from trailmark.functions.vectors import NORM_EPSILON, cosine
+from trailmark.functions.vectors import NORM_EPSILON, plain_cosine
 from trailmark.functions.views import remaining_views, view_position
 from trailmark.operators.skew import TARGET_ROWS, Running, running
 from trailmark.schemas import FULL_VIEW, VIEWS
@@ -98,15 +98,16 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held.append(batch)
         size += len(batch)
         if size >= BANK_TILE:
-            yield pd.concat(held)
+            yield pd.concat(held, ignore_index=True)
             held, size = [], 0
     if size:
-        yield pd.concat(held)
+        yield pd.concat(held, ignore_index=True)
 
 
 def _hits(view: str, who: np.ndarray, rows: np.ndarray, scores: np.ndarray, min_score: float) -> pd.DataFrame:
     keep = scores >= min_score
-    return pd.DataFrame({"query_id": who[keep], "view": view, "bank_row": rows[keep], "score": scores[keep]})
+    views = pd.Series([view] * int(keep.sum()), dtype=object)
+    return pd.DataFrame({"query_id": who[keep], "view": views, "bank_row": rows[keep], "score": scores[keep]})
 
 
 def _flat(ids: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +184,7 @@ def candidates(
 
     def meet(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if q.empty or b.empty:
-            return pd.DataFrame({c: [] for c in ("query_id", "view", "bank_row", "score")})
+            return _hits(key[0], *[np.array([])] * 3, min_score)
         ids, unit = q["query_id"].to_numpy(), _unit(q["embedding"])
         if per_task:
             return _hits(key[0], *_block_best_per_task(ids, unit, b, width), min_score)
@@ -451,7 +452,7 @@ def to_log_entry(plan: DataFrame, hits: DataFrame) -> DataFrame:
 
 def similarity_scores(pairs: DataFrame) -> DataFrame:
     """Cosine of given (reference, candidate) pairs; ``similarity`` is rounded to 2 decimals."""
-    return pairs.withColumn("_s", F.round(cosine("ref_embedding", "embedding"), SCORE_DECIMALS)).withColumn(
+    return pairs.withColumn("_s", F.round(plain_cosine("ref_embedding", "embedding"), SCORE_DECIMALS)).withColumn(
         "similarity", F.round("_s", 2)
     )
 

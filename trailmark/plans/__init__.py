@@ -1,5 +1,5 @@
 """Test-table queries. Importing this package registers all of them."""
 
 from trailmark.plans import (  # noqa: F401
-    comparing, regions, scoring, sources, streams, traces, vectors,
+    building, comparing, regions, scoring, sources, streams, traces, vectors,
 )

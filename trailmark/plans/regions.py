@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import geometry as G
 from trailmark.functions import text as X
+from trailmark.functions.numbers import stable_round
 from trailmark.operators import regions as R
 from trailmark.plans import bindings as B
 from trailmark.plans.registry import query
@@ -18,11 +19,11 @@ SELECT r.image_id, r.region_id, p.depth, p.r * 0.299 + p.g * 0.587 + p.b * 0.114
 FROM pixels p JOIN regions r ON {_IN}""", ("pixels", "regions"))
 
 
-@query("pixels_in_regions", B.sql("inside", body="SELECT image_id, region_id, count(*) AS n_pixels, round(sum(depth), 4) AS depth FROM inside GROUP BY 1, 2"))
+@query("pixels_in_regions", B.sql("inside", body="SELECT image_id, region_id, count(*) AS n_pixels, round(round(sum(depth), 10) + 1e-12, 4) + 0.0 AS depth FROM inside GROUP BY 1, 2"))
 def pixels_in_regions(spark, d):
     p = R.pixels_in_regions(B.pixels(spark, d), B.regions(spark, d), cell=4)
     return p.groupBy("image_id", "region_id").agg(
-        F.count(F.lit(1)).alias("n_pixels"), F.round(F.sum("depth"), 4).alias("depth")
+        F.count(F.lit(1)).alias("n_pixels"), stable_round(F.sum("depth"), 4).alias("depth")
     )
 
 

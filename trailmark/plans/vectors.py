@@ -16,7 +16,7 @@ _DOT = "round(list_dot_product(q.v, b.v) / ((q.norm + 1e-8) * (b.norm + 1e-8)),
 
 
 @query("l2_normalize", B.sql("emb", body="""
-SELECT vec_id, round(norm / (norm + 1e-8), 6) AS length, round(v[1] / (norm + 1e-8), 6) AS first_value FROM emb"""))
+SELECT vec_id, round(norm / (norm + 1e-8), 6) AS length, round(v[1] / (norm + 1e-8), 6) + 0.0 AS first_value FROM emb"""))
 def l2_normalize(spark, d):
     unit = VX.l2_normalize("embedding")
     e = B.table(spark, d, "embeddings").select("vec_id", unit.alias("u"))
@@ -243,7 +243,7 @@ FROM (SELECT doc_id, md5('Question: ' || question || chr(10) || 'Task: ' || sub_
 
 
 @query("embed_texts", B.sql("hashed", body="""
-SELECT doc_id, len(e) AS dim, round(e[1]::DOUBLE, 5) AS first_value, round(e[16]::DOUBLE, 5) AS last_value FROM hashed"""))
+SELECT doc_id, len(e) AS dim, round(e[1]::DOUBLE, 5) + 0.0 AS first_value, round(e[16]::DOUBLE, 5) + 0.0 AS last_value FROM hashed"""))
 def embed_texts(spark, d):
     from trailmark.functions.text import index_text
 
@@ -278,7 +278,7 @@ def retrieve_trace_experience(spark, d):
 
 
 @query("mean_pool", B.sql("emb", body="""
-SELECT label::BIGINT AS label, i, round(avg(x), 5) AS mean FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) GROUP BY 1, 2"""))
+SELECT label::BIGINT AS label, i, round(avg(x), 5) + 0.0 AS mean FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) GROUP BY 1, 2"""))
 def mean_pool(spark, d):
     pooled = banks.mean_pool(B.table(spark, d, "embeddings"), "label")
     one = pooled.select("label", F.posexplode("embedding").alias("i", "m"))
@@ -286,7 +286,7 @@ def mean_pool(spark, d):
 
 
 @query("pool_with_fallback", B.sql("emb", body="""
-SELECT r.r_regionkey::BIGINT AS r_regionkey, round(coalesce(i.m, t.m), 5) AS first_value FROM region r
+SELECT r.r_regionkey::BIGINT AS r_regionkey, round(coalesce(i.m, t.m), 5) + 0.0 AS first_value FROM region r
 LEFT JOIN (SELECT label, avg(v[1]) AS m FROM emb WHERE label < 3 GROUP BY label) i ON r.r_regionkey = i.label
 LEFT JOIN (SELECT vec_id, v[1] AS m FROM emb) t ON r.r_regionkey = t.vec_id"""))
 def pool_with_fallback(spark, d):
@@ -300,7 +300,7 @@ def pool_with_fallback(spark, d):
 
 # Every event compares the vector of its user with the vector of its own number.
 B.cte("pairs", f"""
-SELECT e.user_id AS ref_id, e.event_id AS cand_pos, {_DOT} AS s
+SELECT e.user_id AS ref_id, e.event_id AS cand_pos, round(list_dot_product(q.v, b.v) / (q.norm * b.norm), 9) AS s
 FROM events e JOIN emb q ON e.user_id = q.vec_id JOIN emb b ON e.event_id = b.vec_id""", ("emb",))
 
 
@@ -313,13 +313,13 @@ def _pairs(spark, d):
     return search.similarity_scores(pairs)
 
 
-@query("similarity_scores", B.sql("pairs", body="SELECT ref_id, cand_pos, round(s, 2) AS similarity FROM pairs"))
+@query("similarity_scores", B.sql("pairs", body="SELECT ref_id, cand_pos, round(s, 2) + 0.0 AS similarity FROM pairs"))
 def similarity_scores(spark, d):
     return _pairs(spark, d).select("ref_id", "cand_pos", "similarity")
 
 
 @query("best_matches", B.sql("pairs", body="""
-SELECT ref_id, arg_max(cand_pos, struct_pack(s := s, p := -cand_pos))::VARCHAR AS best_match, count(*) AS n_candidates, max(round(s, 2)) AS best_similarity
+SELECT ref_id, arg_max(cand_pos, struct_pack(s := s, p := -cand_pos))::VARCHAR AS best_match, count(*) AS n_candidates, max(round(s, 2)) + 0.0 AS best_similarity
 FROM pairs GROUP BY 1"""))
 def best_matches(spark, d):
     return search.best_matches(_pairs(spark, d))

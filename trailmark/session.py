@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,13 +21,31 @@ SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the runtime options above on an existing session."""
+    """Set the runtime options above on an existing session and send it this package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="trailmark-")) / "trailmark_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def local_session(cores: str = "8", app: str = "trailmark", memory: str = "8g") -> SparkSession:
     """Single-machine session for tests and the bench."""
     builder = (

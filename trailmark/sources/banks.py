@@ -67,7 +67,7 @@ def _explode_arrays(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_arrays(spark: SparkSession, pattern: str) -> DataFrame:
     """Rows of ``.npy`` files: ``(name, bank_row, embedding)``; a file is one task's work."""
     files = spark.read.format("binaryFile").load(pattern)
-    name = F.url_decode(F.regexp_extract("path", r"([^/]+)\.npy$", 1))
+    name = F.regexp_extract("path", r"([^/]+)\.npy$", 1)
     return files.select(name.alias("name"), "content").mapInPandas(
         _explode_arrays, "name string, bank_row long, embedding array<float>"
     )
