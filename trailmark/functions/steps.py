@@ -50,8 +50,7 @@ def trajectory(steps: Column | str) -> Column:
     """
     relevant = F.filter(col(steps), lambda s: s["type"].isin("think", "action", "answer"))
 
-    def with_thought(s: Column, i: Column) -> Column:
-        before = F.get(relevant, i - 1)
+    def with_thought(s: Column, before: Column) -> Column:
         return F.struct(
             s["type"].alias("type"),
             F.when(before["type"] == "think", F.coalesce(before["content"], F.lit("")))
@@ -70,7 +69,10 @@ def trajectory(steps: Column | str) -> Column:
             F.when(s["type"] == "answer", F.coalesce(s["content"], F.lit(""))).alias("content"),
         )
 
-    terminal = F.filter(F.transform(relevant, with_thought), lambda t: t["type"] != "think")
+    # The list is paired with itself one place later: a lambda that looked the
+    # neighbour up would evaluate the whole list again for every element.
+    paired = F.zip_with(relevant, F.array_prepend(relevant, F.lit(None)), with_thought)
+    terminal = F.filter(paired, lambda t: t["type"].isin("action", "answer"))
     return F.transform(
         terminal,
         lambda t, i: F.struct(
@@ -88,23 +90,30 @@ def observation_line(entry: Column) -> Column:
     )
 
 
-def prior_observations(entries: Column | str, state_index: Column) -> Column:
-    """Observation lines of all tool steps before a state."""
-    before = F.filter(
-        col(entries), lambda t: (t["state_index"] < state_index) & (t["tool"] != "answer")
+def tool_lines(entries: Column | str) -> Column:
+    """Observation lines of the tool entries of a trajectory, in order."""
+    tools = F.filter(col(entries), lambda t: t["tool"] != "answer")
+    return F.transform(
+        tools, lambda t: F.struct(t["state_index"].alias("state_index"), observation_line(t).alias("line"))
     )
-    return F.transform(before, observation_line)
+
+
+def lines_before(lines: Column | str, state_index: Column) -> Column:
+    """Lines of the tool entries before a state; ``lines`` comes from ``tool_lines``."""
+    indexes = F.transform(col(lines), lambda t: t["state_index"])
+    n = F.size(F.filter(indexes, lambda i: i < state_index))
+    return F.slice(F.transform(col(lines), lambda t: t["line"]), F.lit(1), n)
 
 
 def state_elements(
-    question: Column | str, task: Column | str, images: Column | str, entries: Column | str, state_index: Column
+    question: Column | str, task: Column | str, images: Column | str, lines: Column | str, state_index: Column
 ) -> Column:
     """Struct (question, task, images, observations) of one state."""
     return F.struct(
         F.coalesce(col(question), F.lit("")).alias("question"),
         F.coalesce(col(task), F.lit("")).alias("task"),
         F.filter(col(images), lambda p: p.isNotNull() & (p != "")).alias("images"),
-        prior_observations(entries, state_index).alias("observations"),
+        lines_before(lines, state_index).alias("observations"),
     )
 
 

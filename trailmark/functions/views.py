@@ -25,17 +25,24 @@ def element_mask(elements: Column | str) -> Column:
     return mask
 
 
-def view_table() -> Column:
-    """All views with their masks, as a literal array."""
-    return F.array(*[F.struct(F.lit(v).alias("view"), F.lit(m).alias("mask")) for v, m in VIEW_MASKS])
+def views_of_mask(have: Column) -> Column:
+    """Views an element mask allows: a lookup in a literal table, one entry per mask."""
+    lists = [[v for v, m in VIEW_MASKS if m & h == m] for h in range(1 << len(ELEMENTS))]
+    table = F.array(*[
+        F.array(*[F.lit(v) for v in names]) if names else _none() for names in lists
+    ])
+    return F.get(table, have)
 
 
 def available_views(elements: Column | str) -> Column:
     """Views whose elements are all present, in view order."""
-    have = element_mask(elements)
-    return F.transform(
-        F.filter(view_table(), lambda v: v["mask"].bitwiseAND(have) == v["mask"]), lambda v: v["view"]
-    )
+    return views_of_mask(element_mask(elements))
+
+
+def view_mask(view: Column | str) -> Column:
+    """Bit mask of the elements a view uses."""
+    table = F.create_map(*[F.lit(x) for vm in VIEW_MASKS for x in vm])
+    return F.try_element_at(table, col(view))
 
 
 def view_position(view: Column | str) -> Column:
@@ -49,26 +56,31 @@ def remaining_views(available: Column | str, used: Column | str) -> Column:
     return F.filter(col(available), lambda v: ~F.array_contains(taken, v))
 
 
-def compose_view(elements: Column | str, view: Column | str) -> Column:
-    """Struct (text, images): what one view of a state is embedded from."""
-    e, parts = col(elements), F.split(col(view), r"\+")
+def compose_view(elements: Column | str, view: Column | str, mask: Column | None = None) -> Column:
+    """Struct (text, images): what one view of a state is embedded from.
+
+    ``mask`` is the view's element mask when it is at hand as a column.
+    """
+    e = col(elements)
+    bits = view_mask(view) if mask is None else mask
 
     def used(name: str) -> Column:
-        return F.array_contains(parts, name) & _filled(e, name)
+        return (bits.bitwiseAND(1 << ELEMENTS.index(name)) != 0) & _filled(e, name)
 
-    lines = F.concat(
-        F.when(used("question"), F.array(F.concat(F.lit("Question: "), e["question"]))).otherwise(_none()),
-        F.when(used("task"), F.array(F.concat(F.lit("Task: "), e["task"]))).otherwise(_none()),
-        F.when(used("images"), F.array(F.lit("Images are provided."))).otherwise(_none()),
+    text = F.concat_ws(
+        "\n",
+        F.when(used("question"), F.concat(F.lit("Question: "), e["question"])),
+        F.when(used("task"), F.concat(F.lit("Task: "), e["task"])),
+        F.when(used("images"), F.lit("Images are provided.")),
         F.when(
             used("observations"),
-            F.transform(e["observations"], lambda o: F.concat(F.lit("Observation: "), o)),
-        ).otherwise(_none()),
+            F.concat(F.lit("Observation: "), F.array_join(e["observations"], "\nObservation: ")),
+        ),
     )
     images = F.when(
         used("images"), F.filter(e["images"], lambda p: p.isNotNull() & (p != ""))
     ).otherwise(_none())
-    return F.struct(F.array_join(lines, "\n").alias("text"), images.alias("images"))
+    return F.struct(text.alias("text"), images.alias("images"))
 
 
 def _none() -> Column:

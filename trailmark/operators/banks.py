@@ -108,7 +108,8 @@ def q_value_counts(meta: DataFrame) -> DataFrame:
 
 
 def _prompted(traces: DataFrame, level: str, tools: dict[str, str] | None) -> DataFrame:
-    with_entries = with_trajectory(traces).where(F.size("entries") > 0)
+    acted = F.exists("steps", lambda s: s["type"].isin("action", "answer"))
+    with_entries = with_trajectory(traces.where(acted))
     text = S.trajectory_text("entries")
     prompt = prompts.hindsight_prompt(
         "question", "sub_task", "images", text, "is_correct", "ground_truth", level, tools
@@ -186,7 +187,8 @@ def build_state_bank(
     ).withColumn("bank_row", F.col("bank_row") - 1)
     meta = save(ranked)
     payload = (
-        meta.select("bank_row", "elements", F.explode("available_views").alias("view"))
+        meta.select("bank_row", "elements", F.explode_outer("available_views").alias("view"))
+        .where("view is not null")
         .withColumn("p", V.compose_view("elements", "view"))
         .select("bank_row", "view", F.col("p.text").alias("text"), F.col("p.images").alias("images"))
     )

@@ -110,6 +110,16 @@ def attach_traces(results: DataFrame, traces: DataFrame) -> DataFrame:
     )
 
 
+def with_tool_use(results: DataFrame, traces: DataFrame) -> DataFrame:
+    """Results with ``used_tools`` of their first trace; only a flag per trace is shuffled."""
+    flags = (
+        traces.select(F.col("dataset_id").cast("string").alias("_key"), "task_id", used_tools("steps").alias("_u"))
+        .where("_key <> ''").groupBy("_key").agg(F.min_by("_u", "task_id").alias("_used"))
+    )
+    joined = results.join(flags, results["idx"].cast("string") == flags["_key"], "left")
+    return joined.withColumn("used_tools", F.coalesce("_used", F.lit(False))).drop("_key", "_used")
+
+
 def with_trace_only(results: DataFrame, traces: DataFrame) -> DataFrame:
     """Results that have a trace."""
     keys = traces.select(F.col("dataset_id").cast("string").alias("_key")).where("_key <> ''").distinct()

@@ -29,28 +29,33 @@ def to_states(traces: DataFrame) -> DataFrame:
     Needs ``question``, ``sub_task``, ``images`` and ``entries``.
     """
     other = [c for c in traces.columns if c not in ("entries", "steps")]
-    exploded = traces.select(*other, "entries", F.explode("entries").alias("entry"))
+    lined = traces.select(*other, "entries", S.tool_lines("entries").alias("_lines"))
+    # ``explode`` would add a filter on the array's size that Spark pushes to the scan
+    # together with a second copy of the array's expression.
+    exploded = lined.select(*other, "_lines", F.explode_outer("entries").alias("entry")).where("entry is not null")
+    index = F.col("entry.state_index")
     return exploded.select(
         *other,
-        F.col("entry.state_index").alias("state_index"),
+        index.alias("state_index"),
         F.col("entry").alias("entry"),
-        S.state_elements("question", "sub_task", "images", "entries", F.col("entry.state_index")).alias("elements"),
+        S.state_elements("question", "sub_task", "images", "_lines", index).alias("elements"),
     )
 
 
 def explode_views(states: DataFrame) -> DataFrame:
     """One row per state and available view with the payload to embed."""
     keep = [c for c in states.columns if c != "elements"]
-    return (
-        states.withColumn("view", F.explode(V.available_views("elements")))
-        .withColumn("payload", V.compose_view("elements", "view"))
-        .select(*keep, "view", F.col("payload.text").alias("text"), F.col("payload.images").alias("view_images"))
+    masked = states.withColumn("_have", V.element_mask("elements"))
+    listed = masked.withColumn("view", F.explode_outer(V.views_of_mask(F.col("_have")))).where("view is not null")
+    views = listed.withColumn("_mask", V.view_mask("view"))
+    return views.withColumn("payload", V.compose_view("elements", "view", F.col("_mask"))).select(
+        *keep, "view", F.col("payload.text").alias("text"), F.col("payload.images").alias("view_images")
     )
 
 
 def step_rows(traces: DataFrame, key: str = "task_id") -> DataFrame:
     """Step table of trace documents."""
-    return traces.select(key, F.explode("steps").alias("s")).select(key, "s.*")
+    return traces.select(key, F.explode_outer("steps").alias("s")).where("s is not null").select(key, "s.*")
 
 
 def attach_retrieval_logs(traces: DataFrame, key: str = "task_id") -> DataFrame:
@@ -59,25 +64,18 @@ def attach_retrieval_logs(traces: DataFrame, key: str = "task_id") -> DataFrame:
     The step number comes from the entry's own key; ``follows`` is the next
     numbered step in the trace, ``consistent`` tells whether both agree.
     """
-    logs = traces.select(
+    later = F.filter("steps", lambda s: s["step"].try_cast("int").isNotNull())
+    found = traces.select(
         key,
-        F.explode(
-            F.transform(
-                F.filter("steps", lambda s: s["log_step"].isNotNull()),
-                lambda g: F.struct(
-                    g["pos"].alias("pos"),
-                    g["log_step"].alias("step"),
-                    g["log_rounds"].alias("rounds"),
-                    F.get(
-                        F.filter(
-                            "steps", lambda s: (s["pos"] > g["pos"]) & s["step"].try_cast("int").isNotNull()
-                        ),
-                        0,
-                    )["step"].try_cast("int").alias("follows"),
-                ),
-            )
-        ).alias("log"),
-    ).select(key, "log.*")
+        F.filter("steps", lambda s: s["log_step"].isNotNull()).alias("_logs"),
+        F.transform(later, lambda s: F.struct(s["pos"].alias("pos"), s["step"].try_cast("int").alias("step"))).alias("_later"),
+    )
+    one = found.select(key, "_later", F.explode_outer("_logs").alias("g")).where("g is not null")
+    after = F.get(F.filter("_later", lambda s: s["pos"] > F.col("g.pos")), 0)
+    logs = one.select(
+        key, F.col("g.pos").alias("pos"), F.col("g.log_step").alias("step"), F.col("g.log_rounds").alias("rounds"),
+        after["step"].alias("follows"),
+    )
     return logs.withColumn("consistent", F.coalesce(F.col("step") == F.col("follows"), F.lit(False)))
 
 

@@ -51,7 +51,8 @@ B.cte("trace_prompts", _prompt_sql("trace"), ("traj_text", "traces"))
 
 @query("hindsight_prompt", B.sql("state_prompts", body="SELECT task_id, md5(prompt) AS digest FROM state_prompts"))
 def hindsight_prompt(spark, d):
-    t = with_trajectory(B.traces(spark, d)).where(F.size("entries") > 0)
+    acted = F.exists("steps", lambda s: s["type"].isin("action", "answer"))
+    t = with_trajectory(B.traces(spark, d).where(acted))
     p = prompts.hindsight_prompt(
         "question", "sub_task", "images", S.trajectory_text("entries"), "is_correct", "ground_truth", "state", TOOLS
     )

@@ -119,12 +119,12 @@ SELECT count(*) FILTER (is_correct AND used_tools) AS correct_with_tools, count(
   count(*) FILTER (NOT is_correct AND used_tools) AS wrong_with_tools, count(*) FILTER (NOT is_correct AND NOT used_tools) AS wrong_without_tools
 FROM {_USED_A}"""))
 def tool_usage_stats(spark, d):
-    return C.tool_usage_stats(C.attach_traces(B.runs(spark, d)[0], B.traces(spark, d)))
+    return C.tool_usage_stats(C.with_tool_use(B.runs(spark, d)[0], B.traces(spark, d)))
 
 
 def _paired(spark, d):
     a, b = B.runs(spark, d)
-    tool = C.attach_traces(a, B.traces(spark, d)).select("idx", "src_pos", "is_correct", "sub_task", "used_tools")
+    tool = C.with_tool_use(a.select("idx", "src_pos", "is_correct", "sub_task"), B.traces(spark, d))
     direct = b.select("idx", "src_pos", "is_correct").withColumn("used_tools", F.lit(False))
     return C.categorise(tool, direct)
 

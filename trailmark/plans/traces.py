@@ -20,8 +20,8 @@ SELECT task_id, state_index, thinking, CASE WHEN type = 'answer' THEN 'answer' E
   CASE WHEN type = 'action' THEN observation END AS observation, CASE WHEN type = 'answer' THEN x END AS content
 FROM entries"""))
 def trajectory_of_documents(spark, d):
-    t = T.with_trajectory(B.traces(spark, d)).select("task_id", F.explode("entries").alias("e"))
-    return t.select("task_id", "e.state_index", "e.thinking", "e.tool", "e.observation", "e.content")
+    t = T.with_trajectory(B.traces(spark, d)).select("task_id", F.explode_outer("entries").alias("e"))
+    return t.where("e is not null").select("task_id", "e.state_index", "e.thinking", "e.tool", "e.observation", "e.content")
 
 
 @query("trajectory_of_events", B.sql("event_entries", body="""
@@ -105,8 +105,8 @@ FROM (SELECT *, unnest(list_filter({_VIEWS_SQL}, lambda v: v.m & {_HAVE} = v.m))
 def view_counts(spark, d):
     states = T.to_states(T.with_trajectory(B.traces(spark, d)))
     rows = states.select(
-        F.explode(V.available_views("elements")).alias("view"), F.size("elements.observations").alias("n")
-    )
+        V.available_views("elements").alias("views"), F.size("elements.observations").alias("n")
+    ).select(F.explode_outer("views").alias("view"), "n")
     used = F.when(F.array_contains(F.split("view", r"\+"), "observations"), F.col("n")).otherwise(0)
     return rows.groupBy("view").agg(F.count(F.lit(1)).alias("n_states"), F.sum(used).alias("n_observations"))
 
@@ -129,7 +129,8 @@ SELECT task_id, md5('State s_0:' || {_NL} || '  - The question and input images
     || CASE WHEN state_index + 1 < n_states THEN {_NL} || {_NL} || 'State s_' || (state_index + 1) ELSE '' END,
     {_NL} || {_NL} ORDER BY state_index)) AS digest FROM entries GROUP BY task_id"""))
 def trajectory_text(spark, d):
-    t = T.with_trajectory(B.traces(spark, d)).where(F.size("entries") > 0)
+    acted = F.exists("steps", lambda s: s["type"].isin("action", "answer"))
+    t = T.with_trajectory(B.traces(spark, d).where(acted))
     return t.select("task_id", F.md5(S.trajectory_text("entries")).alias("digest"))
 
 
@@ -213,7 +214,8 @@ def source_tag(spark, d):
 
 @query("non_empty_trajectories", B.sql("entries", body="SELECT task_id, count(*) AS n_states FROM entries GROUP BY task_id"))
 def non_empty_trajectories(spark, d):
-    t = T.with_trajectory(B.traces(spark, d)).where(F.size("entries") > 0)
+    acted = F.exists("steps", lambda s: s["type"].isin("action", "answer"))
+    t = T.with_trajectory(B.traces(spark, d).where(acted))
     return t.select("task_id", F.size("entries").cast("long").alias("n_states"))
 
 
