@@ -129,7 +129,8 @@ def candidates(
 
     ``queries`` has ``query_id, view, embedding``, ``vectors`` has ``bank_row,
     view, embedding`` (and ``task_id`` with ``per_task``). Every block gives its
-    own best rows, so the overall best are always included.
+    own best rows, so the overall best are always included. ``queries`` is read
+    more than once: hand in a stored table, not one that calls an encoder.
     """
     id_type = queries.schema["query_id"].dataType
     schema = T.StructType([

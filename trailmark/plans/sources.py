@@ -345,6 +345,43 @@ def write_jsonl(spark, d):
     return spark.read.schema("idx long, predicted string, category string").json(path)
 
 
+@query("read_results", B.sql("results", body="""
+SELECT idx, answer AS ground_truth, is_correct, type, coalesce(sub_task, '') AS sub_task, len(choices) AS n_choices FROM results"""))
+def read_results(spark, d):
+    from trailmark.operators.scoring import to_results
+
+    path = _folder(spark, "results")
+    tables.write_jsonl(to_results(B.answered(spark, d)), path)
+    r = tables.read_results(spark, path)
+    return r.select("idx", "ground_truth", "is_correct", "type", "sub_task", F.size("choices").cast("long").alias("n_choices"))
+
+
+@query("read_samples", B.sql("samples", body="""
+SELECT idx, dataset, type, answer, md5(question) AS question_digest, array_to_string(choices, ' ') AS choices FROM samples"""))
+def read_samples(spark, d):
+    path = _folder(spark, "samples")
+    tables.write_jsonl(B.samples(spark, d).drop("src_pos"), path)
+    s = tables.read_samples(spark, path)
+    return s.select("idx", "dataset", "type", "answer", F.md5("question").alias("question_digest"), F.array_join("choices", " ").alias("choices"))
+
+
+@query("read_stats", B.sql("results", body="""
+SELECT 'bench (tool)' AS label, (SELECT count(*) FROM results) AS total, sub_task, count(*) AS group_total, count(*) FILTER (is_correct) AS group_correct
+FROM (SELECT coalesce(sub_task, 'unknown') AS sub_task, is_correct FROM results) GROUP BY sub_task"""))
+def read_stats(spark, d):
+    from trailmark.operators import scoring
+
+    path = _folder(spark, "stats")
+    a = B.answered(spark, d)
+    r = scoring.to_results(a)
+    tables.write_stats(
+        scoring.eval_stats(r), scoring.stats_by(a, r, "type"), scoring.stats_by(a, r, "sub_task"), path,
+        {"model_name": "bench", "qa_type": "tool"},
+    )
+    s = tables.read_stats(spark, path).select("label", "total", F.explode("by_subtask").alias("sub_task", "g"))
+    return s.select("label", "total", "sub_task", F.col("g.total").alias("group_total"), F.col("g.correct").alias("group_correct"))
+
+
 # Media of an order: one file per line, in any of four formats.
 B.cte("files", """
 SELECT DISTINCT l_orderkey, l_linenumber, '/m/' || printf('%06d', l_orderkey) || '/img_' || l_linenumber || ['.png', '.jpg', '.webp', '.gif'][l_partkey % 4 + 1] AS path FROM lineitem""")
