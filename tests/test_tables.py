@@ -248,7 +248,7 @@ def test_annotate(spark):
             return '{"experience": "x"}'
 
     df = spark.createDataFrame([("a",), ("no",), ("b",)], "prompt string").coalesce(1)
-    out = models.annotate(df, Flaky, models.is_json_object)
+    out = models.annotate(df, Flaky, models.is_json_object, concurrency=1)
     assert sorted(r.prompt for r in out.collect()) == ["a", "b"]
     assert models.annotate(df, Flaky, lambda r: False).count() == 0
 

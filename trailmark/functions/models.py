@@ -10,6 +10,7 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -106,12 +107,14 @@ def annotate(
     images: str | None = None,
     name: str = "reply",
     attempts: int = 3,
+    concurrency: int = 8,
 ) -> DataFrame:
     """Add the annotator's reply; rows without an acceptable reply are left out.
 
     An error or a reply that ``accept`` turns down counts as one attempt; a
-    refusal ends the row at once. Replies are not repeatable: write them out or
-    checkpoint before using them twice.
+    refusal ends the row at once. A task keeps ``concurrency`` calls in flight.
+    Replies are not repeatable: write them out or checkpoint before using them
+    twice.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
 
@@ -129,11 +132,13 @@ def annotate(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = annotator()
-        for batch in batches:
-            paths = batch[images] if images else [None] * len(batch)
-            replies = [ask(client, t, list(p) if p is not None else []) for t, p in zip(batch[prompt], paths)]
-            out = batch.assign(**{name: replies})
-            yield out[out[name].notna()]
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                paths = batch[images] if images else [None] * len(batch)
+                known = [list(p) if p is not None else [] for p in paths]
+                replies = list(pool.map(lambda t, p: ask(client, t, p), batch[prompt], known))
+                out = batch.assign(**{name: replies})
+                yield out[out[name].notna()]
 
     return df.mapInPandas(run, schema)
 

@@ -10,7 +10,6 @@ from trailmark.functions import vectors as VX
 from trailmark.operators import banks, search
 from trailmark.plans import bindings as B
 from trailmark.plans.registry import query
-from trailmark.schemas import VIEWS
 
 _DOT = "round(list_dot_product(q.v, b.v) / ((q.norm + 1e-8) * (b.norm + 1e-8)), 9)"
 
@@ -26,28 +25,18 @@ def l2_normalize(spark, d):
 @query("search_traces", B.sql("emb", body=f"""
 SELECT query_id, bank_row, round(score, 4) AS score, 'advice ' || bank_row AS experience FROM (
   SELECT q.vec_id AS query_id, b.vec_id AS bank_row, {_DOT} AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rn FROM emb q, emb b WHERE b.label <> q.label)
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rn FROM emb q, emb b WHERE b.label >= 5)
 WHERE rn = 1 AND score >= 0.3"""))
 def search_traces(spark, d):
-    """Nearest trace of another label: each label asks a bank without its own rows."""
+    """Every vector asks the bank of well-rated traces."""
     e = B.table(spark, d, "embeddings")
-    labels = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]  # ten labels
-    views = dict(zip(labels, VIEWS))
-    own = F.create_map(*[x for k, v in views.items() for x in (F.lit(k), F.lit(v))])
-    others = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in views.items()])
-    asked = e.select(F.col("vec_id").alias("query_id"), own[F.col("label")].alias("view"), "embedding")
-    rows = e.select(
-        F.col("vec_id").alias("bank_row"), "embedding",
-        F.explode(F.filter(others, lambda o: o["k"] != F.col("label"))).alias("o"),
-    ).select("bank_row", F.col("o.v").alias("view"), "embedding")
-    found = search.candidates(asked, rows, 1, 0.3)
-    best = found.groupBy("query_id").agg(
-        F.max_by(F.struct("bank_row", "score"), F.struct(F.col("score"), -F.col("bank_row"))).alias("b")
-    )
-    return best.select(
-        "query_id", "b.bank_row", F.round("b.score", 4).alias("score"),
-        F.concat(F.lit("advice "), F.col("b.bank_row").cast("string")).alias("experience"),
+    bank = e.where("label >= 5").select(
+        F.col("vec_id").alias("bank_row"), (F.col("vec_id") % 97).cast("string").alias("task_id"),
+        F.concat(F.lit("advice "), F.col("vec_id").cast("string")).alias("experience"),
+        F.lit("correct").alias("source"), "embedding",
     )
+    hits = search.search_traces(e.select(F.col("vec_id").alias("query_id"), "embedding"), bank, 0.3)
+    return hits.select("query_id", "bank_row", F.round("score", 4).alias("score"), "experience")
 
 
 _OUT = ["query_id", "view", "rank", "bank_row", "task_id", "state", "q_value"]

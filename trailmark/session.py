@@ -69,7 +69,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local
     master may fall back to a folder of its own.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     current = named or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
