@@ -258,3 +258,16 @@ def test_mean_pool(spark):
     t = spark.createDataFrame([(1, [9.0, 9.0]), (2, [5.0, 6.0])], "k int, embedding array<float>")
     got = {r.k: r.embedding for r in banks.with_fallback_text(t.select("k"), v, t, "k").collect()}
     assert got == {1: [2.0, 3.0], 2: [5.0, 6.0]}
+
+
+def test_nested_ids(spark):
+    df = spark.createDataFrame(
+        [('{"image":"img_0","regions":[{"of":"img_1"},"img_9"],"note":"see img_0"}', [("img_0", "/m/a.png"), ("img_1", "/m/b.png")])],
+        "props string, media array<struct<ref_id:string,path:string>>",
+    )
+    out = media.media_maps(df).select(
+        media.replace_in_json(F.col("props"), F.col("id_to_path")).alias("there"), "path_to_id", "props"
+    )
+    row = out.withColumn("back", media.replace_in_json(F.col("there"), F.col("path_to_id"))).first()
+    assert json.loads(row.there) == {"image": "/m/a.png", "regions": [{"of": "/m/b.png"}, "img_9"], "note": "see img_0"}
+    assert row.back == row.props
