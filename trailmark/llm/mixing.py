@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import WORD, save, whole_text
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_000
 
 
 def random_key(doc_id: Column) -> Column:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from trailmark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from trailmark.llm.mixing import OP7_SQL, op7_mixing
+from trailmark.llm.near_dedup import OP4_SQL, op4_near_dedup
+from trailmark.llm.packing import op1_packing
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op7_mixing": op7_mixing,
 }
 
 SQL = {
     "op2_line_dedup": OP2_SQL,
+    "op4_near_dedup": OP4_SQL,
     "op7_mixing": OP7_SQL,
 }
