@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import bytestext as bt
-from trailmark.llm.common import save, whole_text
+from trailmark.llm.common import partitions, save, whole_text
 from trailmark.llm.components import components
 
 BANDS, ROWS = 40, 5  # a pair at similarity 0.8 misses all bands once in 8 million
-SLACK = 0.2  # seven standard errors of a similarity estimated from BANDS * ROWS coordinates
+SLACK = 0.15  # five standard errors of a similarity estimated from BANDS * ROWS coordinates
 BLOCK = 512  # rows of a bucket compared at once
 
 
@@ -113,26 +113,29 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one bucket's two blocks whose components differ and whose sizes and estimates allow a link."""
-    ci, cj = rows["ci"].iat[0], rows["cj"].iat[0]
-    left = rows[rows["chunk"] == ci].reset_index(drop=True)
-    right = rows[rows["chunk"] == cj].reset_index(drop=True)
-    sig = np.frombuffer(b"".join(right["small"]), np.uint8).reshape(len(right), -1) if len(right) else None
-    n, comp = right["n"].to_numpy(), right["comp"].to_numpy()
-    least = percent / 100 - SLACK
+def _across(rows: pd.DataFrame, percent: int, best: bool) -> pd.DataFrame:
+    """Pairs of one bucket's two blocks whose components differ and whose sizes and estimates allow a link.
+
+    A pair that meets in several buckets is given by the first of them. ``best``: only each row's likeliest partner.
+    """
+    key, ci, cj = rows["key"].iat[0], rows["ci"].iat[0], rows["cj"].iat[0]
+    chunk, n, comp, hi, lo = (rows[c].to_numpy() for c in ("chunk", "n", "comp", "hi", "lo"))
+    small = np.frombuffer(b"".join(rows["small"]), np.uint8).reshape(len(rows), -1)
+    bands = np.stack(rows["bands"].to_numpy())
+    left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
     found = []
-    for i in range(len(left)):
-        if not len(right):
-            break
-        size = left["n"].iat[i]
-        ok = (comp != left["comp"].iat[i]) & (np.minimum(n, size) * 100 >= percent * np.maximum(n, size))
-        if ci == cj:
-            ok[: i + 1] = False
-        at = np.flatnonzero(ok)
-        if len(at):
-            at = at[(sig[at] == np.frombuffer(left["small"].iat[i], np.uint8)).mean(axis=1) >= least]
-            found += [(left["hi"].iat[i], left["lo"].iat[i], right["hi"].iat[j], right["lo"].iat[j]) for j in at]
+    for at, i in enumerate(left):
+        to = right[at + 1 :] if ci == cj and not best else right
+        to = to[(comp[to] != comp[i]) & (np.minimum(n[to], n[i]) * 100 >= percent * np.maximum(n[to], n[i]))]
+        if not len(to):
+            continue
+        like = (small[to] == small[i]).mean(axis=1)
+        if best:
+            to = to[[like.argmax()]] if like.max() >= percent / 100 - SLACK else to[:0]
+        else:
+            to = to[like >= percent / 100 - SLACK]
+            to = to[bands[i][(bands[to] == bands[i]).argmax(axis=1)] == key]
+        found += [(hi[i], lo[i], hi[j], lo[j]) for j in to]
     return pd.DataFrame(found, columns=["ahi", "alo", "bhi", "blo"], dtype="int64")
 
 
@@ -174,30 +177,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     links = _verified(rows, signed, pairs, words, percent)
     found = components(links)
 
-    comp = found.select(F.col("node").alias("c_node"), F.col("component"))
-    node = F.struct("hi", "lo")
-    placed = save(
-        shared.join(comp, node == F.col("c_node"), "left")
-        .select("key", "hi", "lo", F.xxhash64(F.coalesce("component", node)).alias("comp"))
-    )
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"))
-    left = placed.join(mixed.where("c0 <> c1").select("key", F.ceil(F.col("n") / BLOCK).alias("chunks")), "key")
-    small = signed.join(left.select("hi", "lo").distinct(), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
-    left = left.join(small.select("hi", "lo", "small", "n_shingles"), ["hi", "lo"])
-    left = left.select("key", "hi", "lo", "comp", "small", F.col("n_shingles").alias("n"), "chunks", F.pmod("lo", "chunks").alias("chunk"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    left = left.select("key", "hi", "lo", "comp", "small", "n", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
-
-    def across(rows: pd.DataFrame) -> pd.DataFrame:
-        return _across(rows, percent)
-
-    more = left.groupBy("key", "ci", "cj").applyInPandas(across, "ahi long, alo long, bhi long, blo long")
-    more = _ordered(more.select(F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b")))
-    more = save(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_verified(rows, signed, more, words, percent))
-        found = components(links)
+    tested = pairs
+    for best in (True, False):  # likely partners first: they join most of what can be joined, so few pairs are left
+        more = save(_left_over(signed, shared, found, percent, best).join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            links = links.unionByName(_verified(rows, signed, more, words, percent))
+            found = components(links)
 
+    node = F.struct("hi", "lo")
     marked = signed.select("doc_id", "of", "n_shingles", F.when(F.col("hi").isNotNull(), node).alias("node"))
     joined = marked.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     first = joined.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("first"))
@@ -209,6 +197,34 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     )
 
 
+def _left_over(signed: DataFrame, shared: DataFrame, found: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs to check between different components of a bucket."""
+    comp = found.select(F.col("node").alias("c_node"), "component")
+    node = F.struct("hi", "lo")
+    placed = save(
+        shared.join(comp, node == F.col("c_node"), "left")
+        .select("key", "hi", "lo", F.xxhash64(F.coalesce("component", node)).alias("comp"))
+    )
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
+    left = placed.join(mixed.where("c0 <> c1").select("key", F.ceil(F.col("rows") / BLOCK).alias("chunks")), "key")
+    small = signed.join(left.select("hi", "lo").distinct(), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
+    left = left.join(small.select("hi", "lo", "small", "bands", F.col("n_shingles").alias("n")), ["hi", "lo"])
+    left = left.withColumn("chunk", F.pmod("lo", "chunks"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    left = left.select(
+        "key", "hi", "lo", "comp", "small", "bands", "n", "chunk",
+        F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"),
+    )
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        return _across(rows, percent, best)
+
+    found = left.repartition(partitions(left.sparkSession), "key", "ci", "cj").groupBy("key", "ci", "cj")
+    pairs = found.applyInPandas(across, "ahi long, alo long, bhi long, blo long")
+    a = F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo"))
+    return _ordered(pairs.select(a.alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b")))
+
+
 def _verified(rows: DataFrame, signed: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
