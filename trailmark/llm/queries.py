@@ -6,11 +6,13 @@ from trailmark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from trailmark.llm.mixing import OP7_SQL, op7_mixing
 from trailmark.llm.near_dedup import OP4_SQL, op4_near_dedup
 from trailmark.llm.packing import op1_packing
+from trailmark.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_mixing": op7_mixing,
 }
 
