@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trailmark.llm.fingerprints import op10_fingerprints
 from trailmark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from trailmark.llm.mixing import OP7_SQL, op7_mixing
 from trailmark.llm.near_dedup import OP4_SQL, op4_near_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_mixing": op7_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 SQL = {
