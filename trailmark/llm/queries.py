@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trailmark.llm.fingerprints import op10_fingerprints
+from trailmark.llm.language_model import op9_language_model
 from trailmark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from trailmark.llm.mixing import OP7_SQL, op7_mixing
 from trailmark.llm.near_dedup import OP4_SQL, op4_near_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_language_model": op9_language_model,
     "op10_fingerprints": op10_fingerprints,
 }
 
