@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm.common import save, table
-from trailmark.llm.pipeline import line_dedup, mixing
+from trailmark.llm.pipeline import line_dedup, mixing, near_dedup, packing, quality
 
-STAGES = [("line_dedup", line_dedup), ("mixing", mixing)]
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 ORACLE_SQL = None  # the classifier samples and the tokenizer cuts words outside SQL; tests hold the stages against brute force
 

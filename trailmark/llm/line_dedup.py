@@ -15,8 +15,10 @@ def _line_hash(line: Column, min_chars: int) -> Column:
     return F.when(F.length(F.btrim(line, F.lit(BLANKS))) >= min_chars, pair)
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """doc_id, text (kept lines), n_lines, n_dropped for each row of ``docs``.
+def drop_repeated_lines(
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carry: Column | None = None
+) -> DataFrame:
+    """doc_id, text (kept lines), n_lines, n_dropped for each row of ``docs``, and ``carried`` if asked for.
 
     A line's key has blanks at both ends stripped and A-Z lower-cased. A key of ``min_chars`` code points or more
     in ``min_docs`` documents or more stays only in the largest doc_id that holds it, there with all its lines.
@@ -29,7 +31,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
     repeated lines is written out, so that the join back is between two fresh shuffles, which Spark can split
     where one line is in a large share of all documents.
     """
-    rows = docs.select("doc_id", whole_text(docs).alias("text"))
+    extra = [] if carry is None else [carry.alias("carried")]
+    rows = docs.select("doc_id", whole_text(docs).alias("text"), *extra)
     hashes = F.transform(F.split("text", "\n", -1), lambda line: _line_hash(line, min_chars))
     per_doc = rows.select("doc_id", F.explode(F.array_distinct(hashes)).alias("h")).where("h is not null")
     repeated = save(
@@ -57,6 +60,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3)
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text"),
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(["carried"] if extra else []),
     )
 
 

@@ -7,6 +7,7 @@ from trailmark.llm.language_model import op9_language_model
 from trailmark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from trailmark.llm.mixing import OP7_SQL, op7_mixing
 from trailmark.llm.near_dedup import OP4_SQL, op4_near_dedup
+from trailmark.llm.nearest import op3_nearest
 from trailmark.llm.packing import op1_packing
 from trailmark.llm.quality import op6_quality
 from trailmark.llm.suffix_dedup import op5_suffix_dedup
@@ -15,6 +16,7 @@ from trailmark.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_nearest": op3_nearest,
     "op4_near_dedup": op4_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality": op6_quality,
