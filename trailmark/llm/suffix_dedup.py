@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import bytestext as bt
+from trailmark.llm.blobs import joined, pack_arrays, planes, unpack_arrays
 from trailmark.llm.common import whole_text
 
 WIDTH = 50  # bytes of a string that counts as repeated
-SEED = 12  # bytes of the strings whose smallest hash picks a window's bucket
+SEED = 8  # bytes of the strings whose smallest hash picks a window's bucket
 BUCKET_BYTES = 4 << 20  # text per bucket
 _LANES = np.array([0, 8, 16, 24, 32, 40, WIDTH - 8])
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -50,7 +49,7 @@ def super_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     if n <= 0:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     loads = _loads(data)
-    h = loads[: len(data) - SEED + 1] * _ODD[0] + loads[4 : len(data) - SEED + 5] * _ODD[1]
+    h = loads[: len(data) - SEED + 1] * _ODD[0]
     h ^= h >> np.uint64(31)
     h *= _ODD[3]
     bits = np.uint64(len(h).bit_length())
@@ -87,17 +86,6 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) - np.repeat(first - start, length)
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
-
-
-def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))) as z:
-        return dict(z)
-
-
 def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Per part of a batch and bucket: distinct super-windows, where they occur, and occurrences already decided."""
     for batch in batches:
@@ -107,26 +95,36 @@ def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             if not len(start):
                 continue
             row = np.searchsorted(offsets, start, "right") - 1
-            doc, of = ids[first:end][row], ofs[first:end][row]
-            bucket = (bt.mix64(seed) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((doc, content, bucket))
+            doc = ids[first:end][row]
+            order = np.argsort(content, kind="stable")
             head = np.ones(len(order), bool)
-            head[1:] = (content[order][1:] != content[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
-            group = np.cumsum(head) - 1
-            lead = order[head]
+            head[1:] = content[order][1:] != content[order][:-1]
+            heads = np.flatnonzero(head)
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(head) - 1
             # a copy in a smaller document of the same part decides all windows at once
-            later = doc[order] > doc[lead][group]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            open_ = doc == np.minimum.reduceat(doc[order], heads)[group]
+            bucket = (bt.mix64(seed) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")  # in text order inside a bucket
+            seen, at = np.unique(group[by][open_[by]], return_index=True)
+            top = np.zeros(len(by), bool)
+            top[np.flatnonzero(open_[by])[at]] = True
+            place = np.cumsum(top) - 1
+            number = np.empty(len(heads), np.int64)
+            number[seen] = place[np.flatnonzero(open_[by])[at]]
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             rows, blobs = [], []
             for b in np.flatnonzero(np.diff(cuts)):
-                a, z = cuts[b], cuts[b + 1]
-                mine, known = order[a:z][~later[a:z]], order[a:z][later[a:z]]
-                tops = order[a:z][head[a:z]]
+                mine = by[cuts[b] : cuts[b + 1]]
+                text = mine[top[cuts[b] : cuts[b + 1]]]
+                held, times = np.unique(row[mine], return_counts=True)
+                base = place[cuts[b]] + (not top[cuts[b]])
+                frag = np.where(open_[mine], number[group[mine]] - base, -1)
                 rows.append(b)
-                blobs.append(_pack(
-                    text=data[_ranges(start[tops], count[tops] + WIDTH - 1)], windows=count[tops].astype(np.uint8),
-                    frag=group[a:z][~later[a:z]] - group[a], doc=doc[mine], of=of[mine], pos=start[mine] - offsets[row[mine]],
-                    kdoc=doc[known], kof=of[known], kpos=start[known] - offsets[row[known]], kcount=count[known].astype(np.uint8),
+                blobs.append(pack_arrays(
+                    data[_ranges(start[text], count[text] + WIDTH - 1)], count[mine].astype(np.uint8),
+                    planes(np.diff(frag, prepend=0)), planes(start[mine] - offsets[row[mine]]),
+                    planes(np.diff(ids[first:end][held], prepend=0)), ofs[first:end][held], planes(times),
                 ))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -186,12 +184,21 @@ def suffix_sort(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarra
 
 def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     """Windows of one bucket that also start in a smaller document, as (start, bit mask) lists per document."""
-    parts = [_unpack(b) for b in rows["blob"]]
-    base = np.cumsum([0] + [len(p["windows"]) for p in parts])
-    join = {k: np.concatenate([p[k] for p in parts]) for k in parts[0] if k != "frag"}
-    frag = np.concatenate([p["frag"] + b for p, b in zip(parts, base)])
-    del parts
-    text, windows = join["text"], join["windows"].astype(np.int64)
+    columns: list[list] = [[] for _ in range(7)]
+    base = 0
+    for blob in rows["blob"]:
+        text, count, frag, pos, held, of, times = unpack_arrays(blob)
+        frag, times = np.cumsum(joined(frag, np.int64)), joined(times, np.int64)
+        windows = np.zeros(frag.max() + 1, np.uint8)
+        windows[frag[frag >= 0]] = count[frag >= 0]
+        frag = np.where(frag >= 0, frag + base, -1)
+        base += len(windows)
+        held = np.repeat(np.cumsum(joined(held, np.int64)), times)
+        for c, x in zip(columns, (text, windows, count, frag, joined(pos, np.int64), held, np.repeat(of, times))):
+            c.append(x)
+    text, windows, count, frag, pos, doc, of = (np.concatenate(c) for c in columns)
+    del columns
+    windows, count, open_ = windows.astype(np.int64), count.astype(np.int64), frag >= 0
     lengths = windows + WIDTH - 1
     at = np.cumsum(lengths) - lengths
     loads = _loads(text)
@@ -199,7 +206,7 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
         _window_hashes(loads, at, len(at)) * _ODD[4] + _window_hashes(loads, at + windows - 1, len(at)) * _ODD[5] + windows.astype(np.uint64)
     )
     least = np.full(len(windows), np.iinfo(np.int64).max)
-    np.minimum.at(least, frag, join["doc"])
+    np.minimum.at(least, frag[open_], doc[open_])
     order = np.lexsort((least, content))
     head = np.ones(len(order), bool)
     head[1:] = content[order][1:] != content[order][:-1]
@@ -222,18 +229,17 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
         moved = np.cumsum(lengths[lead][used]) - lengths[lead][used]
         where = moved[np.searchsorted(used, of_lead[cand])] + start[cand] - at[lead][of_lead[cand]]
         by, new = suffix_sort(small, where, WIDTH)
-        doc = smallest[of_lead[cand]][by]
+        holder = smallest[of_lead[cand]][by]
         heads = np.flatnonzero(new)
-        first = np.minimum.reduceat(doc, heads)[np.cumsum(new) - 1]
-        hit = cand[by[first < doc]]
+        first = np.minimum.reduceat(holder, heads)[np.cumsum(new) - 1]
+        hit = cand[by[first < holder]]
         np.bitwise_or.at(mask, of_lead[hit], np.int64(1) << (start[hit] - at[lead][of_lead[hit]]))
-    full = (np.int64(1) << windows) - 1
-    own = np.where(join["doc"] > smallest[group[frag]], full[frag], mask[group[frag]])
+    own = (np.int64(1) << count) - 1
+    same = np.flatnonzero(open_)
+    same = same[doc[same] == smallest[group[frag[same]]]]
+    own[same] = mask[group[frag[same]]]
     hit = own != 0
-    doc = np.concatenate([join["doc"][hit], join["kdoc"]])
-    of = np.concatenate([join["of"][hit], join["kof"]])
-    pos = np.concatenate([join["pos"][hit], join["kpos"]])
-    own = np.concatenate([own[hit], (np.int64(1) << join["kcount"].astype(np.int64)) - 1])
+    doc, of, pos, own = doc[hit], of[hit], pos[hit], own[hit]
     by = np.lexsort((of, doc))
     doc, of, pos, own = doc[by], of[by], pos[by], own[by]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (of[1:] != of[:-1])]) if len(doc) else np.empty(0, np.int64)
@@ -278,13 +284,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with null doc_id neither lose nor take anything. ``kept`` may be cut inside a UTF-8 character. Empty tables give
     empty results; other columns are ignored.
 
-    Each window of 50 bytes goes to the bucket of its smallest 12-byte seed, together with its neighbours that have
+    Each window of 50 bytes goes to the bucket of its smallest 8-byte seed, together with its neighbours that have
     the same seed: one run of about 70 bytes for 20 windows, compressed per bucket. Copies inside a part of a task
     are decided before the shuffle, so a passage in a large share of all documents reaches its bucket once per part.
     Buckets grow in number with the text. In a bucket, windows whose hash occurs once are done; the rest are suffix
     sorted by compared hashes and checked byte by byte. Decisions go back to their documents as bit masks.
     """
-    rows = docs.select("doc_id", whole_text(docs).alias("text")).withColumn("of", F.xxhash64("text"))
+    rows = docs.select("doc_id", whole_text(docs).alias("text"))
+    again = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():  # ids alone name the rows; else rows of one id are told apart by their text
+        rows = rows.withColumn("of", F.lit(0).cast("long"))
+    else:
+        rows = rows.withColumn("of", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     part = rows.where("doc_id is not null").mapInArrow(partial(_split, buckets=buckets), "bucket long, blob binary")
