@@ -182,8 +182,8 @@ def suffix_sort(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarra
     return order, new
 
 
-def _decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one bucket that also start in a smaller document, as (start, bit mask) lists per document."""
+def _decide(rows: pd.DataFrame, groups: int) -> pd.DataFrame:
+    """Windows of one bucket that also start in a smaller document: start and bit mask of each run, by group of documents."""
     columns: list[list] = [[] for _ in range(7)]
     base = 0
     for blob in rows["blob"]:
@@ -240,40 +240,44 @@ def _decide(rows: pd.DataFrame) -> pd.DataFrame:
     own[same] = mask[group[frag[same]]]
     hit = own != 0
     doc, of, pos, own = doc[hit], of[hit], pos[hit], own[hit]
-    by = np.lexsort((of, doc))
+    by = np.lexsort((of, doc, doc % groups))
     doc, of, pos, own = doc[by], of[by], pos[by], own[by]
-    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (of[1:] != of[:-1])]) if len(doc) else np.empty(0, np.int64)
-    ends = np.append(cut[1:], len(doc))
-    return pd.DataFrame({
-        "d": doc[cut], "o": of[cut],
-        "pos": [pos[a:b].astype(np.int64).tobytes() for a, b in zip(cut, ends)],
-        "own": [own[a:b].tobytes() for a, b in zip(cut, ends)],
-    })
+    cuts = np.searchsorted(doc % groups, np.arange(groups + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    marks = []
+    for g in some:
+        x = slice(cuts[g], cuts[g + 1])
+        marks.append(pack_arrays(planes(np.diff(doc[x], prepend=0)), of[x], planes(pos[x].astype(np.int32)), planes(own[x])))
+    return pd.DataFrame({"g": some, "marks": marks})
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.arange(WIDTH - SEED + 1)
-    for batch in batches:
-        data, offsets = bt.text_bytes(batch.column("text"))
-        kept, removed, spans = [], [], []
-        for i, (pos, own) in enumerate(zip(batch.column("pos").to_pylist(), batch.column("own").to_pylist())):
-            text = data[offsets[i] : offsets[i + 1]]
-            gone = np.zeros(len(text), bool)
-            if pos:
-                starts, masks = np.frombuffer(b"".join(pos), np.int64), np.frombuffer(b"".join(own), np.int64)
-                hit, bit = np.nonzero((masks[:, None] >> bits) & 1)
-                step = np.zeros(len(text) + 1, np.int64)
-                where = np.unique(starts[hit] + bit)
-                step[where] += 1
-                step[where + WIDTH] -= 1
-                gone = np.cumsum(step)[:-1] > 0
-            kept.append(text[~gone].tobytes())
-            removed.append(int(gone.sum()))
-            spans.append(int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(gone) else 0)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
-            ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
-        )
+def _cut(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Remove the marked windows from one group of documents."""
+    columns: list[list] = [[np.empty(0, np.int64)] for _ in range(4)]
+    for blob in rows["marks"]:
+        doc, of, pos, own = unpack_arrays(blob)
+        for c, x in zip(columns, (np.cumsum(joined(doc, np.int64)), of, joined(pos, np.int32), joined(own, np.int64))):
+            c.append(x)
+    doc, of, pos, own = (np.concatenate(c) for c in columns)
+    by = np.lexsort((of, doc))
+    doc, of, pos, own = doc[by], of[by], pos[by], own[by]
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (of[1:] != of[:-1])]) if len(doc) else np.empty(0, np.int64)
+    where = {(d, o): (a, z) for d, o, a, z in zip(doc[cut].tolist(), of[cut].tolist(), cut, np.append(cut[1:], len(doc)))}
+    bits, out = np.arange(WIDTH - SEED + 1), []
+    for d, o, text in zip(docs["doc_id"].tolist(), docs["of"].tolist(), docs["text"]):
+        text = np.frombuffer(text.encode(), np.uint8)
+        gone = np.zeros(len(text), bool)
+        if (d, o) in where:
+            a, z = where[d, o]
+            hit, bit = np.nonzero((own[a:z, None] >> bits) & 1)
+            starts = np.unique(pos[a:z][hit] + bit)
+            step = np.zeros(len(text) + 1, np.int64)
+            step[starts] += 1
+            step[starts + WIDTH] -= 1
+            gone = np.cumsum(step)[:-1] > 0
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        out.append((d, text[~gone].tobytes(), len(text), int(gone.sum()), spans))
+    return pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -288,7 +292,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     the same seed: one run of about 70 bytes for 20 windows, compressed per bucket. Copies inside a part of a task
     are decided before the shuffle, so a passage in a large share of all documents reaches its bucket once per part.
     Buckets grow in number with the text. In a bucket, windows whose hash occurs once are done; the rest are suffix
-    sorted by compared hashes and checked byte by byte. Decisions go back to their documents as bit masks.
+    sorted by compared hashes and checked byte by byte. Decisions go back to groups of documents, dealt by doc_id, as packed bit masks.
     """
     rows = docs.select("doc_id", whole_text(docs).alias("text"))
     again = rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again"))
@@ -299,13 +303,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     part = rows.where("doc_id is not null").mapInArrow(partial(_split, buckets=buckets), "bucket long, blob binary")
-    decided = part.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_decide, "d long, o long, pos binary, own binary")
-    marks = decided.groupBy("d", "o").agg(F.collect_list(F.struct("pos", "own")).alias("m"))
-    marks = marks.select("d", "o", F.col("m.pos").alias("pos"), F.col("m.own").alias("own"))
-    both = rows.join(marks, (rows["doc_id"] == marks["d"]) & (rows["of"] == marks["o"]), "left")
-    return both.select("doc_id", "text", "pos", "own").mapInArrow(
-        _cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+    groups = buckets | 1
+
+    def decide(bucket: pd.DataFrame) -> pd.DataFrame:
+        return _decide(bucket, groups)
+
+    decided = part.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(decide, "g long, marks binary")
+    left = rows.where("doc_id is not null").withColumn("g", F.expr(f"pmod(doc_id, {groups})")).repartition(groups, "g").groupBy("g")
+    schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+    cut = left.cogroup(decided.repartition(groups, "g").groupBy("g")).applyInPandas(_cut, schema)
+    zero = F.lit(0).cast("long")
+    rest = rows.where("doc_id is null").select(
+        "doc_id", F.col("text").cast("binary").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans")
     )
+    return cut.unionByName(rest)
 
 
 def op5_suffix_dedup(spark, sf_dir):
