@@ -36,6 +36,12 @@ def one(spark, text):
     ("literal_options", "['a', \"b's\"]", ["a", "b's"]),
     ("literal_options", "(A) x (B) y", ["x", "y"]),
     ("literal_options", "x\n\ny", ["x", "y"]),
+    ("literal_options", "['a', None, 'b']", ["a", "b"]),
+    ("literal_options", "[1.50, True]", ["1.5", "True"]),
+    ("literal_options", "['x', 'y',]", ["x", "y"]),
+    ("literal_options", "['a' 'b', 'c']", ["ab", "c"]),
+    ("literal_options", "[r'\\frac{1}{2}', 'b']", ["\\frac{1}{2}", "b"]),
+    ("literal_options", "[open('x')]", ["[open('x')]"]),
     ("literal_options", None, []),
 ])
 def test_parse_choices(spark, dialect, text, want):
@@ -94,6 +100,12 @@ def test_bank_import_and_merge(spark, tmp_path):
     mm, mv = banks.merge_banks([("x", m, v), ("y", m, v)])
     assert sorted(r.bank_row for r in mm.collect()) == list(range(6)) and mm.where("bank_row = 4").first().task_id == "y_a"
     assert mv.count() == 10
+    gaps = [(p, m.where("bank_row <> 1"), v.where("bank_row <> 1")) for p in ("x", "y")]
+    mm, mv = banks.merge_banks(gaps)
+    assert sorted(r.bank_row for r in mm.collect()) == [0, 2, 3, 5]
+    assert banks.validate_bank(mm, mv).count() == 0
+    with pytest.raises(ValueError, match="bank y has vectors"):
+        banks.merge_banks([("x", m, v), ("y", m, v.withColumn("embedding", F.slice("embedding", 1, 2)))])
     np.save(root / "views" / "images.npy", np.ones((2, 3), dtype=np.float32))
     with pytest.raises(ValueError, match="images has 2 rows"):
         SB.import_state_bank(spark, str(root))
@@ -271,3 +283,53 @@ def test_nested_ids(spark):
     row = out.withColumn("back", media.replace_in_json(F.col("there"), F.col("path_to_id"))).first()
     assert json.loads(row.there) == {"image": "/m/a.png", "regions": [{"of": "/m/b.png"}, "img_9"], "note": "see img_0"}
     assert row.back == row.props
+    chain = spark.createDataFrame([('{"img_0": ["img_0", "a\\"b"], "n": 1}',)], "t string").select(
+        media.replace_in_json("t", F.create_map(F.lit("img_0"), F.lit("img_1"), F.lit("img_1"), F.lit("x"), F.lit('a"b'), F.lit("q")))
+    )
+    assert chain.first()[0] == '{"img_0": ["img_1", "q"], "n": 1}'
+
+
+def test_profile_of_map_columns(spark):
+    df = spark.createDataFrame([({"a": 1},)], "m map<string,int>")
+    assert tables.profile_tables({"m": df, "none": df.limit(0)}).collect()[0]["sample"] == "m: {a -> 1}"
+
+
+def test_source_configs(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "a"))
+    with pytest.warns(UserWarning, match="config b"):
+        assert tables.read_source(spark, str(tmp_path), "parquet", ["a", "b"]).count() == 2
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        tables.read_source(spark, str(tmp_path), "parquet", ["a", "c"]).count()
+
+
+def test_listed_questions(spark):
+    df = spark.createDataFrame(
+        [(0, [" ", "Which?\nA. x\nB. y", "more"], ["B"], "Multi Choice", ["i.png"]), (1, [], ["A"], "Multi Choice", ["i.png"])],
+        "src_pos long, question array<string>, answer array<string>, question_type string, images array<string>",
+    )
+    rows = S.to_samples(df, "chartqa").collect()
+    assert [(r.idx, r.choices, r.answer) for r in rows] == [(0, ["x", "y"], "y")]
+
+
+def test_item_rules(spark):
+    from trailmark.functions.tools import Param, params_error
+
+    rules = {"box": Param("array", items="number", min_items=4, max_items=4), "of": Param("array", item_enum=("a", "b"))}
+    texts = ['{"box": [1, 2.5, 3, 4]}', '{"box": [1, 2, 3]}', '{"box": [1, 2, 3, 4, 5]}', '{"box": [1, "2", 3, 4]}', '{"of": ["a", "c"]}', '{"of": []}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(params_error("t", rules).alias("e"))
+    assert [r.e for r in df.collect()] == [
+        None, "'box' has less than 4 items", "'box' has more than 4 items", "'box' has an item that is not of type 'number'",
+        "'of' has an item that is not one of ['a', 'b']", None,
+    ]
+
+
+def test_encoded_once_and_numbered_by_ranges(spark):
+    from trailmark.operators.skew import number_ranges
+
+    ids = [f"MMMU_val_{i:06d}" for i in range(200)]
+    df = spark.createDataFrame([(t,) for t in ids], "task_id string").repartition(7)
+    out = number_ranges(df, ["task_id"], "n", lambda x: x.checkpoint())
+    assert [(r.task_id, r.n) for r in out.orderBy("n").collect()] == [(t, i) for i, t in enumerate(ids)]
+    assert "SinglePartition" not in df.repartitionByRange("task_id").sortWithinPartitions("task_id")._jdf.queryExecution().toString()

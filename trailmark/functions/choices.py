@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.functions.text import col, strip, stripped_lines
 from trailmark.schemas import WHITESPACE as _SPACE
@@ -174,18 +177,38 @@ def column_choices(*cols: Column | str) -> Column:
     return _present(F.transform(F.array(*[col(c) for c in cols]), strip))
 
 
+# Lists of plainly quoted texts mean the same in JSON and in Python.
+_PLAIN_ITEM = r"""(?:'[^'\\\p{Cntrl}]*'|"[^"\\\p{Cntrl}]*")"""
+_PLAIN_LIST = rf"^\[\s*{_PLAIN_ITEM}(?:\s*,\s*{_PLAIN_ITEM})*+\s*\]$"
+
+
+def _python_list(text: str | None) -> list | None:
+    try:
+        items = ast.literal_eval(text) if text else None
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
+    return items if isinstance(items, list) else None
+
+
+def _list_items(texts: pd.Series) -> pd.Series:
+    """Stripped items of Python list literals, None left out; null for any other text."""
+    found = [_python_list(t) for t in texts]
+    return pd.Series([None if x is None else [str(i).strip() for i in x if i is not None] for x in found], dtype=object)
+
+
+def _list_answer(texts: pd.Series) -> pd.Series:
+    """The item of a one-item list literal, a longer list as text; null for any other text."""
+    found = [_python_list(t) for t in texts]
+    return pd.Series([str(x[0] if len(x) == 1 else x).strip() if x else None for x in found], dtype=object)
+
+
 def literal_options(text: Column | str) -> Column:
-    """``['a', 'b']``, else text cut at ``A)`` labels, else its lines."""
+    """Items of a Python list literal, else text cut at ``A)`` labels, else its lines."""
     s = strip(text)
-    parsed = F.when(
-        s.startswith("["),
-        F.transform(
-            F.filter(
-                F.from_json(s, "array<string>", {"allowSingleQuotes": "true"}), lambda x: x.isNotNull()
-            ),
-            strip,
-        ),
-    )
+    plain = s.rlike(_PLAIN_LIST)
+    quoted = F.when(plain, F.transform(F.from_json(s, "array<string>", {"allowSingleQuotes": "true"}), strip))
+    items = F.pandas_udf(_list_items, T.ArrayType(T.StringType()))
+    parsed = F.coalesce(quoted, items(F.when(s.startswith("[") & ~plain, s)))
     parts = _present(F.transform(F.split(s, r"\s*[\(]?[A-Za-z][\)]\s*"), strip))
     return F.coalesce(
         parsed,
@@ -286,17 +309,8 @@ def bracketed_answer(answer: Column | str, raw_choices: Column | str) -> Column:
 def literal_answer(answer: Column | str, choices: Column | str) -> Column:
     """Answer that may be written as a one-item list."""
     s = strip(F.coalesce(col(answer), F.lit("")))
-    items = F.when(
-        s.startswith("["), F.from_json(s, "array<string>", {"allowSingleQuotes": "true"})
-    )
-    many = F.concat(
-        F.lit("["), F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]")
-    )
-    return (
-        F.when(F.size(items) == 1, strip(F.get(items, 0)))
-        .when(F.size(items) > 1, many)
-        .otherwise(answer_text(s, choices))
-    )
+    listed = F.pandas_udf(_list_answer, T.StringType())(F.when(s.startswith("["), s))
+    return F.coalesce(listed, answer_text(s, choices))
 
 
 def single_letter_answer(answer: Column | str, choices: Column | str) -> Column:

@@ -16,13 +16,17 @@ ToolFn = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Param:
-    """One parameter of a tool: JSON type, whether it must be there, allowed values or range."""
+    """One parameter of a tool: JSON type, whether it must be there, allowed values, range, or type and number of items."""
 
     kind: str = "string"
     required: bool = False
     enum: tuple[str, ...] = ()
     low: float | None = None
     high: float | None = None
+    items: str | None = None
+    item_enum: tuple[str, ...] = ()
+    min_items: int | None = None
+    max_items: int | None = None
 
 
 @dataclass(frozen=True)
@@ -52,6 +56,34 @@ def describe_tool(name: str, zh: bool = False) -> str:
     return texts.get("zh" if zh else "en", texts.get("en", ""))
 
 
+def _is_kind(shape: Column, kind: str) -> Column:
+    return {
+        "string": shape == "STRING",
+        "number": shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"),
+        "array": shape.startswith("ARRAY"),
+        "object": shape.startswith("OBJECT"),
+        "boolean": shape == "BOOLEAN",
+    }[kind]
+
+
+def _item_checks(v: Column, name: str, rule: Param) -> list[Column]:
+    """Rules on the items of an array parameter."""
+    items = F.try_variant_get(v, f"$.{name}", "array<variant>")
+    checks = []
+    if rule.items:
+        odd = F.exists(items, lambda i: ~F.coalesce(_is_kind(F.schema_of_variant(i), rule.items), F.lit(False)))
+        checks.append(F.when(odd, F.lit(f"'{name}' has an item that is not of type '{rule.items}'")))
+    if rule.item_enum:
+        words = F.try_variant_get(v, f"$.{name}", "array<string>")
+        odd = F.exists(words, lambda w: ~w.isin(*rule.item_enum))
+        checks.append(F.when(odd, F.lit(f"'{name}' has an item that is not one of {list(rule.item_enum)}")))
+    if rule.min_items is not None:
+        checks.append(F.when(F.size(items) < rule.min_items, F.lit(f"'{name}' has less than {rule.min_items} items")))
+    if rule.max_items is not None:
+        checks.append(F.when(F.size(items) > rule.max_items, F.lit(f"'{name}' has more than {rule.max_items} items")))
+    return checks
+
+
 def params_error(params: Column | str, rules: dict[str, Param]) -> Column:
     """First rule a parameter text breaks, or null. Fenced JSON is accepted."""
     text = unfence(params)
@@ -62,13 +94,7 @@ def params_error(params: Column | str, rules: dict[str, Param]) -> Column:
         value = F.try_variant_get(v, f"$.{name}", "variant")
         kind = F.schema_of_variant(value)
         here = value.isNotNull()
-        wanted = {
-            "string": kind == "STRING",
-            "number": kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"),
-            "array": kind.startswith("ARRAY"),
-            "object": kind.startswith("OBJECT"),
-            "boolean": kind == "BOOLEAN",
-        }[rule.kind]
+        wanted = _is_kind(kind, rule.kind)
         if rule.required:
             checks.append(F.when(~here, F.lit(f"'{name}' is a required property")))
         checks.append(F.when(here & ~wanted, F.lit(f"'{name}' is not of type '{rule.kind}'")))
@@ -80,6 +106,8 @@ def params_error(params: Column | str, rules: dict[str, Param]) -> Column:
             checks.append(F.when(here & (number < rule.low), F.lit(f"'{name}' is below {rule.low}")))
         if rule.high is not None:
             checks.append(F.when(here & (number > rule.high), F.lit(f"'{name}' is above {rule.high}")))
+        if rule.kind == "array":
+            checks += _item_checks(v, name, rule)
     return F.coalesce(*checks)
 
 
@@ -112,7 +140,7 @@ def _box_of(params: Column) -> Column:
     )
 
 
-_BOX = {"image": Param("string", True), "bbox_2d": Param("array", True)}
+_BOX = {"image": Param("string", True), "bbox_2d": Param("array", True, items="number", min_items=4, max_items=4)}
 
 
 def _boxed(text: Callable[[Column], Column]) -> ToolFn:
@@ -143,6 +171,6 @@ register_tool(
 )(_boxed(_described("zoom_in")))
 
 
-@register_tool("get_images", {"images": Param("array", True)}, {"en": "Show stored images again", "zh": "重新查看图像"})
+@register_tool("get_images", {"images": Param("array", True, items="string")}, {"en": "Show stored images again", "zh": "重新查看图像"})
 def _get_images(params: Column) -> Column:
     return view_message(F.from_json(F.get_json_object(params, "$.images"), "array<string>"))

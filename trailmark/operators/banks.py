@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from trailmark.functions import views as V
 from trailmark.functions.jsons import extract_json, extract_json_object
 from trailmark.functions.text import index_text, prefix_task_id, strip
 from trailmark.operators.filters import filter_outcome, is_correct, non_empty
-from trailmark.operators.skew import row_number, running
+from trailmark.operators.skew import number_ranges
 from trailmark.operators.trajectories import to_states, with_trajectory
 from trailmark.schemas import VIEWS
 
@@ -25,11 +27,10 @@ from trailmark.schemas import VIEWS
 
 
 def mean_pool(df: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """Element-wise mean of the vectors of a key, as map-side combined averages."""
-    parts = df.select(key, F.posexplode(embedding).alias("_i", "_v"))
-    means = parts.groupBy(key, "_i").agg(F.avg("_v").alias("_m"))
-    packed = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_p"))
-    return packed.select(key, F.transform("_p", lambda p: p["_m"].cast("float")).alias(embedding))
+    """Element-wise mean of the vectors of a key, combined before the shuffle."""
+    vectors = df.where(F.col(embedding).isNotNull()).select(key, array_to_vector(embedding).alias("_v"))
+    means = vectors.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return means.select(key, vector_to_array("_m", "float32").alias(embedding))
 
 
 def with_fallback_text(
@@ -49,16 +50,23 @@ def with_fallback_text(
 
 
 def merge_banks(banks: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Append banks ``(prefix, meta, vectors)``; task ids get the prefix, rows the earlier banks' sizes.
+    """Append banks ``(prefix, meta, vectors)``; task ids get the prefix, rows follow the earlier banks' last row.
 
-    A view a bank lacks simply has no rows there, which is what masked means.
+    A view a bank lacks simply has no rows there, which is what masked means. Raises when vectors differ in length.
     """
-    metas, vectors, offset = [], [], 0
+    metas, vectors, offset, dim = [], [], 0, None
     for prefix, meta, vec in banks:
         shift = (F.col("bank_row") + F.lit(offset)).cast("long")
         metas.append(meta.withColumn("task_id", prefix_task_id(prefix, "task_id")).withColumn("bank_row", shift))
         vectors.append(vec.withColumn("bank_row", shift))
-        offset += meta.count()
+        rows = meta.select("bank_row", F.lit(None).cast("int").alias("n")).unionByName(
+            vec.select("bank_row", F.size("embedding").alias("n"))
+        )
+        last, low, high = rows.agg(F.max("bank_row"), F.min("n"), F.max("n")).first()
+        if low is not None and (low != high or low != (dim or low)):
+            raise ValueError(f"bank {prefix} has vectors of {low} to {high} numbers, expected {dim or low}")
+        dim = dim or low
+        offset += 0 if last is None else last + 1
     out_meta, out_vec = metas[0], vectors[0]
     for m, v in zip(metas[1:], vectors[1:]):
         out_meta = out_meta.unionByName(m, allowMissingColumns=True)
@@ -177,15 +185,12 @@ def build_state_bank(
 
     ``save`` writes a table and reads it back (or checkpoints it). It is applied
     to the annotated states, because annotations are not repeatable and both
-    bank tables derive from them.
+    bank tables derive from them, and to the vectors, so that a payload is encoded once.
     """
     states = annotated_states(traces, annotator, mode, tools)
     state_text = V.compose_view("elements", F.lit(VIEWS[-1]))["text"]
     kept = save(states.withColumn("state_text", state_text).withColumn("available_views", V.available_views("elements")))
-    ranked = running(
-        kept, [], {"key": _text_axis("task_id")}, {"bank_row": row_number()}, ["task_id", "state"]
-    ).withColumn("bank_row", F.col("bank_row") - 1)
-    meta = save(ranked)
+    meta = save(number_ranges(kept, ["task_id", "state"], "bank_row", save))
     payload = (
         meta.select("bank_row", "elements", F.explode_outer("available_views").alias("view"))
         .where("view is not null")
@@ -193,7 +198,7 @@ def build_state_bank(
         .select("bank_row", "view", F.col("p.text").alias("text"), F.col("p.images").alias("images"))
     )
     vectors = models.embed(payload, encoder, images="images", batch_size=batch_size)
-    return meta, vectors.select("bank_row", "view", "embedding")
+    return meta, save(vectors.select("bank_row", "view", "embedding"))
 
 
 def build_trace_bank(
@@ -215,11 +220,9 @@ def build_trace_bank(
         index_text("question", "sub_task").alias("text"), "images",
     )
     kept = save(non_empty(rows, "experience", "text"))
-    embedded = models.embed(kept, encoder, images="images", batch_size=batch_size)
-    ranked = running(embedded, [], {"key": _text_axis("task_id")}, {"bank_row": row_number()}, ["task_id"])
-    return ranked.select(
-        (F.col("bank_row") - 1).alias("bank_row"), "task_id", "experience", "source", "embedding"
-    )
+    ranked = number_ranges(kept, ["task_id"], "bank_row", save)
+    embedded = models.embed(ranked, encoder, images="images", batch_size=batch_size)
+    return save(embedded.select("bank_row", "task_id", "experience", "source", "embedding"))
 
 
 def _is_object_reply(reply: str) -> bool:
@@ -234,8 +237,3 @@ def _is_object_reply(reply: str) -> bool:
     except ValueError:
         return False
     return isinstance(parsed, dict) and bool(str(parsed.get("experience", "")).strip())
-
-
-def _text_axis(c: str) -> Column:
-    """Order-keeping number of the first seven bytes of a text."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(c), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.functions import choices as C
 from trailmark.functions.text import first_non_empty, is_blank, strip
@@ -42,6 +43,7 @@ class Dialect:
     keep: Expr | None = None  # rows that count once parsed (``_choices``, ``_answer``)
     images: str = "as_is"  # as_is, drop or placeholder
     idx_mode: str = "source"  # position in the source, or dense after filtering
+    listed: tuple[str, ...] = ()  # columns that may hold a list, of which the first non-blank item counts
 
 
 def _normal_options() -> Column:
@@ -114,7 +116,7 @@ DIALECTS: dict[str, Dialect] = {
         lambda: C.answer_text("answer", "_choices", strip_answer=True),
         lambda: strip("question"), prompt=lambda: strip("question"),
         before=lambda: (F.upper(strip(_text("question_type"))) == "MULTI CHOICE") & ~is_blank("question"),
-        keep=lambda: is_answerable("_answer", "_choices"), images="drop",
+        keep=lambda: is_answerable("_answer", "_choices"), images="drop", listed=("question", "answer"),
     ),
     "mmsi": Dialect(
         "MMSI-Bench", lambda: C.comma_options("question"), _letter_or_raw("answer"),
@@ -168,9 +170,18 @@ DIALECTS: dict[str, Dialect] = {
 }
 
 
+def _first_items(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    lists = [f.name for f in df.schema.fields if f.name.lower() in names and isinstance(f.dataType, T.ArrayType)]
+    for name in lists:
+        items = F.filter(F.transform(F.col(name).cast("array<string>"), strip), lambda x: x != "")
+        df = df.withColumn(name, F.coalesce(F.get(items, 0), F.lit("")))
+    return df
+
+
 def to_samples(df: DataFrame, dialect: str, idx_mode: str | None = None, position: str = "src_pos") -> DataFrame:
     """Unified samples of a source table; ``images`` holds its image paths."""
     d = DIALECTS[dialect]
+    df = _first_items(df, d.listed)
     rows = df if d.before is None else df.where(d.before())
     parsed = rows.withColumn("_choices", d.choices()).withColumn("_answer", d.answer())
     if d.keep is not None:

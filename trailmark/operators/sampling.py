@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from trailmark.operators.skew import TARGET_ROWS, hash_axis, row_number, running, small_side
 
-ORDER_LIMIT = 100_000  # largest n kept by one ordered limit
-
 
 def shuffle_key(seed: int, idx: str = "idx") -> Column:
     """Repeatable random order: digest of seed and row id."""
@@ -21,14 +19,13 @@ def group_name(key: str) -> Column:
 
 def limit_samples(df: DataFrame, n: int, position: str = "src_pos") -> DataFrame:
     """First ``n`` rows in source order."""
-    return df.orderBy(position).limit(n)
+    ranked = running(df, [], {"pos": F.col(position)}, {"_rn": row_number()})
+    return ranked.where(F.col("_rn") <= n).drop("_rn")
 
 
 def sample_random(df: DataFrame, n: int, seed: int = 42, idx: str = "idx") -> DataFrame:
     """Exactly min(n, rows) rows in a repeatable random choice."""
     keyed = df.withColumn("_h", shuffle_key(seed, idx))
-    if n <= ORDER_LIMIT:
-        return keyed.orderBy("_h").limit(n).drop("_h")
     ranked = running(keyed, [], {"h": hash_axis(F.col("_h"))}, {"_rn": row_number()}, ["_h"])
     return ranked.where(F.col("_rn") <= n).drop("_h", "_rn")
 

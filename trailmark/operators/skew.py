@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TARGET_ROWS = 2_000_000  # rows one task may order
 BROADCAST_ROWS = 200_000  # rows of a side that may be broadcast
-MAX_LEVELS = 6
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -41,10 +41,11 @@ def cut_hot_keys(
     the axes' order, so sorting by the cut columns and then by the axes equals
     sorting by the axes. The bounds are exact aggregates, so a recomputed task
     cuts at the same places. Ranges that stay too large are cut again; an axis
-    that is constant in a range gives way to the next one.
+    that is constant in a range gives way to the next one. Every cut parts the lowest
+    from the highest value, so the cutting ends.
     """
     cuts: list[str] = []
-    for level in range(MAX_LEVELS):
+    for level in count():
         group = keys + cuts
         aggs = [F.count(F.lit(1)).alias("_n")]
         for i, a in enumerate(axes):
@@ -169,6 +170,24 @@ def running(
     return out.drop(*cuts, *axis_names)
 
 
+def number_ranges(
+    df: DataFrame, order: list[str], name: str, save: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Add the 0-based position in the order of columns of any type.
+
+    Range partitions are sorted apart and stored by ``save``, because their bounds come from a sample and must not
+    be drawn again; the sizes of the partitions before give the offset. The window runs over one row per partition.
+    """
+    placed = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # fixed values: an id is the partition number and 33 bits of position
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    joined = placed.join(F.broadcast(offsets), part == F.col("_part"))
+    return joined.withColumn(name, position).drop("_at", "_part", "_before")
+
+
 def hash_axis(digest: Column) -> Column:
     """Order-keeping number of a hex digest."""
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")

@@ -239,12 +239,11 @@ def paren_question(spark, d):
 
 
 @query("clean_choice", """
-SELECT doc_id, kind, text AS cleaned FROM (SELECT doc_id, ltrim(text) AS text FROM documents), (VALUES ('(B) '), ('b. '), ('C) '), ('D: ')) k(kind)
-WHERE NOT regexp_matches(text, '^(\\(\\p{L}\\).|\\p{L}[.)：:].)')""".replace("\\\\", "\\"))
+SELECT doc_id, kind, ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cleaned
+FROM documents, (VALUES ('(B) '), ('b. '), ('C) '), ('D: ')) k(kind)""")
 def clean_choice(spark, d):
     kinds = F.explode(F.array(*[F.lit(k) for k in ("(B) ", "b. ", "C) ", "D: ")]))
-    t = B.table(spark, d, "documents").select("doc_id", F.ltrim("text").alias("text"), kinds.alias("kind"))
-    t = t.where(~F.col("text").rlike(r"^(\(\p{L}\).|\p{L}[.)：:].)"))
+    t = B.table(spark, d, "documents").select("doc_id", "text", kinds.alias("kind"))
     return t.select("doc_id", "kind", C.clean_choice(F.concat("kind", "text")).alias("cleaned"))
 
 
@@ -269,11 +268,18 @@ def read_source(spark, d):
 _PROFILED = {"nation": "n_nationkey,n_name,n_regionkey", "labels": "doc_id,quality,toxic", "conversations": "conv_id,turn,role,text"}
 
 
+def _first_row_sql(table: str, columns: str) -> str:
+    shown = " || ' | ' || ".join(
+        f"'{c}: ' || coalesce(CASE WHEN length({c}::VARCHAR) > 150 THEN left({c}::VARCHAR, 150) || '...' ELSE {c}::VARCHAR END, 'None')"
+        for c in columns.split(",")
+    )
+    return f"(SELECT {shown} FROM {table} LIMIT 1)"
+
+
 @query("profile_tables", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, '{c}' AS column_names" for t, c in _PROFILED.items()))
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, '{c}' AS column_names, {_first_row_sql(t, c)} AS sample" for t, c in _PROFILED.items()))
 def profile_tables(spark, d):
-    p = tables.profile_tables({t: B.table(spark, d, t) for t in _PROFILED})
-    return p.select("table_name", "n_rows", "column_names")
+    return tables.profile_tables({t: B.table(spark, d, t) for t in _PROFILED})
 
 
 @query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS shown FROM documents")

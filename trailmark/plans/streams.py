@@ -64,7 +64,7 @@ FROM live_steps WHERE kind <> 'search' WINDOW w AS (PARTITION BY task_id ORDER B
 def stream_trajectory(spark, d):
     live.use_rocksdb(spark)
     out = _finish(live.stream_trajectory(_step_stream(spark, d)), spark)
-    return out.select(
+    return live.current_rows(out, ["task_id", "event_seq"], "kind").select(
         "task_id", "event_seq", "step", "kind", F.coalesce("state_index", F.lit(-1)).alias("state_index"),
         F.coalesce("thinking", F.lit("")).alias("thinking"), "n_observations",
     )
@@ -82,7 +82,8 @@ def stream_retrieval(spark, d):
         F.col("user_id").cast("string").alias("task_id"), F.lit(0).alias("state_index"),
         F.col("event_id").alias("request_no"), view[F.col("event_type")].alias("view"), have.alias("available_views"),
     )
-    return _finish(live.stream_retrieval(asked, 2), spark).select("task_id", "request_no", "view", "outcome", "round")
+    out = live.current_rows(_finish(live.stream_retrieval(asked, 2), spark), ["task_id", "request_no"], "outcome")
+    return out.select("task_id", "request_no", "view", "outcome", "round")
 
 
 @query("stream_turn_budget", """
@@ -99,7 +100,8 @@ def stream_turn_budget(spark, d):
         F.col("event_type").isin("click", "purchase").cast("int").alias("n_actions"),
         ((F.col("event_type") == "signup") & (F.col("value") > 40)).alias("answered"),
     )
-    return _finish(live.stream_turn_budget(turns, 10, 1), spark)
+    out = live.current_rows(_finish(live.stream_turn_budget(turns, 10, 1), spark), ["task_id", "last_turn"], "outcome")
+    return out.drop("last_turn")
 
 
 @query("stream_search", _search_sql(5, 0.05, 5, 25))

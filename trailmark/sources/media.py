@@ -135,12 +135,18 @@ def _swap(properties: DataFrame, refs: DataFrame, source: str, target: str) -> D
     return joined.withColumn("value", F.coalesce("_to", "value")).drop("_task", "_from", "_to")
 
 
+_JSON_PARTS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*:)?|[^"]+|"'  # a key with its colon, a text, or what lies between
+
+
 def replace_in_json(text: Column, lookup: Column) -> Column:
-    """Replace whole string values of nested JSON text through a lookup map."""
-    keys = F.map_keys(lookup)
-    return F.reduce(
-        keys, text,
-        lambda acc, k: F.replace(acc, F.concat(F.lit('"'), k, F.lit('"')), F.concat(F.lit('"'), lookup[k], F.lit('"'))),
-    )
+    """Replace whole string values of nested JSON text through a lookup map, each once; keys stay."""
 
+    def swapped(part: Column) -> Column:
+        inner = F.substring(part, F.lit(2), F.length(part) - 2)
+        decoded = F.get(F.from_json(F.concat(F.lit("["), part, F.lit("]")), "array<string>"), 0)
+        found = F.try_element_at(lookup, F.when(F.contains(part, F.lit("\\")), decoded).otherwise(inner))
+        quoted = F.regexp_extract(F.to_json(F.array(found)), r"(?s)^\[(.*)\]$", 1)
+        is_value = part.startswith('"') & part.endswith('"') & (F.length(part) > 1)
+        return F.when(is_value & found.isNotNull(), quoted).otherwise(part)
 
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_JSON_PARTS), F.lit(0)), swapped), "")
