@@ -160,19 +160,39 @@ def test_near_duplicates(odd, small, words):
         assert got == brute_components(docs, words)
 
 
-def test_large_group_of_near_copies(llm):
+@pytest.mark.parametrize(("edits", "wide"), [(4, 4096), (3, 130)])
+def test_large_group_of_near_copies(llm, monkeypatch, edits, wide):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(150)]
     docs = []
     for i in range(250):
-        w = list(base)
-        for at in rng.integers(0, 150, 4):
+        w = base[: 150 - 25 * (i % 2)]  # half of the sets are wider than the second limit
+        for at in rng.integers(0, len(w), edits):
             w[at] = f"n{i}_{at}"
         docs.append((i, " ".join(w)))
-    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(near_duplicates(llm.createDataFrame(docs, "doc_id long, text string"))))
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(near_duplicates(llm.createDataFrame(docs, "doc_id long, text string"), wide=wide)))
     assert got == brute_components(docs, 4)
 
 
+def test_folded_sets_lose_no_link():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.int64).astype(np.uint64)) for _ in range(3)]
+    sets[0][:2] = [1, 1 << 32]  # these two fold to one number
+    sets += [np.unique(np.concatenate([sets[0][:k], sets[1]])) for k in (58, 30, 2)]
+    for s in sets:
+        s.sort()
+    folds = [np.frombuffer(near_dedup._fold(s, 4096), np.uint32) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    assert len(folds[0]) == sizes[0] - 1
+    for percent in (10, 30, 48, 80, 100):
+        for x, f in zip(sets, folds):
+            got = near_dedup._may_link(f, folds, len(x), sizes, percent)
+            for y, may in zip(sets, got):
+                both = len(np.intersect1d(x, y))
+                assert may or 100 * both < percent * (len(x) + len(y) - both)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)

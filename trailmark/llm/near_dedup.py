@@ -19,6 +19,7 @@ from trailmark.llm.components import components
 BANDS, ROWS = 40, 5  # a pair at similarity 0.8 misses all bands once in 8 million
 SLACK = 0.15  # five standard errors of a similarity estimated from BANDS * ROWS coordinates
 BLOCK = 512  # rows of a bucket compared at once
+WIDE = 4096  # sets up to this size are compared in their block, 16 KB each; wider ones by estimate, then by join
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -92,10 +93,16 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _fold(shingles: np.ndarray, wide: int) -> bytes | None:
+    """Distinct 32-bit foldings of a set; none for wide sets."""
+    return np.unique((shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)).tobytes() if len(shingles) <= wide else None
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, fold: int | None) -> Iterator[pa.RecordBatch]:
+    pack = np.ndarray.tobytes if fold is None else partial(_fold, wide=fold)
     for batch in batches:
         for first, end, data, offsets in bt.parts(batch.column("text")):
-            sets = [s.tobytes() for s in shingle_sets(bt.lower(data), offsets, words)]
+            sets = [pack(s) for s in shingle_sets(bt.lower(data), offsets, words)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").slice(first, end - first), pa.array(sets, pa.binary())], ["node", "shingles"]
             )
@@ -113,8 +120,21 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(rows: pd.DataFrame, percent: int, best: bool) -> pd.DataFrame:
-    """Pairs of one bucket's two blocks whose components differ and whose sizes and estimates allow a link.
+def _may_link(x: np.ndarray, others: list[np.ndarray], n: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``sizes`` shingles can be similar enough, from their foldings ``x`` and ``others``.
+
+    A common shingle is a common folding, and a set has lost as many foldings as its size exceeds theirs, so the
+    count below is never under the true one.
+    """
+    widths = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    both = np.add.reduceat(hit, np.cumsum(widths) - widths, dtype=np.int64) + np.minimum(n - len(x), sizes - widths)
+    return 100 * both >= percent * (n + sizes - both)
+
+
+def _across(rows: pd.DataFrame, percent: int, best: bool, limit: int) -> pd.DataFrame:
+    """Pairs of one bucket's two blocks whose components differ and whose sizes, estimates and sets allow a link.
 
     A pair that meets in several buckets is given by the first of them. ``best``: only each row's likeliest partner.
     """
@@ -122,6 +142,8 @@ def _across(rows: pd.DataFrame, percent: int, best: bool) -> pd.DataFrame:
     chunk, n, comp, hi, lo = (rows[c].to_numpy() for c in ("chunk", "n", "comp", "hi", "lo"))
     small = np.frombuffer(b"".join(rows["small"]), np.uint8).reshape(len(rows), -1)
     bands = np.stack(rows["bands"].to_numpy())
+    sets = None if best else [None if s is None else np.frombuffer(s, np.uint32) for s in rows["folded"]]
+    wide = n > limit
     left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
     found = []
     for at, i in enumerate(left):
@@ -135,6 +157,10 @@ def _across(rows: pd.DataFrame, percent: int, best: bool) -> pd.DataFrame:
         else:
             to = to[like >= percent / 100 - SLACK]
             to = to[bands[i][(bands[to] == bands[i]).argmax(axis=1)] == key]
+            near = to[~wide[to]]
+            if len(near) and not wide[i]:
+                near = near[_may_link(sets[i], [sets[j] for j in near], n[i], n[near], percent)]
+                to = np.concatenate([near, to[wide[to]]])
         found += [(hi[i], lo[i], hi[j], lo[j]) for j in to]
     return pd.DataFrame(found, columns=["ahi", "alo", "bhi", "blo"], dtype="int64")
 
@@ -143,7 +169,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, wide: int = WIDE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_hash for each row of ``docs``.
 
     Words are runs of non-blanks with A-Z lower-cased. A document's set is its distinct shingles of ``words`` words;
@@ -155,9 +181,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     Equal sets are one class from the start, so copies make no pairs. Within a bucket of a band every class is first
     checked against the bucket's smallest class only. Where that leaves a bucket with several components, all pairs
-    across components whose sizes and signatures allow a link are checked too, block by block: no link between
-    different components is lost, and large groups of near copies make no square of pairs. Full sets are made only
-    for classes that are in some pair.
+    across components whose sizes and signatures allow a link are compared too, block by block on sets folded to 32
+    bits, and those that can be links are confirmed on full sets: no link between different components is lost, and
+    groups of near copies, above the limit or just below it, make no square of pairs. Sets are made only for classes
+    that are compared.
     """
     rows = docs.select("doc_id", whole_text(docs).alias("text")).withColumn("of", F.xxhash64("text"))
     signed = save(rows.mapInArrow(
@@ -179,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     tested = pairs
     for best in (True, False):  # likely partners first: they join most of what can be joined, so few pairs are left
-        more = save(_left_over(signed, shared, found, percent, best).join(tested, ["a", "b"], "left_anti"))
+        more = save(_left_over(rows, signed, shared, found, words, percent, best, wide).join(tested, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             tested = tested.unionByName(more)
             links = links.unionByName(_verified(rows, signed, more, words, percent))
@@ -197,7 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     )
 
 
-def _left_over(signed: DataFrame, shared: DataFrame, found: DataFrame, percent: int, best: bool) -> DataFrame:
+def _left_over(
+    rows: DataFrame, signed: DataFrame, shared: DataFrame, found: DataFrame, words: int, percent: int, best: bool, wide: int
+) -> DataFrame:
     """Pairs to check between different components of a bucket."""
     comp = found.select(F.col("node").alias("c_node"), "component")
     node = F.struct("hi", "lo")
@@ -207,17 +236,22 @@ def _left_over(signed: DataFrame, shared: DataFrame, found: DataFrame, percent:
     )
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
     left = placed.join(mixed.where("c0 <> c1").select("key", F.ceil(F.col("rows") / BLOCK).alias("chunks")), "key")
-    small = signed.join(left.select("hi", "lo").distinct(), ["hi", "lo"]).dropDuplicates(["hi", "lo"])
-    left = left.join(small.select("hi", "lo", "small", "bands", F.col("n_shingles").alias("n")), ["hi", "lo"])
+    classes = left.select("hi", "lo").distinct()
+    small = signed.join(classes, ["hi", "lo"]).dropDuplicates(["hi", "lo"])
+    small = small.select("hi", "lo", "small", "bands", F.col("n_shingles").alias("n"))
+    if not best:
+        sets = _sets_of(rows, signed, classes.select(node.alias("node")), words, fold=wide)
+        small = small.join(sets.select("node.hi", "node.lo", F.col("shingles").alias("folded")), ["hi", "lo"])
+    left = left.join(small, ["hi", "lo"])
     left = left.withColumn("chunk", F.pmod("lo", "chunks"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     left = left.select(
-        "key", "hi", "lo", "comp", "small", "bands", "n", "chunk",
+        "key", *small.columns, "comp", "chunk",
         F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"),
     )
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
-        return _across(rows, percent, best)
+        return _across(rows, percent, best, wide)
 
     found = left.repartition(partitions(left.sparkSession), "key", "ci", "cj").groupBy("key", "ci", "cj")
     pairs = found.applyInPandas(across, "ahi long, alo long, bhi long, blo long")
@@ -225,12 +259,17 @@ def _left_over(signed: DataFrame, shared: DataFrame, found: DataFrame, percent:
     return _ordered(pairs.select(a.alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b")))
 
 
+def _sets_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame, words: int, fold: int | None = None) -> DataFrame:
+    """The shingle sets of the classes in ``nodes``, folded up to that size if ``fold`` is given."""
+    text_of = signed.where("hi is not null").select(F.struct("hi", "lo").alias("node"), "of").join(nodes, "node")
+    text_of = text_of.groupBy("node").agg(F.min("of").alias("of"))
+    texts = rows.join(text_of, "of").groupBy("node").agg(F.first("text").alias("text"))
+    return save(texts.mapInArrow(partial(_sets, words=words, fold=fold), "node struct<hi:long,lo:long>, shingles binary"))
+
+
 def _verified(rows: DataFrame, signed: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    text_of = signed.where("hi is not null").select(F.struct("hi", "lo").alias("node"), "of").join(nodes, "node").groupBy("node").agg(F.min("of").alias("of"))
-    texts = rows.join(text_of, "of").groupBy("node").agg(F.first("text").alias("text"))
-    sets = save(texts.mapInArrow(partial(_sets, words=words), "node struct<hi:long,lo:long>, shingles binary"))
+    sets = _sets_of(rows, signed, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words)
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     ready = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
