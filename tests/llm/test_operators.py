@@ -357,6 +357,63 @@ def test_trie_shares_sum_to_one():
     assert abs(p[:2].sum() - 1) < 0.06 and abs(p[2] - 1) < 0.03 and p[3] == 0
 
 
+def brute_scores(docs):
+    """Pair score and score of each document, counted with dictionaries."""
+    tokens = [WORD.findall((t or "").translate(LOW)) + [None] for _, t in docs]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in docs]
+    c, two, three, before, before2 = (collections.Counter() for _ in range(5))
+    for t, h in zip(tokens, held):
+        for i, w in enumerate(t if not h else []):
+            c[w] += 1
+            v, u = t[i - 1] if i else "\n", (t[i - 2] if i > 1 else "\n") if i else None
+            two[v, w] += 1
+            before[v] += 1
+            if i:
+                three[u, v, w] += 1
+                before2[u, v] += 1
+    n, v = sum(c.values()), len(c)
+
+    def weights(grams, contexts, chance=None):
+        hits, all_ = collections.Counter(), collections.Counter()
+        for g, k in grams.items():
+            if contexts[g[:-1] if len(g) > 2 else g[0]] > 1:
+                total = contexts[g[:-1] if len(g) > 2 else g[0]] - 1
+                hits[total.bit_length()] += k * (k - 1) / total
+                all_[total.bit_length()] += k
+        return {b: min(max((hits[b] / all_[b] - chance) / (1 - chance), 0), 0.95) for b in all_}, sum(hits.values()) / sum(all_.values())
+
+    mix, chance = weights(two, before, sum(k * k for k in c.values()) / n**2)
+    mix3, _ = weights(three, before2, chance)
+    out = []
+    for t in tokens:
+        pair = score = 0
+        for i, w in enumerate(t):
+            v_, u = t[i - 1] if i else "\n", (t[i - 2] if i > 1 else "\n") if i else None
+            a = mix.get(before[v_].bit_length(), 0)
+            p = a * two[v_, w] / max(before[v_], 1) + (1 - a) * (c[w] + 1) / (n + v + 1)
+            a = mix3.get(before2[u, v_].bit_length(), 0) if i else 0
+            pair += math.log10(p)
+            score += math.log10(a * three[u, v_, w] / max(before2[u, v_], 1) + (1 - a) * p)
+        out.append((len(t), round(pair, 6), round(score, 6)))
+    return sorted(out)
+
+
+def test_longer_contexts_count(odd, small):
+    for df in (odd, small):
+        got = rows_of(language_model.score(df.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2).alias("train")), F.col("train")))
+        want = brute_scores([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
+        for g, w in zip(sorted((r["n_tokens"], round(r["pair_score"], 6), round(r["score"], 6)) for r in got), want):
+            assert g == pytest.approx(w, abs=1e-5)
+
+
+def test_level_searches_inside_the_range_of_its_parent():
+    level = language_model.Level(3, np.array([0, 0, 2, 2]), np.array([4, 9, 4, 8], np.uint32), np.array([1, 2, 3, 300]))
+    parent, key = np.array([0, 0, 1, 2, 2, 2]), np.array([9, 8, 4, 4, 8, 9], np.uint32)
+    assert level.count(*level.range(parent), key).tolist() == [2, 0, 0, 3, 300, 0]
+    values = np.sort(np.random.default_rng(8).integers(0, 1 << 40, 3000)).astype(np.uint64)
+    assert elias_fano.EliasFano(values).at(np.arange(3000)).tolist() == values.tolist()
+
+
 # ---- fingerprints ----
 
 

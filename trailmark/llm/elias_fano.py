@@ -72,6 +72,19 @@ class EliasFano:
             out[i] = word * 64 + place + 1 - k
         return out
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The values at the given places."""
+        out = np.zeros(len(i), np.int64)
+        words = np.asarray(self.upper).view(np.uint64)
+        ones = np.arange(len(self.zeros)) * 64 - self.zeros  # before each word of 64 bits
+        for a in range(0, len(i), _SELECT_ROWS):
+            k = i[a : a + _SELECT_ROWS] + 1  # the k-th one, from 1
+            word = np.searchsorted(ones, k, "left") - 1
+            bits = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            place = (np.cumsum(bits, axis=1, dtype=np.int16) >= (k - ones[word])[:, None]).argmax(axis=1)
+            out[a : a + _SELECT_ROWS] = word * 64 + place + 1 - k
+        return (out << self.low_bits) | self._low(i).astype(np.int64)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first value that is ``x`` or more, and whether it equals ``x``."""
         x = x.astype(np.uint64)

@@ -1,20 +1,19 @@
-"""Language-model scoring: an n-gram trie in Elias-Fano levels, sharded by context, queried by context-relative search."""
+"""Language-model scoring: an n-gram trie of three levels, sharded by context, queried by context-relative search."""
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm import bytestext as bt
+from trailmark.llm.blobs import joined, pack_arrays, planes, unpack_arrays
 from trailmark.llm.common import crc_mod, save, whole_text
 from trailmark.llm.elias_fano import EliasFano, mapped
 
@@ -25,24 +24,9 @@ _STEP = 12.0 / (LEVELS - 1)  # decades per code
 BINS = 40  # of context counts, by powers of two
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
-
-
-def _unpack(blob: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))) as z:
-        return dict(z)
-
-
-def _planes(x: np.ndarray) -> np.ndarray:
-    """Bytes of equal weight next to each other; compresses numbers of few bits."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.copy()
-
-
-def _joined(planes: np.ndarray, dtype: type) -> np.ndarray:
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -68,83 +52,127 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[order], row[order]
 
 
-def _pairs(ids: np.ndarray, row: np.ndarray, begin: int, size: int) -> np.ndarray:
-    """Context id * size + word id of every token."""
+def _grams(ids: np.ndarray, row: np.ndarray, begin: int, size: int) -> tuple[np.ndarray, ...]:
+    """Distinct pairs (context, word), longer contexts (context, word before it) and triples (longer context, pair) of
+    the texts, each followed by the index of every token in it; tokens behind two others of their text (the begin
+    counts) have triples, and the last result says which they are."""
     context = np.empty(len(ids), np.int64)
     if len(ids):
         context[0] = begin
         context[1:] = np.where(row[1:] == row[:-1], ids[:-1], begin)
-    return context * size + ids
+    pairs, pair = np.unique(context * size + ids, return_inverse=True)
+    deep = np.flatnonzero(row[1:] == row[:-1]) + 1
+    befores, before = np.unique(context[deep] * size + context[deep - 1], return_inverse=True)
+    triples, triple = np.unique(before * max(len(pairs), 1) + pair[deep], return_inverse=True)
+    return pairs, pair, befores, before, triples, triple, deep
 
 
 def _ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Per part of the input: its texts as local word ids, and for every shard its words, their training counts, and the
-    distinct successors that follow them in the part, with training counts (0: only asked for)."""
+    """Per part of the input: its texts as local word ids, and for every shard its words, the distinct words behind and
+    before them in the part, and the distinct triples around them, with training counts (0: only asked for)."""
     task, seen = TaskContext.get().partitionId(), 0
     width = np.uint64((1 << 64) // shards + 1)
     for batch in batches:
         train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        ids_of = batch.column("doc_id").to_numpy()
         for first, end, data, offsets in bt.parts(batch.column("text"), 2 * bt.PART_BYTES):
             part = (task << 32) | seen
             seen += 1
             hashes, row = _tokens(data, offsets)
             vocab, ids = np.unique(np.concatenate([hashes, [BEGIN]]), return_inverse=True)
-            begin, ids = int(ids[-1]), ids[:-1].astype(np.int64)
+            begin, ids, size = int(ids[-1]), ids[:-1].astype(np.int64), len(vocab)
             learn = train[first:end][row]
-            counts = np.bincount(ids[learn], minlength=len(vocab))
-            pairs = _pairs(ids, row, begin, len(vocab))
-            asked, inverse = np.unique(pairs, return_inverse=True)
-            times = np.bincount(inverse[learn], minlength=len(asked))
-            context = asked // len(vocab)
-            child = (bt.mix64(vocab[asked % len(vocab)]) >> np.uint64(32)).astype(np.uint32)
+            counts = np.bincount(ids[learn], minlength=size)
+            pairs, pair, befores, _, triples, triple, deep = _grams(ids, row, begin, size)
+            times = np.bincount(pair[learn], minlength=len(pairs))
+            times3 = np.bincount(triple[learn[deep]], minlength=len(triples))
+            key = (bt.mix64(vocab) >> np.uint64(32)).astype(np.uint32)
+            context, before_context = pairs // size, befores // size
+            above, after = np.divmod(triples, max(len(pairs), 1))
+            after = after - np.searchsorted(context, before_context)[above]  # place among the words behind the context
             cuts = np.searchsorted((vocab // width).astype(np.int64), np.arange(shards + 1))
-            pair_cuts = np.searchsorted(context, cuts)
+            pair_cuts, before_cuts = np.searchsorted(context, cuts), np.searchsorted(before_context, cuts)
+            triple_cuts = np.searchsorted(above, before_cuts)
             # the texts travel with the first question and come back with the answers
-            rows = [0]
-            blobs = [_pack(ids=_planes(ids.astype(np.uint32)), lengths=np.bincount(row, minlength=end - first), vocab=np.array([len(vocab), begin]))]
-            kinds, docs = [0], [batch.column("doc_id").slice(first, end - first).to_numpy(zero_copy_only=False)]
+            blobs = [pack_arrays(
+                planes(ids.astype(np.uint32)), np.bincount(row, minlength=end - first), np.array([size, begin]),
+                planes(ids_of[first:end].astype(np.int64)), train[first:end].astype(np.uint8), level=1,
+            )]
+            rows, kinds = [part % shards], [0]
             for s in np.flatnonzero(np.diff(cuts)):
-                v, p = slice(cuts[s], cuts[s + 1]), slice(pair_cuts[s], pair_cuts[s + 1])
-                words = vocab[v]
-                blobs.append(_pack(
-                    words=_planes(np.diff(words, prepend=np.uint64(0))), counts=counts[v],
-                    degree=np.bincount(context[p] - cuts[s], minlength=len(words)), child=child[p], times=times[p],
+                v, p, b, t = (slice(c[s], c[s + 1]) for c in (cuts, pair_cuts, before_cuts, triple_cuts))
+                n = cuts[s + 1] - cuts[s]
+                blobs.append(pack_arrays(
+                    planes(np.diff(vocab[v], prepend=np.uint64(0))), _small(counts[v]),
+                    _small(np.bincount(context[p] - cuts[s], minlength=n)), key[pairs[p] % size], _small(times[p]),
+                    _small(np.bincount(before_context[b] - cuts[s], minlength=n)), key[befores[b] % size],
+                    _small(np.bincount(above[t] - before_cuts[s], minlength=before_cuts[s + 1] - before_cuts[s])),
+                    _small(after[t]), _small(times3[t]), level=1,
                 ))
                 rows.append(int(s))
                 kinds.append(1)
-            null = pa.array([None], pa.binary()).take(pa.array([0] * (len(rows) - 1), pa.int32())) if len(rows) > 1 else pa.array([], pa.binary())
-            keys = pa.concat_arrays([pa.array([_pack(doc=_planes(pa.array(docs[0]).to_numpy().astype(np.int64)))], pa.binary()), null])
-            rows[0] = part % shards
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(kinds, pa.int64()), pa.array(blobs, pa.binary()), keys],
-                ["shard", "part", "kind", "blob", "docs"],
+                [pa.array(rows, pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(kinds, pa.int64()), pa.array(blobs, pa.binary())],
+                ["shard", "part", "kind", "blob"],
             )
 
 
+class Level:
+    """Ascending 32-bit keys under each parent with their counts; the pointers give each parent's range of keys."""
+
+    def __init__(self, parents: int, parent: np.ndarray, key: np.ndarray, times: np.ndarray) -> None:
+        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=parents))]))
+        self.keys, self.times = mapped(key.astype(np.uint32)), mapped(_small(times))
+
+    def range(self, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.pointers.at(parent), self.pointers.at(parent + 1)
+
+    def find(self, low: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each key inside its range, and whether it is there."""
+        low, top = low.copy(), end.copy()
+        if not len(self.keys):
+            return low, np.zeros(len(low), bool)
+        while (go := low < top).any():
+            mid = (low + top) // 2
+            less = self.keys[np.minimum(mid, len(self.keys) - 1)] < key
+            low, top = np.where(go & less, mid + 1, low), np.where(go & ~less, mid, top)
+        return low, (low < end) & (self.keys[np.minimum(low, len(self.keys) - 1)] == key)
+
+    def count(self, low: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Counts of the keys, 0 where the parent never had the key."""
+        at, same = self.find(low, end, key)
+        out = np.zeros(len(at), np.int64)
+        out[same] = self.times[at[same]]
+        return out
+
+
 class Trie:
-    """Words of a shard and their successors, each level a monotone sequence with quantised probabilities beside it.
+    """Words of a shard, the words behind each of them, and the words behind each of them and the word before it.
 
-    A successor's place is relative to its context: level two holds ``context index << 32 | successor key``, so the
-    successors of a context are one ascending range, whose ends the pointers give.
+    Keys are relative to their context: a context's successors are one ascending range, whose ends the pointers give,
+    and only that range is searched. ``longer`` holds the words before each word, as (word, key); ``third`` the words
+    behind such a pair, as (pair, key, times).
     """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, context: np.ndarray, child: np.ndarray, times: np.ndarray) -> None:
+    def __init__(
+        self, words: np.ndarray, counts: np.ndarray, context: np.ndarray, child: np.ndarray, times: np.ndarray,
+        longer: tuple[np.ndarray, np.ndarray] | None = None, third: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+    ) -> None:
+        none = np.empty(0, np.int64)
         self.words = EliasFano(words)
         self.counts = mapped(counts)
         self.total = np.bincount(context, times, minlength=len(words)).astype(np.int64)
-        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(np.bincount(context, minlength=len(words)))]))
-        self.level = EliasFano((context.astype(np.uint64) << np.uint64(32)) | child)
-        self.codes = mapped(quantise(times / np.maximum(self.total[context], 1)))
+        self.behind = Level(len(words), context, child, times)
+        longer, third = longer or (none, none), third or (none, none, none)
+        self.longer = Level(len(words), *longer, none)
+        self.third = Level(len(longer[0]), *third)
 
     def find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.words.successor(word)
 
     def probability(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Codes of the successors' shares of their contexts; 0 where a context never had the successor."""
-        at, same = self.level.successor((context.astype(np.uint64) << np.uint64(32)) | child)
-        out = np.zeros(len(at), np.uint8)
-        out[same] = np.asarray(self.codes)[at[same]]
-        return out
+        return quantise(self.behind.count(*self.behind.range(context), child) / np.maximum(self.total[context], 1))
 
 
 def _bin(count: np.ndarray) -> np.ndarray:
@@ -152,101 +180,148 @@ def _bin(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(np.uint8)
 
 
+def _unique_sums(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys as their upper and lower 32 bits, and the sum of each."""
+    found, inverse = np.unique(key, return_inverse=True)
+    summed = np.bincount(inverse, times, minlength=len(found)).astype(np.int64)
+    return (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32), summed
+
+
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Build one shard's trie from the training counts of all parts and answer every part's questions with it."""
-    out = [(r.part, r.shard, 0, r.blob, r.docs) for r in rows[rows["kind"] == 0].itertuples()]
+    out = [(r.part, r.shard, 0, r.blob) for r in rows[rows["kind"] == 0].itertuples()]
     asked = rows[rows["kind"] == 1]
-    parts = [_unpack(b) for b in asked["blob"]]
+    parts = [unpack_arrays(b) for b in asked["blob"]]
     if parts:
-        words = [np.cumsum(_joined(p["words"], np.uint64), dtype=np.uint64) for p in parts]
-        contexts = [np.repeat(w, p["degree"]) for w, p in zip(words, parts)]
+        words = [np.cumsum(joined(p[0], np.uint64), dtype=np.uint64) for p in parts]
         known, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([p["counts"] for p in parts])).astype(np.int64)
-        child = np.concatenate([p["child"] for p in parts])
-        times = np.concatenate([p["times"] for p in parts])
-        where = np.searchsorted(known, np.concatenate(contexts))
-        learned = times > 0
-        key = (where[learned].astype(np.uint64) << np.uint64(32)) | child[learned]
-        pair, inverse = np.unique(key, return_inverse=True)
-        summed = np.bincount(inverse, times[learned]).astype(np.int64) if len(pair) else np.empty(0, np.int64)
-        trie = Trie(known, counts, (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32), summed)
-        # leave one out: how likely is a training token under the other occurrences of its context
-        total = trie.total[(pair >> np.uint64(32)).astype(np.int64)]
-        again = total > 1
-        share = np.where(again, (summed - 1) / np.maximum(total - 1, 1), 0.0)
-        bins = _bin(total - 1)
-        stats = _pack(
-            hits=np.bincount(bins[again], (share * summed)[again], minlength=BINS), tokens=np.bincount(bins[again], summed[again], minlength=BINS),
-            n=np.array([counts.sum(), (counts > 0).sum()]), squares=np.array([(counts.astype(float) ** 2).sum()]),
-        )
-        out.append((-1, int(asked["shard"].iat[0]), 2, stats, None))
-        for part, w, c, p in zip(asked["part"], words, contexts, parts):
-            at, _ = trie.find(w)
-            codes = trie.probability(np.repeat(at, p["degree"]), p["child"])
-            answer = _pack(counts=_planes(np.asarray(trie.counts)[at]), bins=_bin(trie.total[at]), codes=codes)
-            out.append((part, int(asked["shard"].iat[0]), 1, answer, None))
-    return pd.DataFrame(out, columns=["part", "shard", "kind", "blob", "docs"])
-
-
-def _finish(rows: pd.DataFrame, mix: np.ndarray, total: int, types: int) -> pd.DataFrame:
-    """Scores of one part's texts from the answers of all shards."""
+        counts = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        wide, shift = np.uint64, np.uint64(32)
+        at = np.split(inverse, np.cumsum([len(w) for w in words])[:-1])
+        keys, keys_b, keys3 = [], [], []
+        for where, (_, _, degree, child, times, degree_b, before, degree3, after, times3) in zip(at, parts):
+            degree, degree_b = degree.astype(np.int64), degree_b.astype(np.int64)
+            keys.append((np.repeat(where, degree).astype(wide) << shift) | child)
+            keys_b.append((np.repeat(where, degree_b).astype(wide) << shift) | before)
+            keys3.append(child[np.repeat(np.repeat(np.cumsum(degree) - degree, degree_b), degree3) + after])
+        times = np.concatenate([p[4] for p in parts]).astype(np.int64)
+        times3 = np.concatenate([p[9] for p in parts]).astype(np.int64)
+        key, learned = np.concatenate(keys), times > 0
+        pairs = _unique_sums(key[learned], times[learned])
+        above, learned = np.concatenate([np.repeat(k, p[7]) for k, p in zip(keys_b, parts)]), times3 > 0
+        longer, above = np.unique(above[learned], return_inverse=True)
+        third = _unique_sums((above.astype(wide) << shift) | np.concatenate(keys3)[learned], times3[learned])
+        trie = Trie(known, counts, *pairs, ((longer >> shift).astype(np.int64), (longer & wide(0xFFFFFFFF)).astype(np.uint32)), third)
+        shard = int(asked["shard"].iat[0])
+        out.append((-1 - shard, shard, 2, pack_arrays(np.array([counts.sum(), (counts > 0).sum()], float), np.array([(counts.astype(float) ** 2).sum()]))))
+        for part, w, p, child3 in zip(asked["part"], words, parts, keys3):
+            where, _ = trie.find(w)
+            low, end = (np.repeat(x, p[2]) for x in trie.behind.range(where))
+            found = trie.behind.count(low, end, p[3])
+            low, end = (np.repeat(x, p[5]) for x in trie.longer.range(where))
+            pair, same = trie.longer.find(low, end, p[6])
+            low, end = trie.third.range(np.where(same, pair, 0)) if len(longer) else (np.zeros(len(pair), np.int64),) * 2
+            end = np.where(same, end, low)
+            found3 = trie.third.count(np.repeat(low, p[7]), np.repeat(end, p[7]), child3)
+            out.append((part, shard, 1, pack_arrays(_small(np.asarray(trie.counts)[where]), _small(found), _small(found3), level=1)))
+    return pd.DataFrame(out, columns=["part", "shard", "kind", "blob"])
+
+
+def _contexts(count: np.ndarray, count2: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often training texts have the context of each token, one word and two words long.
+
+    All texts end, so the first word's context occurs as often as the end does; it is no longer context.
+    """
+    first = np.cumsum(length) - length
+    total, total2 = np.empty_like(count), np.empty_like(count)
+    total[1:], total2[1:] = count[:-1], count2[:-1]
+    total[first], total2[first] = count[-1:], 0
+    return total, total2
+
+
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts of every token of a part, and its training tokens' leave-one-out statistics; totals of a shard pass through."""
     rows = rows.drop_duplicates(["kind", "shard"]).sort_values("shard")
-    texts = rows[rows["kind"] == 0].iloc[0]
-    doc = _joined(_unpack(texts["docs"])["doc"], np.int64)
-    text = _unpack(texts["blob"])
-    ids, (size, begin) = _joined(text["ids"], np.uint32).astype(np.int64), text["vocab"]
-    row = np.repeat(np.arange(len(doc)), text["lengths"])
-    answers = [_unpack(b) for b in rows[rows["kind"] == 1]["blob"]]
-    counts = np.concatenate([_joined(a["counts"], np.int64) for a in answers])
-    bins = np.concatenate([a["bins"] for a in answers])
-    codes = np.concatenate([a["codes"] for a in answers])
-    pairs = _pairs(ids, row, int(begin), int(size))
-    _, inverse = np.unique(pairs, return_inverse=True)
-    base = (counts[ids] + 1) / (total + types + 1)
-    weight = mix[bins[pairs // int(size)]]
-    p = weight * dequantise(codes[inverse]) + (1 - weight) * base
-    n = len(doc)
-    return pd.DataFrame({
-        "doc_id": doc, "n_tokens": text["lengths"].astype(np.int64), "n_known": np.bincount(row, counts[ids] > 0, minlength=n).astype(np.int64),
-        "base_score": np.bincount(row, np.log10(base), minlength=n), "score": np.bincount(row, np.log10(p), minlength=n),
-    })
+    if (rows["kind"] == 2).any():
+        return pd.DataFrame({"blob": [None], "stats": [pack_arrays(*[np.zeros(BINS)] * 4, *unpack_arrays(rows["blob"].iat[0]))]})
+    ids, length, (size, begin), doc, train = unpack_arrays(rows[rows["kind"] == 0]["blob"].iat[0])
+    ids = joined(ids, np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(length)), length)
+    answers = [unpack_arrays(b) for b in rows[rows["kind"] == 1]["blob"]]
+    known, known2, known3 = (np.concatenate([a[i] for a in answers]).astype(np.int64) for i in range(3))
+    _, pair, _, _, _, triple, deep = _grams(ids, row, int(begin), int(size))
+    count, count2, count3 = known[ids], known2[pair], np.zeros(len(ids), np.int64)
+    count3[deep] = known3[triple]
+    # leave one out: how likely is a training token under the other occurrences of its context
+    learn, stats = train[row] > 0, []
+    for c, total in zip((count2, count3), _contexts(count, count2, length)):
+        again = learn & (total > 1)
+        bins = _bin(total[again] - 1)
+        stats += [np.bincount(bins, (c[again] - 1) / (total[again] - 1), minlength=BINS), np.bincount(bins, minlength=BINS).astype(float)]
+    blob = pack_arrays(planes(count), planes(count2), planes(count3), length, doc, level=3)
+    return pd.DataFrame({"blob": [blob], "stats": [pack_arrays(*stats, np.zeros(2), np.zeros(1))]})
+
+
+def _finish(batches: Iterator[pd.DataFrame], mix: np.ndarray, mix3: np.ndarray, total: int, types: int) -> Iterator[pd.DataFrame]:
+    """Scores of the texts of each part under one, two and three words."""
+    for batch in batches:
+        for blob in batch["blob"]:
+            *counts, length, doc = unpack_arrays(blob)
+            count, count2, count3 = (joined(c, np.int64) for c in counts)
+            one, two = _contexts(count, count2, length)
+            row, n = np.repeat(np.arange(len(length)), length), len(length)
+            base = (count + 1) / (total + types + 1)
+            weight, weight3 = mix[_bin(one)], mix3[_bin(two)]
+            p = weight * (count2 / np.maximum(one, 1)) + (1 - weight) * base
+            p3 = weight3 * (count3 / np.maximum(two, 1)) + (1 - weight3) * p
+            yield pd.DataFrame({
+                "doc_id": joined(doc, np.int64), "n_tokens": length.astype(np.int64), "n_known": np.bincount(row, count > 0, minlength=n).astype(np.int64),
+                "base_score": np.bincount(row, np.log10(base), minlength=n), "pair_score": np.bincount(row, np.log10(p), minlength=n),
+                "score": np.bincount(row, np.log10(p3), minlength=n),
+            })
+
+
+def _mix(hits: np.ndarray, tokens: np.ndarray, chance: float) -> np.ndarray:
+    mix = np.where(tokens > 0, (hits / np.maximum(tokens, 1) - chance) / max(1 - chance, 1e-9), 0.0)
+    mix = np.clip(mix, 0, 0.95)
+    mix[0] = 0
+    return mix
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row; the model learns where ``train`` holds.
+    """doc_id, n_tokens, n_known, train_tokens, base_score, pair_score, score for each row; the model learns where ``train`` holds.
 
     Tokens are runs of non-blanks with A-Z lower-cased, and one end per text, so null and empty texts have one token.
-    The unigram gives (c + 1) / (N + V + 1), with one share for all unknown tokens. The bigram share c(u, w) / c(u)
-    is mixed in with a weight that depends on how often the context u was seen; the weights make the mixture agree
-    with how often training tokens repeat what else follows their context. Each step sums to one over all tokens.
+    The unigram gives (c + 1) / (N + V + 1), with one share for all unknown tokens. The bigram share c(v, w) / c(v)
+    is mixed in with a weight that depends on how often the context v was seen (``pair_score``), and the trigram share
+    c(u, v, w) / c(u, v) likewise on top (``score``); the weights make the mixture agree with how often training tokens
+    repeat what else follows their context. Each step sums to one over all tokens.
 
     Repeated rows are scored as they come; ids must not be null here (see ``score_all``); other columns are ignored.
 
-    Parts of the input ask shards about their distinct words and successors, with their training counts; a shard sums
-    the counts into a trie and answers. Frequent words are thus sent once per part. The number of shards grows with
-    the text, and no part of the model is sent whole to any task.
+    Parts of the input ask shards about their distinct words, the words behind and before them and the triples around
+    them, with their training counts; a shard sums the counts into a trie and answers with counts. Frequent words are
+    thus sent once per part. The number of shards grows with the text, and no part of the model is sent whole to any task.
     """
     rows = docs.select("doc_id", whole_text(docs).alias("text"), train.alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // SHARD_BYTES))
-    schema = "shard long, part long, kind long, blob binary, docs binary"
+    schema = "shard long, part long, kind long, blob binary"
     asked = rows.mapInArrow(partial(_ask, shards=shards), schema)
-    answered = save(asked.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer, "part long, shard long, kind long, blob binary, docs binary"))
-    stats = [_unpack(bytes(r["blob"])) for r in answered.where("kind = 2").select("blob").toLocalIterator()]
-    hits, tokens = sum((s["hits"] for s in stats), np.zeros(BINS)), sum((s["tokens"] for s in stats), np.zeros(BINS))
-    total, types = (int(x) for x in sum((s["n"] for s in stats), np.zeros(2, np.int64)))
-    chance = sum((float(s["squares"][0]) for s in stats), 0.0) / max(total, 1) ** 2
-    mix = np.where(tokens > 0, (hits / np.maximum(tokens, 1) - chance) / max(1 - chance, 1e-9), 0.0)
-    mix = np.clip(mix, 0, 0.95)
-    mix[0] = 0
-
-    def finish(part: pd.DataFrame) -> pd.DataFrame:
-        return _finish(part, mix, total, types)
-
-    scored = answered.where("kind < 2").repartition(shards, "part").groupBy("part").applyInPandas(
-        finish, "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    answered = asked.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer, "part long, shard long, kind long, blob binary")
+    merged = save(answered.repartition(shards, "part").groupBy("part").applyInPandas(_merge, "blob binary, stats binary"))
+    stats = [np.zeros(BINS)] * 4 + [np.zeros(2), np.zeros(1)]
+    for r in merged.select("stats").toLocalIterator():
+        stats = [a + b for a, b in zip(stats, unpack_arrays(bytes(r["stats"])))]
+    hits, tokens, hits3, tokens3, (total, types), (squares,) = stats
+    total, types = int(total), int(types)
+    mix = _mix(hits, tokens, squares / max(total, 1) ** 2)
+    mix3 = _mix(hits3, tokens3, hits.sum() / max(tokens.sum(), 1))
+    scored = merged.where("blob is not null").select("blob").mapInPandas(
+        partial(_finish, mix=mix, mix3=mix3, total=total, types=types),
+        "doc_id long, n_tokens long, n_known long, base_score double, pair_score double, score double",
     )
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "pair_score", "score")
 
 
 def score_all(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
