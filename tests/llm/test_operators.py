@@ -406,6 +406,33 @@ def test_longer_contexts_count(odd, small):
             assert g == pytest.approx(w, abs=1e-5)
 
 
+def test_hot_contexts_are_dealt_to_several_shards(llm, monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"hot {x}" for x in rng.integers(0, 1500, 200))) for i in range(60)]
+    df = llm.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    seen = []
+    monkeypatch.setattr(language_model, "HOT", 1 << 10)
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 8192)
+    hot = language_model._hot(df, 100_000, 16)
+    assert len(hot[0]) and max(hot[1]) == 16
+    for some in (hot, (hot[0][:0], hot[1][:0])):
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "train": [True] * len(docs)})
+        monkeypatch.setattr(language_model.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+        rows = next(language_model._ask(iter([batch]), 16, some)).to_pandas()
+        sizes = [len(language_model.unpack_arrays(b)[3]) for b in rows[rows["kind"] == 1]["blob"]]
+        seen.append(max(sizes) / sum(sizes))
+    assert seen[0] < 0.25 < seen[1]
+    monkeypatch.undo()
+    monkeypatch.setattr(language_model, "HOT", 1 << 10)
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 8192)
+    got = sorted((r["n_tokens"], round(r["pair_score"], 6), round(r["score"], 6)) for r in rows_of(language_model.score(df.select("*", train.alias("train")), F.col("train"))))
+    for g, w in zip(got, brute_scores(docs)):
+        assert g == pytest.approx(w, abs=1e-5)
+
+
 def test_level_searches_inside_the_range_of_its_parent():
     level = language_model.Level(3, np.array([0, 0, 2, 2]), np.array([4, 9, 4, 8], np.uint32), np.array([1, 2, 3, 300]))
     parent, key = np.array([0, 0, 1, 2, 2, 2]), np.array([9, 8, 4, 4, 8, 9], np.uint32)

@@ -18,6 +18,8 @@ from trailmark.llm.common import crc_mod, save, whole_text
 from trailmark.llm.elias_fano import EliasFano, mapped
 
 SHARD_BYTES = 4 << 20
+HOT = 1 << 16  # uses of a word as context that one shard takes; contexts of more are dealt to several
+RARE = 16  # uses in a part below which a part does not name a word when hot ones are sought
 END, BEGIN = np.uint64(1), np.uint64(2)  # stand for the end of a text and the context of its first word
 LEVELS = 255  # codes of a quantised probability
 _STEP = 12.0 / (LEVELS - 1)  # decades per code
@@ -52,24 +54,66 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[order], row[order]
 
 
-def _grams(ids: np.ndarray, row: np.ndarray, begin: int, size: int) -> tuple[np.ndarray, ...]:
+def _context_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """How often each part has the words it has ``least`` times or more as contexts."""
+    for batch in batches:
+        for _, _, data, offsets in bt.parts(batch.column("text"), 2 * bt.PART_BYTES):
+            words, times = np.unique(_tokens(data, offsets)[0], return_counts=True)
+            words[words == END] = BEGIN  # as many texts begin as end
+            many = times >= least
+            yield pa.RecordBatch.from_arrays([pa.array(words[many].view(np.int64)), pa.array(times[many])], ["word", "times"])
+
+
+def _hot(rows: DataFrame, size: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts with more uses than ``HOT``, and over how many shards each is dealt.
+
+    A part leaves out what it has less than its share of ``HOT`` of, or less than ``RARE``: so much is missed at most.
+    """
+    least = max(HOT // (2 * (1 + size // (2 * bt.PART_BYTES))), RARE)
+    found = rows.select("text").mapInArrow(partial(_context_counts, least=least), "word long, times long")
+    found = found.groupBy("word").agg(F.sum("times").alias("times")).where(F.col("times") > HOT // 2).toPandas()
+    words, times = found["word"].to_numpy(np.int64).view(np.uint64), found["times"].to_numpy(np.int64)
+    order = np.argsort(words)
+    return words[order], np.minimum(-(-times // (HOT // 2)), shards)[order]
+
+
+def _lanes(words: np.ndarray, ids: np.ndarray, context: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lane of each token under its context, by the token's hash, and the hash that deals it to a shard; lane 0 keeps the context's own."""
+    fan = np.ones(len(words), np.int64)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], words), len(hot[0]) - 1)
+        fan = np.where(hot[0][at] == words, hot[1][at], 1)
+    lane = (bt.mix64(words) & np.uint64(0xFFFFFFFF)).astype(np.int64)[ids] % fan[context]
+    split = lane > 0
+    own = words[context]
+    own[split] = bt.mix64(own[split] + lane[split].astype(np.uint64) * bt.BASE)
+    return lane, own
+
+
+def _before(ids: np.ndarray, row: np.ndarray, begin: int) -> np.ndarray:
+    """The word before each token in its text."""
+    out = np.empty(len(ids), np.int64)
+    if len(ids):
+        out[0] = begin
+        out[1:] = np.where(row[1:] == row[:-1], ids[:-1], begin)
+    return out
+
+
+def _grams(ids: np.ndarray, last: np.ndarray, context: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """Distinct pairs (context, word), longer contexts (context, word before it) and triples (longer context, pair) of
     the texts, each followed by the index of every token in it; tokens behind two others of their text (the begin
-    counts) have triples, and the last result says which they are."""
-    context = np.empty(len(ids), np.int64)
-    if len(ids):
-        context[0] = begin
-        context[1:] = np.where(row[1:] == row[:-1], ids[:-1], begin)
+    counts) have triples, and the last result says which they are. ``context`` is ``last``, the word before, or its lane."""
     pairs, pair = np.unique(context * size + ids, return_inverse=True)
     deep = np.flatnonzero(row[1:] == row[:-1]) + 1
-    befores, before = np.unique(context[deep] * size + context[deep - 1], return_inverse=True)
+    befores, before = np.unique(context[deep] * size + last[deep - 1], return_inverse=True)
     triples, triple = np.unique(before * max(len(pairs), 1) + pair[deep], return_inverse=True)
     return pairs, pair, befores, before, triples, triple, deep
 
 
-def _ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Per part of the input: its texts as local word ids, and for every shard its words, the distinct words behind and
-    before them in the part, and the distinct triples around them, with training counts (0: only asked for)."""
+    before them in the part, and the distinct triples around them, with training counts (0: only asked for). The lanes
+    of a hot context are words of their own, which no text has."""
     task, seen = TaskContext.get().partitionId(), 0
     width = np.uint64((1 << 64) // shards + 1)
     for batch in batches:
@@ -80,13 +124,25 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBa
             seen += 1
             hashes, row = _tokens(data, offsets)
             vocab, ids = np.unique(np.concatenate([hashes, [BEGIN]]), return_inverse=True)
-            begin, ids, size = int(ids[-1]), ids[:-1].astype(np.int64), len(vocab)
+            begin, ids = int(ids[-1]), ids[:-1].astype(np.int64)
+            last = _before(ids, row, begin)
+            lane, own = _lanes(vocab, ids, last, hot)
+            split = lane > 0
+            if split.any():
+                words, vocab = vocab, np.union1d(vocab, own[split])
+                moved = np.searchsorted(vocab, words)
+                begin, ids, last = int(moved[begin]), moved[ids], moved[last]
+            context = last.copy()
+            context[split] = np.searchsorted(vocab, own[split])
+            size = len(vocab)
             learn = train[first:end][row]
             counts = np.bincount(ids[learn], minlength=size)
-            pairs, pair, befores, _, triples, triple, deep = _grams(ids, row, begin, size)
+            pairs, pair, befores, _, triples, triple, deep = _grams(ids, last, context, row, size)
             times = np.bincount(pair[learn], minlength=len(pairs))
             times3 = np.bincount(triple[learn[deep]], minlength=len(triples))
             key = (bt.mix64(vocab) >> np.uint64(32)).astype(np.uint32)
+            lanes, at = np.unique(last[split] * shards + lane[split], return_index=True)
+            lane_words = context[split][at]
             context, before_context = pairs // size, befores // size
             above, after = np.divmod(triples, max(len(pairs), 1))
             after = after - np.searchsorted(context, before_context)[above]  # place among the words behind the context
@@ -96,7 +152,8 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBa
             # the texts travel with the first question and come back with the answers
             blobs = [pack_arrays(
                 planes(ids.astype(np.uint32)), np.bincount(row, minlength=end - first), np.array([size, begin]),
-                planes(ids_of[first:end].astype(np.int64)), train[first:end].astype(np.uint8), level=1,
+                planes(ids_of[first:end].astype(np.int64)), train[first:end].astype(np.uint8),
+                planes(_small(lane)), planes(lanes), planes(lane_words), level=1,
             )]
             rows, kinds = [part % shards], [0]
             for s in np.flatnonzero(np.diff(cuts)):
@@ -239,17 +296,21 @@ def _contexts(count: np.ndarray, count2: np.ndarray, length: np.ndarray) -> tupl
     return total, total2
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+def _merge(rows: pd.DataFrame, shards: int) -> pd.DataFrame:
     """Counts of every token of a part, and its training tokens' leave-one-out statistics; totals of a shard pass through."""
     rows = rows.drop_duplicates(["kind", "shard"]).sort_values("shard")
     if (rows["kind"] == 2).any():
         return pd.DataFrame({"blob": [None], "stats": [pack_arrays(*[np.zeros(BINS)] * 4, *unpack_arrays(rows["blob"].iat[0]))]})
-    ids, length, (size, begin), doc, train = unpack_arrays(rows[rows["kind"] == 0]["blob"].iat[0])
+    ids, length, (size, begin), doc, train, lane, lanes, lane_words = unpack_arrays(rows[rows["kind"] == 0]["blob"].iat[0])
     ids = joined(ids, np.uint32).astype(np.int64)
     row = np.repeat(np.arange(len(length)), length)
+    last = _before(ids, row, int(begin))
+    lane = joined(lane, np.dtype(f"u{len(lane) // len(ids)}")).astype(np.int64)
+    context, split = last.copy(), lane > 0
+    context[split] = joined(lane_words, np.int64)[np.searchsorted(joined(lanes, np.int64), last[split] * shards + lane[split])]
     answers = [unpack_arrays(b) for b in rows[rows["kind"] == 1]["blob"]]
     known, known2, known3 = (np.concatenate([a[i] for a in answers]).astype(np.int64) for i in range(3))
-    _, pair, _, _, _, triple, deep = _grams(ids, row, int(begin), int(size))
+    _, pair, _, _, _, triple, deep = _grams(ids, last, context, row, int(size))
     count, count2, count3 = known[ids], known2[pair], np.zeros(len(ids), np.int64)
     count3[deep] = known3[triple]
     # leave one out: how likely is a training token under the other occurrences of its context
@@ -302,14 +363,21 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     Parts of the input ask shards about their distinct words, the words behind and before them and the triples around
     them, with their training counts; a shard sums the counts into a trie and answers with counts. Frequent words are
     thus sent once per part. The number of shards grows with the text, and no part of the model is sent whole to any task.
+
+    Contexts of many uses are found by a count first, and their successors are dealt to several shards by hash. Shards
+    answer with counts, so no total is split: a context occurs as often as its word or pair, which one shard counts.
     """
     rows = docs.select("doc_id", whole_text(docs).alias("text"), train.alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // SHARD_BYTES))
-    schema = "shard long, part long, kind long, blob binary"
-    asked = rows.mapInArrow(partial(_ask, shards=shards), schema)
+    hot = _hot(rows, size, shards)
+    asked = rows.mapInArrow(partial(_ask, shards=shards, hot=hot), "shard long, part long, kind long, blob binary")
     answered = asked.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer, "part long, shard long, kind long, blob binary")
-    merged = save(answered.repartition(shards, "part").groupBy("part").applyInPandas(_merge, "blob binary, stats binary"))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return _merge(rows, shards)
+
+    merged = save(answered.repartition(shards, "part").groupBy("part").applyInPandas(merge, "blob binary, stats binary"))
     stats = [np.zeros(BINS)] * 4 + [np.zeros(2), np.zeros(1)]
     for r in merged.select("stats").toLocalIterator():
         stats = [a + b for a, b in zip(stats, unpack_arrays(bytes(r["stats"])))]
