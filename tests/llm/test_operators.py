@@ -229,6 +229,36 @@ def test_repeats(odd, small):
         assert got == brute_repeats(docs)
 
 
+def test_windows_of_frequent_seeds_are_dealt_further(llm, monkeypatch):
+    rng = np.random.default_rng(10)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    docs = [(i, "".join("".join(rng.choice(letters, 20)) + " of the, " for _ in range(40))) for i in range(40)]
+    docs += [(100 + i, docs[i][1][5:400] + "aaaa" * 20) for i in range(5)]
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT", 2000)
+    hot = suffix_dedup.hot_keys(df, 50_000)
+    data = np.frombuffer("".join(t for _, t in docs).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in docs])])
+
+    def largest(hot):
+        _, count, key, _ = suffix_dedup.super_windows(data, offsets, hot)
+        return np.bincount(np.unique(key, return_inverse=True)[1], count).max()
+
+    assert len(hot) and largest(()) > 2000 > largest(hot)
+    keys = hot[0], np.unique(suffix_dedup.super_windows(data, offsets, hot)[2])  # as if two seeds parted nothing
+    for some in (hot, keys):
+        monkeypatch.setattr(suffix_dedup, "hot_keys", lambda rows, size: some)
+        got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in rows_of(suffix_dedup.remove_repeats(df)))
+        assert got == brute_repeats(docs)
+
+
+def test_equal_hashes_of_unequal_runs_are_told_apart():
+    text = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60, np.uint8)
+    at, count = np.array([0, 60, 120]), np.array([5, 5, 5])
+    got = suffix_dedup.told_apart(text, at, count, np.zeros(3, np.uint64))
+    assert got[0] == got[2] != got[1]
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.integers(97, 99, 4000).astype(np.uint8), np.zeros(60, np.uint8)])

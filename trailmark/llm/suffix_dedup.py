@@ -18,6 +18,8 @@ from trailmark.llm.common import whole_text
 WIDTH = 50  # bytes of a string that counts as repeated
 SEED = 8  # bytes of the strings whose smallest hash picks a window's bucket
 BUCKET_BYTES = 4 << 20  # text per bucket
+HOT = 4 << 20  # distinct windows of one seed that stay together
+RARE = 64  # windows of a seed in a part below which the part does not name it when hot seeds are sought
 _LANES = np.array([0, 8, 16, 24, 32, 40, WIDTH - 8])
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -39,10 +41,34 @@ def _window_hashes(loads: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndar
     return total
 
 
-def super_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, number of windows, seed hash and content hash of each run of windows with the same smallest seed.
+def _smallest(h: np.ndarray) -> np.ndarray:
+    """Place of the seed with the smallest hash in each window."""
+    bits = np.uint64(len(h).bit_length())
+    low = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
+    span, wide = 1, WIDTH - SEED + 1
+    while span * 2 <= wide:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < wide:
+        low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
+    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
 
-    Equal windows have equal seeds at equal distances, so they meet in the bucket of that seed's hash.
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the ascending ``some``."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
+def super_windows(
+    data: np.ndarray, offsets: np.ndarray, hot: tuple[np.ndarray, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, number of windows, key and content hash of each run of windows with the same smallest seed.
+
+    Equal windows have equal seeds at equal distances, so they meet in the bucket of their key, the seed's hash. Where
+    that is in ``hot[0]``, a second seed that is not, smallest by another hash, tells windows apart further; where the
+    key of both is in ``hot[1]``, each window is a run and its own hash the key.
     """
     n = len(data) - WIDTH + 1
     none = np.empty(0, np.int64)
@@ -52,15 +78,19 @@ def super_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     h = loads[: len(data) - SEED + 1] * _ODD[0]
     h ^= h >> np.uint64(31)
     h *= _ODD[3]
-    bits = np.uint64(len(h).bit_length())
-    low = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
-    span, wide = 1, WIDTH - SEED + 1
-    while span * 2 <= wide:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < wide:
-        low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
-    seed = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    seed = _smallest(h)
+    key = h[seed]
+    parted = np.zeros(n, bool)  # windows that differ in key from the one before though their seed is the same
+    windows = _window_hashes(loads, slice(None), n)
+    if len(hot) and (warm := _among(key, hot[0])).any():
+        h2 = bt.mix64(h * _ODD[1])
+        h2[_among(h, hot[0])] = np.uint64((1 << 64) - 1)
+        second = _smallest(h2)
+        key[warm] = bt.mix64(key[warm] * _ODD[2] + h2[second[warm]])
+        parted[1:] = warm[1:] & (second[1:] != second[:-1])
+        if len(hot) > 1 and (boiling := warm & _among(key, hot[1])).any():
+            key[boiling] = bt.mix64(windows[boiling])
+            parted |= boiling
     inside = np.zeros(n, bool)  # windows that do not cross documents
     steps = np.zeros(len(data) + 1, np.int64)
     long = np.flatnonzero(np.diff(offsets) >= WIDTH)
@@ -68,16 +98,71 @@ def super_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     np.add.at(steps, offsets[long + 1] - WIDTH + 1, -1)
     inside = np.cumsum(steps)[:n] > 0
     new = inside.copy()
-    new[1:] &= (seed[1:] != seed[:-1]) | ~inside[:-1]
+    new[1:] &= (seed[1:] != seed[:-1]) | parted[1:] | ~inside[:-1]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     new |= inside & edge[:n]
     start = np.flatnonzero(new)
     place = np.cumsum(inside)
     count = np.diff(np.append(place[start] - 1, place[-1]))
-    windows = _window_hashes(loads, slice(None), n)
     content = bt.mix64(windows[start] * _ODD[4] + windows[start + count - 1] * _ODD[5] + count.astype(np.uint64))
-    return start, count, h[seed[start]], content
+    return start, count, key[start], content
+
+
+def told_apart(text: np.ndarray, start: np.ndarray, count: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """``content``, but numbers of the strings themselves if it is equal for super-windows of unequal bytes."""
+    if not len(content):
+        return content
+    order = np.argsort(content, kind="stable")
+    head = np.ones(len(order), bool)
+    head[1:] = content[order][1:] != content[order][:-1]
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[head][np.cumsum(head) - 1]
+    loads = _loads(text)
+    same = (count == count[lead]).all()
+    for lane in _LANES:
+        same = same and (loads[start + lane] == loads[start[lead] + lane]).all()
+        same = same and (loads[start + count - 1 + lane] == loads[start[lead] + count - 1 + lane]).all()
+    if same:
+        return content
+    strings = [text[a : a + n + WIDTH - 1].tobytes() for a, n in zip(start.tolist(), count.tolist())]
+    numbers = {x: i for i, x in enumerate(dict.fromkeys(strings))}
+    return np.array([numbers[x] for x in strings], np.uint64)
+
+
+def _seed_counts(batches: Iterator[pa.RecordBatch], least: int, hot: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """Distinct windows per key in each part, of the keys with ``least`` or more; with ``hot``, only of its windows."""
+    for batch in batches:
+        for _, _, data, offsets in bt.parts(batch.column("text"), 2 * bt.PART_BYTES):
+            _, count, key, content = super_windows(data, offsets)
+            if len(hot) and not _among(key, hot[0]).any():
+                continue
+            plain = np.unique(key)
+            if len(hot):
+                _, count, key, content = super_windows(data, offsets, hot)
+            _, once = np.unique(content, return_index=True)
+            keys, inverse = np.unique(key[once], return_inverse=True)
+            times = np.bincount(inverse, count[once], minlength=len(keys)).astype(np.int64)
+            many = times >= least
+            if len(hot):
+                many &= ~_among(keys, plain)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(times[many])], ["key", "times"])
+
+
+def hot_keys(rows: DataFrame, size: int) -> tuple[np.ndarray, ...]:
+    """Seeds of more distinct windows than ``HOT``, and keys of two seeds that are still such.
+
+    A part leaves out what it has less than its share of ``HOT`` of, or less than ``RARE``: so much is missed at most.
+    """
+    least = max(HOT // (2 * (1 + size // (2 * bt.PART_BYTES))), RARE)
+    hot: tuple[np.ndarray, ...] = ()
+    while len(hot) < 2:
+        found = rows.select("text").mapInArrow(partial(_seed_counts, least=least, hot=hot), "key long, times long")
+        found = found.groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > HOT // 2).select("key").toPandas()
+        if found.empty:
+            break
+        hot += (np.sort(found["key"].to_numpy(np.int64).view(np.uint64)),)
+    return hot
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -86,14 +171,15 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) - np.repeat(first - start, length)
 
 
-def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], buckets: int, hot: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
     """Per part of a batch and bucket: distinct super-windows, where they occur, and occurrences already decided."""
     for batch in batches:
         ids, ofs = batch.column("doc_id").to_numpy(), batch.column("of").to_numpy()
         for first, end, data, offsets in bt.parts(batch.column("text"), 2 * bt.PART_BYTES):
-            start, count, seed, content = super_windows(data, offsets)
+            start, count, key, content = super_windows(data, offsets, hot)
             if not len(start):
                 continue
+            content = told_apart(data, start, count, content)
             row = np.searchsorted(offsets, start, "right") - 1
             doc = ids[first:end][row]
             order = np.argsort(content, kind="stable")
@@ -104,7 +190,7 @@ def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             group[order] = np.cumsum(head) - 1
             # a copy in a smaller document of the same part decides all windows at once
             open_ = doc == np.minimum.reduceat(doc[order], heads)[group]
-            bucket = (bt.mix64(seed) % np.uint64(buckets)).astype(np.int64)
+            bucket = (bt.mix64(key) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")  # in text order inside a bucket
             seen, at = np.unique(group[by][open_[by]], return_index=True)
             top = np.zeros(len(by), bool)
@@ -205,6 +291,7 @@ def _decide(rows: pd.DataFrame, groups: int) -> pd.DataFrame:
     content = bt.mix64(
         _window_hashes(loads, at, len(at)) * _ODD[4] + _window_hashes(loads, at + windows - 1, len(at)) * _ODD[5] + windows.astype(np.uint64)
     )
+    content = told_apart(text, at, windows, content)
     least = np.full(len(windows), np.iinfo(np.int64).max)
     np.minimum.at(least, frag[open_], doc[open_])
     order = np.lexsort((least, content))
@@ -291,7 +378,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Each window of 50 bytes goes to the bucket of its smallest 8-byte seed, together with its neighbours that have
     the same seed: one run of about 70 bytes for 20 windows, compressed per bucket. Copies inside a part of a task
     are decided before the shuffle, so a passage in a large share of all documents reaches its bucket once per part.
-    Buckets grow in number with the text. In a bucket, windows whose hash occurs once are done; the rest are suffix
+    Buckets grow in number with the text. Windows per seed are counted first; those of a seed with too many for a
+    bucket are dealt by a second seed as well, and if that does not part them by their own hash. In a bucket, windows whose hash occurs once are done; the rest are suffix
     sorted by compared hashes and checked byte by byte. Decisions go back to groups of documents, dealt by doc_id, as packed bit masks.
     """
     rows = docs.select("doc_id", whole_text(docs).alias("text"))
@@ -302,7 +390,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("of", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
-    part = rows.where("doc_id is not null").mapInArrow(partial(_split, buckets=buckets), "bucket long, blob binary")
+    named = rows.where("doc_id is not null")
+    hot = hot_keys(named, size)
+    part = named.mapInArrow(partial(_split, buckets=buckets, hot=hot), "bucket long, blob binary")
     groups = buckets | 1
 
     def decide(bucket: pd.DataFrame) -> pd.DataFrame:
