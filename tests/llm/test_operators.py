@@ -124,6 +124,16 @@ def test_nearest_of_few(llm):
     assert rows_of(nearest.nearest(df.limit(0))) == []
 
 
+def test_block_keeps_smallest_ids_and_every_id_once():
+    direction = np.array([3.0, 4.0, 0.0])
+    v = np.vstack([direction * 2.0**i for i in range(30)] + [[0.0, 1.0, 1.0], [0.0, 0.0, 1.0]])
+    ids = [[100 - i] for i in range(30)] + [[7], [8]]
+    got = nearest._best(np.array([0]), direction[None], ids, v, 5)
+    assert [x for _, x, _ in got] == [71, 72, 73, 74, 75]
+    got = nearest._best(np.array([0]), direction[None], [[50]] * 30 + [[7], [8]], v, 5)
+    assert [x for _, x, _ in got] == [50, 7, 8]
+
+
 # ---- near duplicates ----
 
 

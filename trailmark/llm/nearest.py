@@ -21,6 +21,7 @@ BOUNDARY = 1.10  # a vector also goes to lists whose centroid is at most so many
 DEGREE = 16  # links of a centroid in the graph
 TUNING = 256  # queries that set the pruning ratio, measured against all vectors
 RECALL = 0.97  # of the tuning queries' true neighbours that the ratio must reach
+ROUNDING = 1e-9  # more than a product of unit vectors differs from the exact cosine
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 
 
@@ -134,16 +135,27 @@ def _probe(batches: Iterator[pa.RecordBatch], graph: CentroidGraph, dim: int, ra
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: list, v: np.ndarray, k: int) -> list[tuple]:
-    """The k nearest of one block for each query: (query_id, vec_id, score)."""
+    """The k nearest ids of one block for each query, each with its best row: (query_id, vec_id, score)."""
     near = _unit(q) @ _unit(v).T
     q_norm, v_norm = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
-    take = min(k + 3, len(v))
-    top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-    exact = (q[:, None, :] * v[top]).sum(axis=2) / (q_norm[:, None] * v_norm[top])  # alike in every block
     out = []
     for i, query in enumerate(q_ids):
-        found = sorted((-s, x) for s, j in zip(exact[i].tolist(), top[i]) for x in ids[j] if x != query)
-        out += [(int(query), x, -s) for s, x in found[:k]]
+        found, take = {}, k + 1
+        while len(found) < k:  # more vectors where rows of one vec_id or the query's own take places
+            take = min(take, len(v))
+            least = np.partition(near[i], len(v) - take)[len(v) - take]
+            top = np.flatnonzero(near[i] >= least - ROUNDING)
+            exact = (q[i] * v[top]).sum(axis=1) / (q_norm[i] * v_norm[top])  # alike in every block
+            found = {}
+            for s, j in zip(exact.tolist(), top):
+                for x in ids[j]:
+                    if x != query:
+                        found[x] = max(s, found.get(x, -2.0))
+            if take == len(v):
+                break
+            take *= 2
+        best = sorted((-s, x) for x, s in found.items())
+        out += [(int(query), x, -s) for s, x in best[:k]]
     return out
 
 
