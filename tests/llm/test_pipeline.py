@@ -46,3 +46,19 @@ def test_stages(llm, odd, none):
 
 def test_run(llm):
     assert corpus_pipeline.run(llm, SF_DIR).count() > 0
+
+
+def test_mixing_takes_all_copies_of_equal_rows(llm):
+    import collections
+
+    from trailmark.llm.mixing import mix
+
+    rows = [(i, f"word{i} " * (5 + i % 3), f"s{i % 3}") for i in range(12)]
+    rows += [(50, "the same row " * 3, "s0")] * 7 + [(51, "another " * 4, "s1")] * 4 + [(None, "no id " * 3, None)] * 3 + [(None, "x", None)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, source string")
+    want = collections.Counter()
+    for r in mix(docs).collect():
+        want[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    assert any(want[(d, s, n)] % m for d, s, n, m in ((50, "s0", 9, 7), (51, "s1", 4, 4), (None, None, 6, 3)))
+    got = collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in corpus_pipeline.mixing(llm, docs, SF_DIR).collect())
+    assert got == +want

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import prepare, table, whole_text
+from trailmark.llm.common import prepare, save, table, whole_text
 from trailmark.llm.line_dedup import drop_repeated_lines
 from trailmark.llm.mixing import mix
 from trailmark.llm.near_dedup import near_duplicates
 from trailmark.llm.packing import pack
 from trailmark.llm.quality import resample
+from trailmark.operators.skew import row_number, running
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -41,13 +42,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Equal rows share their copies evenly, rounded down."""
+    """Documents as often as the mix takes them. Equal rows share their copies evenly, the first of them the rest."""
     prepare(spark)
-    taken = mix(docs).groupBy("doc_id", "source", "text_hash").agg(F.expr("sum(copies) div count(*)").alias("copies"))
-    taken = taken.where("copies > 0").select(*[F.col(c).alias(f"mix_{c}") for c in taken.columns])
+    share = F.expr("sum(copies) div count(*)").alias("copies"), F.expr("sum(copies) % count(*)").alias("more")
+    taken = mix(docs).groupBy("doc_id", "source", "text_hash").agg(*share).where("copies > 0 or more > 0")
+    taken = save(taken.select(*[F.col(c).alias(f"mix_{c}") for c in taken.columns]))
     rows = docs.select("doc_id", "source", F.xxhash64(whole_text(docs)).alias("hash"), F.struct(*docs.columns).alias("row"))
     same = rows["doc_id"].eqNullSafe(taken["mix_doc_id"]) & rows["source"].eqNullSafe(taken["mix_source"])
     both = rows.join(taken, same & (rows["hash"] == taken["mix_text_hash"]))
+    if not taken.where("mix_more > 0").isEmpty():
+        some = save(both.where("mix_more > 0").select("row", *taken.columns).withColumn("at", F.monotonically_increasing_id()))
+        key = ["mix_doc_id", "mix_source", "mix_text_hash"]
+        some = running(some, key, {"at": F.col("at")}, {"nth": row_number()})
+        some = some.withColumn("mix_copies", F.col("mix_copies") + (F.col("nth") <= F.col("mix_more")).cast("long"))
+        both = both.where("mix_more = 0").select("row", "mix_copies").unionByName(some.select("row", "mix_copies"))
     both = both.select("row", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
     return both.select("row.*")
 
