@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trailmark.llm.byte_bpe import op13_byte_bpe
 from trailmark.llm.fingerprints import op10_fingerprints
 from trailmark.llm.language_model import op9_language_model
 from trailmark.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_model": op9_language_model,
     "op10_fingerprints": op10_fingerprints,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL = {
