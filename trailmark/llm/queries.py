@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trailmark.llm.alignment import op11_alignment
 from trailmark.llm.byte_bpe import op13_byte_bpe
 from trailmark.llm.fingerprints import op10_fingerprints
 from trailmark.llm.language_model import op9_language_model
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_model": op9_language_model,
     "op10_fingerprints": op10_fingerprints,
+    "op11_alignment": op11_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
