@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trailmark.llm.alignment import op11_alignment
 from trailmark.llm.byte_bpe import op13_byte_bpe
+from trailmark.llm.collocations import OP12_SQL, op12_collocations
 from trailmark.llm.fingerprints import op10_fingerprints
 from trailmark.llm.language_model import op9_language_model
 from trailmark.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_fingerprints": op10_fingerprints,
     "op11_alignment": op11_alignment,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -34,4 +36,5 @@ SQL = {
     "op2_line_dedup": OP2_SQL,
     "op4_near_dedup": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op12_collocations": OP12_SQL,
 }
