@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.config import RetrievalConfig
-from trailmark.operators import search
+from trailmark.operators import search, topk
 
 
 def _replay(queries, meta, vectors, k, min_score, min_q, exclude=(), overfetch=5):
@@ -69,29 +69,45 @@ def _frames(spark, world):
     return q, m, v
 
 
-@pytest.mark.parametrize("min_score,min_q,overfetch,limit", [
-    (0.1, 3, 5, 4096), (-1.0, 0, 5, 4096), (-1.0, 6, 2, 4096), (0.0, 4, 5, 0), (0.2, 5, None, 4096), (-1.0, 2, None, 0),
+@pytest.mark.parametrize("min_score,min_q,overfetch,tile", [
+    (0.1, 3, 5, 16_384), (-1.0, 0, 5, 16_384), (-1.0, 6, 2, 7), (0.0, 4, 5, 16), (0.2, 5, None, 16_384), (-1.0, 2, None, 9),
 ])
-def test_search_states(spark, world, min_score, min_q, overfetch, limit):
+def test_search_states(spark, world, min_score, min_q, overfetch, tile):
     q, m, v = _frames(spark, world)
     meta, vectors, queries = world
     exclude = {("t1", 2), ("t3", 5)}
     pairs = spark.createDataFrame(list(exclude), "task_id string, state int")
-    hits = search.search_states(q, m, v, 3, min_score, min_q, pairs, overfetch, broadcast_queries=limit)
+    hits = search.search_states(q, m, v, 3, min_score, min_q, pairs, overfetch, bank_tile=tile, query_tile=tile)
     got = sorted((r.query_id, r.view, r["rank"], r.bank_row, r.score) for r in hits.collect())
     want = _replay(queries, meta, vectors, 3, min_score, min_q, exclude, overfetch)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert np.allclose([g[4] for g in got], [w[4] for w in want], atol=1e-8)
 
 
-def test_blocks_and_tiles_agree(spark, world, monkeypatch):
-    monkeypatch.setattr(search, "BANK_TILE", 16)
-    monkeypatch.setattr(search, "QUERY_TILE", 4)
+def test_tiles_agree(spark, world):
     q, m, v = _frames(spark, world)
     ways = [
-        sorted(map(tuple, search.search_states(q, m, v, 4, 0.0, 2, broadcast_queries=n).collect())) for n in (4096, 0)
+        sorted(map(tuple, search.search_states(q, m, v, 4, 0.0, 2, overfetch=o, bank_tile=n, query_tile=t).collect()))
+        for o in (5, None) for n, t in ((16_384, 65_536), (16, 4), (3, 100))
     ]
-    assert ways[0] == ways[1]
+    assert ways[0] == ways[1] == ways[2] and ways[3] == ways[4] == ways[5]
+
+
+def test_rows_that_leave_the_tiles(spark, world):
+    """One list per query and bank tile, none longer than the width."""
+    q, m, v = _frames(spark, world)
+    seen = []
+
+    def tap(lists, keys, width, per_task, merge=topk._merged):
+        seen.append(lists.select("query_id", "view", F.size("best").alias("n")).collect())
+        return merge(lists, keys, width, per_task)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "_merged", tap)
+        search.candidates(q, v, 3, bank_tile=16, query_tile=4).count()
+    per_view = {r["view"]: -(-r["count"] // 16) for r in v.groupBy("view").count().collect()}
+    assert max(r["n"] for r in seen[0]) <= 3
+    assert len(seen[0]) <= sum(per_view[view] for _, view, _ in world[2])
 
 
 def test_search_traces(spark):

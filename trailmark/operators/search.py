@@ -1,198 +1,40 @@
 """Exact filtered cosine search over experience banks.
 
-Scores come from blocked matrix products inside tasks. Each block keeps the
-best rows per query and nothing else leaves it, so no pair table is ever
-written. Few queries (counted) are broadcast and the bank is read once where it
-lies. Many queries meet the bank tile by tile: both sides get hashed tile
-numbers of bounded size and every pair of tiles is one group.
+Scores come from blocked matrix products inside tasks (``topk``): both sides meet tile by tile, a tile keeps a bounded
+list per query, and the lists are merged, so no pair table is ever written. The plan is the same for any number of
+queries and bank rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trailmark.config import RetrievalConfig
 from trailmark.functions.text import source_tag
-from trailmark.functions.vectors import NORM_EPSILON, plain_cosine
+from trailmark.functions.vectors import plain_cosine
 from trailmark.functions.views import remaining_views, view_position
 from trailmark.operators.skew import TARGET_ROWS, Running, running
+from trailmark.operators.topk import SCORE_DECIMALS, best_rows
 from trailmark.schemas import FULL_VIEW, VIEWS
 
-BROADCAST_QUERIES = 4_096  # more queries than this go tile by tile
-QUERY_TILE = 2_048
-BANK_TILE = 16_384
-QUERY_BLOCK = 512  # query lines scored at once
-SCORE_DECIMALS = 9  # equal vectors tie exactly whatever block they are in
 OVERFETCH = 5  # fixed value: how many times top_k the raw window holds
 
 
-# ---- block kernel -----------------------------------------------------------
-
-
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.asarray([np.asarray(r, dtype=np.float64) for r in rows])
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + NORM_EPSILON)
-
-
-def _best(scores: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best ``width`` entries per line by score, then by lower row number."""
-    order = np.lexsort((rows, -scores), axis=1)[:, :width]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(rows, order, 1)
-
-
-def _narrow(scores: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``_best`` of a wide block; a line is sorted whole only when a tie crosses the edge."""
-    wide = np.broadcast_to(rows, scores.shape)
-    if scores.shape[1] <= 4 * width:
-        return _best(scores, wide, width)
-    part = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-    out_s, out_r = _best(np.take_along_axis(scores, part, 1), rows[part], width)
-    tied = (scores >= out_s[:, -1:]).sum(axis=1) > width
-    if tied.any():
-        out_s[tied], out_r[tied] = _best(scores[tied], wide[tied], width)
-    return out_s, out_r
-
-
-def _block_best(q: np.ndarray, block: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best rows of a block for every query line."""
-    rows, b = block["bank_row"].to_numpy(dtype=np.int64), _unit(block["embedding"])
-    parts = [
-        _narrow(np.round(q[at : at + QUERY_BLOCK] @ b.T, SCORE_DECIMALS), rows, width)
-        for at in range(0, len(q), QUERY_BLOCK)
-    ]
-    return np.vstack([s for s, _ in parts]), np.vstack([r for _, r in parts])
-
-
-def _block_best_per_task(
-    ids: np.ndarray, q: np.ndarray, block: pd.DataFrame, width: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best row per task, then the best ``width`` tasks, flat. Rows without task stay apart."""
-    rows, b = block["bank_row"].to_numpy(dtype=np.int64), _unit(block["embedding"])
-    names = block["task_id"].fillna("").astype(str)
-    names = names.where(names != "", "\0" + block["bank_row"].astype(str))
-    tasks = pd.factorize(names)[0]
-    out_q, out_r, out_s = [], [], []
-    for at in range(0, len(q), QUERY_BLOCK):
-        scores = np.round(q[at : at + QUERY_BLOCK] @ b.T, SCORE_DECIMALS)
-        order = np.lexsort((np.broadcast_to(rows, scores.shape), -scores), axis=1)
-        for who, line, o in zip(ids[at : at + QUERY_BLOCK], scores, order):
-            _, first = np.unique(tasks[o], return_index=True)
-            keep = o[np.sort(first)[:width]]
-            out_q.append(np.repeat(who, len(keep)))
-            out_r.append(rows[keep])
-            out_s.append(line[keep])
-    return np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Arrow batches joined to blocks of about ``BANK_TILE`` rows."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size >= BANK_TILE:
-            yield pd.concat(held, ignore_index=True)
-            held, size = [], 0
-    if size:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _hits(view: str, who: np.ndarray, rows: np.ndarray, scores: np.ndarray, min_score: float) -> pd.DataFrame:
-    keep = scores >= min_score
-    views = pd.Series([view] * int(keep.sum()), dtype=object)
-    return pd.DataFrame({"query_id": who[keep], "view": views, "bank_row": rows[keep], "score": scores[keep]})
-
-
-def _flat(ids: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.repeat(ids, scores.shape[1]), rows.ravel(), scores.ravel()
-
-
-# ---- candidates -------------------------------------------------------------
-
-
 def candidates(
-    queries: DataFrame,
-    vectors: DataFrame,
-    width: int,
-    min_score: float = -math.inf,
-    per_task: bool = False,
-    broadcast_queries: int = BROADCAST_QUERIES,
+    queries: DataFrame, vectors: DataFrame, width: int, min_score: float = -math.inf, per_task: bool = False, **tiles: int
 ) -> DataFrame:
-    """A superset of the best ``width`` rows per query and view: ``(query_id, view, bank_row, score)``.
+    """The best ``width`` rows per query in its view: ``(query_id, view, bank_row, score, masked)``.
 
-    ``queries`` has ``query_id, view, embedding``, ``vectors`` has ``bank_row,
-    view, embedding`` (and ``task_id`` with ``per_task``). Every block gives its
-    own best rows, so the overall best are always included. ``queries`` is read
-    more than once: hand in a stored table, not one that calls an encoder.
+    ``queries`` has ``query_id, view, embedding``, ``vectors`` has ``bank_row, view, embedding`` (and ``task_id`` with
+    ``per_task``); a row without vector is masked and scores 0. ``tiles``: the tile sizes of ``best_rows``.
     """
-    id_type = queries.schema["query_id"].dataType
-    schema = T.StructType([
-        T.StructField("query_id", id_type), T.StructField("view", T.StringType()),
-        T.StructField("bank_row", T.LongType()), T.StructField("score", T.DoubleType()),
-    ])
-    columns = ["bank_row", "view", "embedding"] + (["task_id"] if per_task else [])
-    queries, bank = queries.select("query_id", "view", "embedding"), vectors.select(*columns)
-
-    head = queries.limit(broadcast_queries + 1).toPandas()
-    if len(head) <= broadcast_queries:
-        if head.empty:
-            return queries.sparkSession.createDataFrame([], schema)
-        packed = {
-            view: (g["query_id"].to_numpy(), _unit(g["embedding"])) for view, g in head.groupby("view")
-        }
-        shared = queries.sparkSession.sparkContext.broadcast(packed)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            for block in _blocks(batches):
-                for view, part in block.groupby("view"):
-                    if view not in shared.value:
-                        continue
-                    ids, q = shared.value[view]
-                    if per_task:
-                        yield _hits(view, *_block_best_per_task(ids, q, part, width), min_score)
-                        continue
-                    found = _block_best(q, part, width)
-                    if view in best:
-                        found = _best(
-                            np.hstack([best[view][0], found[0]]), np.hstack([best[view][1], found[1]]), width
-                        )
-                    best[view] = found
-            for view, (scores, rows) in best.items():
-                yield _hits(view, *_flat(shared.value[view][0], scores, rows), min_score)
-
-        return bank.mapInPandas(scan, schema)
-
-    n_query_tiles = math.ceil(queries.count() / QUERY_TILE)
-    n_bank_tiles = math.ceil(bank.count() / BANK_TILE) or 1
-
-    def tile(c: str, n: int):
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-
-    left = queries.withColumn("_qt", tile("query_id", n_query_tiles)).withColumn(
-        "_bt", F.explode(F.sequence(F.lit(0), F.lit(n_bank_tiles - 1)))
+    bank = vectors.select(
+        "bank_row", "view", "embedding", F.col("embedding").isNull().alias("masked"), *(["task_id"] if per_task else [])
     )
-    right = bank.withColumn("_bt", tile("bank_row", n_bank_tiles)).withColumn(
-        "_qt", F.explode(F.sequence(F.lit(0), F.lit(n_query_tiles - 1)))
-    )
-
-    def meet(key: tuple, q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or b.empty:
-            return _hits(key[0], *[np.array([])] * 3, min_score)
-        ids, unit = q["query_id"].to_numpy(), _unit(q["embedding"])
-        if per_task:
-            return _hits(key[0], *_block_best_per_task(ids, unit, b, width), min_score)
-        return _hits(key[0], *_flat(ids, *_block_best(unit, b, width)), min_score)
-
-    keys = ["view", "_qt", "_bt"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    return best_rows(queries.select("query_id", "view", "embedding"), bank, ["view"], width, min_score, per_task, **tiles)
 
 
 # ---- searches ---------------------------------------------------------------
@@ -231,14 +73,14 @@ def search_states(
     min_q: int = 0,
     exclude: DataFrame | None = None,
     overfetch: int | None = OVERFETCH,
-    broadcast_queries: int = BROADCAST_QUERIES,
+    **tiles: int,
 ) -> DataFrame:
     """Best states per query in its view: at most one per task, at most ``k``.
 
     With ``overfetch`` the filters look only at the best ``k * overfetch`` rows,
     in which rows without a vector take part with score 0, so fewer than ``k``
     may remain. With ``overfetch=None`` the filters come first. Ties go to the
-    lower bank row.
+    lower bank row. ``tiles``: the tile sizes of ``topk.best_rows``.
     """
     info = meta.select("bank_row", "task_id", "state", "q_value", "experience", "source")
     allowed = info.where(F.coalesce("q_value", F.lit(0)) >= min_q)
@@ -246,20 +88,19 @@ def search_states(
         allowed = exclude_pairs(allowed, exclude)
     if overfetch is None:
         usable = vectors.join(allowed.select("bank_row", "task_id"), "bank_row")
-        found = candidates(queries, usable, k, min_score, per_task=True, broadcast_queries=broadcast_queries)
+        found = candidates(queries, usable, k, min_score, per_task=True, **tiles)
     else:
         width = k * overfetch
-        found = candidates(queries, vectors, width, min_score, broadcast_queries=broadcast_queries)
-        if min_score <= 0:
-            masked = _masked_rows(meta, vectors, width)
-            idle = queries.select("query_id", "view").join(masked, "view").select(
-                "query_id", "view", "bank_row", F.lit(0.0).alias("score"), F.lit(True).alias("_masked")
-            )
-            found = found.withColumn("_masked", F.lit(False)).unionByName(idle)
-        found = found.withColumn("_w", _rank(["query_id", "view"])).where(F.col("_w") <= width).drop("_w")
+        bank = vectors.select("bank_row", "view", "embedding")
         if min_score <= 0:
-            found = found.where(~F.col("_masked")).drop("_masked")
-    hits = found.join(allowed, "bank_row")
+            idle = _masked_rows(meta, vectors, width)
+            bank = bank.unionByName(idle.withColumn("embedding", F.lit(None).cast(bank.schema["embedding"].dataType)))
+        found = candidates(queries, bank, width, min_score, **tiles)
+    return _best_states(found.where(~F.col("masked")).drop("masked").join(allowed, "bank_row"), k)
+
+
+def _best_states(hits: DataFrame, k: int) -> DataFrame:
+    """The best hit of each task, then the best ``k`` tasks per query and view."""
     task = F.when(F.coalesce("task_id", F.lit("")) == "", F.concat(F.lit("\0"), F.col("bank_row").cast("string"))).otherwise(F.col("task_id"))
     return (
         hits.withColumn("_task", task)
@@ -290,14 +131,8 @@ def search_traces(queries: DataFrame, bank: DataFrame, min_score: float = 0.0) -
     ``bank`` has ``bank_row, task_id, experience, source, embedding``.
     """
     one = F.lit("trace").alias("view")
-    found = candidates(
-        queries.select("query_id", one, "embedding"),
-        bank.select("bank_row", one, "embedding"), 1, min_score,
-    )
-    best = found.groupBy("query_id").agg(
-        F.max_by(F.struct("bank_row", "score"), F.struct(F.col("score"), -F.col("bank_row"))).alias("b")
-    ).select("query_id", "b.*")
-    return best.join(bank.drop("embedding"), "bank_row")
+    found = candidates(queries.select("query_id", one, "embedding"), bank.select("bank_row", one, "embedding"), 1, min_score)
+    return found.select("query_id", "bank_row", "score").join(bank.drop("embedding"), "bank_row")
 
 
 def retrieve_trace_experience(queries: DataFrame, bank: DataFrame, min_score: float = 0.1) -> DataFrame:

@@ -22,20 +22,23 @@ def l2_normalize(spark, d):
     return e.select("vec_id", F.round(VX.norm("u"), 6).alias("length"), F.round(F.get("u", 0), 6).alias("first_value"))
 
 
+_BACK = "round(list_dot_product(list_reverse(q.v), b.v) / ((q.norm + 1e-8) * (b.norm + 1e-8)), 9)"
+
+
 @query("search_traces", B.sql("emb", body=f"""
 SELECT query_id, bank_row, round(score, 4) AS score, 'advice ' || bank_row AS experience FROM (
-  SELECT q.vec_id AS query_id, b.vec_id AS bank_row, {_DOT} AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, b.vec_id) AS rn FROM emb q, emb b WHERE b.label >= 5)
+  SELECT q.vec_id AS query_id, b.vec_id AS bank_row, {_BACK} AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY {_BACK} DESC, b.vec_id) AS rn FROM emb q, emb b)
 WHERE rn = 1 AND score >= 0.3"""))
 def search_traces(spark, d):
-    """Every vector asks the bank of well-rated traces."""
+    """Every vector, read backwards, asks the bank of all traces."""
     e = B.table(spark, d, "embeddings")
-    bank = e.where("label >= 5").select(
+    bank = e.select(
         F.col("vec_id").alias("bank_row"), (F.col("vec_id") % 97).cast("string").alias("task_id"),
         F.concat(F.lit("advice "), F.col("vec_id").cast("string")).alias("experience"),
         F.lit("correct").alias("source"), "embedding",
     )
-    hits = search.search_traces(e.select(F.col("vec_id").alias("query_id"), "embedding"), bank, 0.3)
+    hits = search.search_traces(e.select(F.col("vec_id").alias("query_id"), F.reverse("embedding").alias("embedding")), bank, 0.3)
     return hits.select("query_id", "bank_row", F.round("score", 4).alias("score"), "experience")
 
 
@@ -75,9 +78,9 @@ def search_states_filter_first(spark, d):
 
 @query("search_states_by_tiles", _search_sql(5, 0.05, 5, 25))
 def search_states_by_tiles(spark, d):
-    """The way for many queries: both sides meet tile by tile."""
+    """The same over many small tiles: lists of a query from several tiles are merged."""
     return _shown(search.search_states(
-        B.bank_queries(spark, d), *B.bank(spark, d), 5, 0.05, 5, broadcast_queries=0
+        B.bank_queries(spark, d), *B.bank(spark, d), 5, 0.05, 5, bank_tile=64, query_tile=100
     ))
 
 
