@@ -24,17 +24,19 @@ OVERFETCH = 5  # fixed value: how many times top_k the raw window holds
 
 
 def candidates(
-    queries: DataFrame, vectors: DataFrame, width: int, min_score: float = -math.inf, per_task: bool = False, **tiles: int
+    queries: DataFrame, vectors: DataFrame, width: int, min_score: float = -math.inf, per_task: bool = False,
+    one_view: bool = False, **tiles: int,
 ) -> DataFrame:
     """The best ``width`` rows per query in its view: ``(query_id, view, bank_row, score, masked)``.
 
     ``queries`` has ``query_id, view, embedding``, ``vectors`` has ``bank_row, view, embedding`` (and ``task_id`` with
-    ``per_task``); a row without vector is masked and scores 0. ``tiles``: the tile sizes of ``best_rows``.
+    ``per_task``); a row without vector is masked and scores 0. With ``one_view`` all rows of both sides are of one
+    view. ``tiles``: the tile sizes of ``best_rows``.
     """
     bank = vectors.select(
         "bank_row", "view", "embedding", F.col("embedding").isNull().alias("masked"), *(["task_id"] if per_task else [])
     )
-    return best_rows(queries.select("query_id", "view", "embedding"), bank, ["view"], width, min_score, per_task, **tiles)
+    return best_rows(queries.select("query_id", "view", "embedding"), bank, [] if one_view else ["view"], width, min_score, per_task, **tiles)
 
 
 # ---- searches ---------------------------------------------------------------
@@ -73,6 +75,7 @@ def search_states(
     min_q: int = 0,
     exclude: DataFrame | None = None,
     overfetch: int | None = OVERFETCH,
+    one_view: bool = False,
     **tiles: int,
 ) -> DataFrame:
     """Best states per query in its view: at most one per task, at most ``k``.
@@ -88,14 +91,14 @@ def search_states(
         allowed = exclude_pairs(allowed, exclude)
     if overfetch is None:
         usable = vectors.join(allowed.select("bank_row", "task_id"), "bank_row")
-        found = candidates(queries, usable, k, min_score, per_task=True, **tiles)
+        found = candidates(queries, usable, k, min_score, True, one_view, **tiles)
     else:
         width = k * overfetch
         bank = vectors.select("bank_row", "view", "embedding")
         if min_score <= 0:
             idle = _masked_rows(meta, vectors, width)
             bank = bank.unionByName(idle.withColumn("embedding", F.lit(None).cast(bank.schema["embedding"].dataType)))
-        found = candidates(queries, bank, width, min_score, **tiles)
+        found = candidates(queries, bank, width, min_score, False, one_view, **tiles)
     return _best_states(found.where(~F.col("masked")).drop("masked").join(allowed, "bank_row"), k)
 
 
@@ -122,7 +125,7 @@ def search_default(queries: DataFrame, meta: DataFrame, vectors: DataFrame, **op
     """``search_states`` in the bank's default view for queries without view."""
     view = default_view(vectors) or FULL_VIEW
     one = vectors.where(F.col("view") == view)
-    return search_states(queries.withColumn("view", F.lit(view)), meta, one, **options)
+    return search_states(queries.withColumn("view", F.lit(view)), meta, one, one_view=True, **options)
 
 
 def search_traces(queries: DataFrame, bank: DataFrame, min_score: float = 0.0) -> DataFrame:
@@ -131,7 +134,7 @@ def search_traces(queries: DataFrame, bank: DataFrame, min_score: float = 0.0) -
     ``bank`` has ``bank_row, task_id, experience, source, embedding``.
     """
     one = F.lit("trace").alias("view")
-    found = candidates(queries.select("query_id", one, "embedding"), bank.select("bank_row", one, "embedding"), 1, min_score)
+    found = candidates(queries.select("query_id", one, "embedding"), bank.select("bank_row", one, "embedding"), 1, min_score, one_view=True)
     return found.select("query_id", "bank_row", "score").join(bank.drop("embedding"), "bank_row")
 
 

@@ -152,15 +152,21 @@ def best_rows(
     """The best ``width`` bank rows per query and view: ``(query_id, view, bank_row, score, masked)``.
 
     ``queries`` has ``query_id, view, embedding``, ``bank`` has ``bank_row, embedding, masked`` (and ``task_id`` with
-    ``per_task``), both the columns ``by``; a query meets the bank rows with equal values there. Ties go to the lower
+    ``per_task``), both the columns ``by``; a query meets the bank rows with equal values there, all of them
+    when ``by`` is empty. Ties go to the lower
     bank row; with ``per_task`` a task gives its best row only. Both sides are read twice, once to count: hand in
     stored tables, not ones that call an encoder.
 
     A tile holds ``bank_tile`` bank rows and ``query_tile`` queries at most, so a task's memory and work are bounded
     for any number of either and for any share of one key. Rows that leave the tiles: one list per query and bank tile.
     """
-    sizes = bank.groupBy(*by).agg(F.count(F.lit(1)).alias("_b")).join(queries.groupBy(*by).agg(F.count(F.lit(1)).alias("_q")), by)
-    grid = sizes.select(*by, F.ceil(F.col("_b") / bank_tile).alias("_bts"), F.ceil(F.col("_q") / query_tile).alias("_qts"))
+    if by:
+        sizes = bank.groupBy(*by).agg(F.count(F.lit(1)).alias("_b")).join(queries.groupBy(*by).agg(F.count(F.lit(1)).alias("_q")), by)
+        grid = sizes.select(*by, F.ceil(F.col("_b") / bank_tile).alias("_bts"), F.ceil(F.col("_q") / query_tile).alias("_qts"))
+        queries, bank = queries.join(grid, by), bank.join(grid, by)
+    else:
+        counts = {"_bts": max(1, math.ceil(bank.count() / bank_tile)), "_qts": max(1, math.ceil(queries.count() / query_tile))}
+        queries, bank = (df.withColumns({c: F.lit(n).cast("long") for c, n in counts.items()}) for df in (queries, bank))
 
     def tile(bank_no: Column, query_no: Column) -> Column:
         return F.concat_ws("|", *[F.col(c).cast("string") for c in by], bank_no.cast("string"), query_no.cast("string")).alias("tile")
@@ -172,12 +178,12 @@ def best_rows(
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     kind = queries.schema["query_id"].dataType
-    left = queries.join(grid, by).withColumn("_bt", every("_bts")).select(
+    left = queries.withColumn("_bt", every("_bts")).select(
         tile(F.col("_bt"), dealt("query_id", "_qts")), F.lit(1).alias("side"), "query_id", "view", "embedding",
         F.pmod("_bt", F.ceil(F.sqrt("_bts"))).cast("int").alias("part"), F.lit(None).cast("long").alias("bank_row"),
         F.lit(False).alias("masked"), F.lit(None).cast("string").alias("task"),
     )
-    right = bank.join(grid, by).withColumn("_qt", every("_qts")).select(
+    right = bank.withColumn("_qt", every("_qts")).select(
         tile(dealt("bank_row", "_bts"), F.col("_qt")), F.lit(0).alias("side"), F.lit(None).cast(kind).alias("query_id"),
         F.lit(None).cast("string").alias("view"), "embedding", F.lit(0).alias("part"), "bank_row", "masked",
         (F.col("task_id") if per_task else F.lit(None).cast("string")).alias("task"),

@@ -382,3 +382,28 @@ def bank_spec(spark, d):
     from trailmark.functions.text import bank_spec as spec
 
     return B.table(spark, d, "pages").select("page_id", spec("url").alias("s")).select("page_id", "s.prefix", "s.path")
+
+
+@query("approximate_recall", B.sql("emb", body="""
+SELECT view, count(*) AS n_queries, true AS nine_of_ten_found, true AS all_scores_right FROM emb GROUP BY view"""))
+def approximate_recall(spark, d):
+    """All rows ask the index and the exact search: are nine of ten neighbours found, and is every score the exact one?
+
+    The bank is the whole table in each of the three views.
+    """
+    from trailmark.operators import approximate
+
+    q, (meta, _) = B.bank_queries(spark, d), B.bank(spark, d)
+    every = F.explode(F.array(*[F.lit(v) for v in B.BANK_VIEWS])).alias("view")
+    vec = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("bank_row"), every, "embedding")
+    near = approximate.search_states_approximate(q, meta, vec, approximate.fit_cells(vec), 5, -1.0, 2)
+    exact = search.search_states(q, meta, vec, 5, -1.0, 2, overfetch=None)
+    wide = search.search_states(q, meta, vec, 40, -1.0, 2, overfetch=None)
+    hit = near.select("query_id", "view", "bank_row", F.col("score").alias("near"))
+    found = exact.join(hit, ["query_id", "view", "bank_row"], "left").groupBy("view").agg(
+        F.countDistinct("query_id").alias("n_queries"), (F.count("near") >= 0.9 * F.count(F.lit(1))).alias("nine_of_ten_found")
+    )
+    scored = hit.join(wide.select("query_id", "view", "bank_row", "score"), ["query_id", "view", "bank_row"]).groupBy("view").agg(
+        F.bool_and(F.abs(F.col("near") - F.col("score")) < 1e-8).alias("all_scores_right")
+    )
+    return found.join(scored, "view")
