@@ -23,6 +23,7 @@ from trailmark.llm.common import save, whole_text
 
 BLOCK_BYTES = 16 << 20  # text whose chunks, groups and links are numbered together; a longer text is a block of its own
 DOCS_PER_ROW = 256
+CHUNKS_AT_ONCE = 4096  # a tokenizer's own result is some hundred times its text
 WORK = 1 << 16  # ends that one piece of the merge holds
 WIDE_GROUP = 1 << 16  # links of a group from which equal ids are counted before they are paired
 # A text is cut before a blank that follows a character which is neither white space nor could become it. Neither
@@ -182,29 +183,33 @@ class Block:
         self.places.append(np.fromiter(map(self.chunks.__getitem__, found), np.uint32, len(found)))
         self.size += len(text)
 
-    def tokens(self, v: Vocabularies) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of each chunk, none where the bytes of the ids are not the chunk's; and which chunks those are."""
+    def tokens(self, v: Vocabularies) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of all chunks and how many each has, for A and B, none where the bytes of the ids are not the chunk's;
+        and which chunks those are."""
         chunks = list(self.chunks)
-        a = [e.ids for e in v.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = v.b.encode([c[1:] for c in chunks], num_threads=1)
         wrong = np.zeros(len(chunks), bool)
-        for k, c in enumerate(chunks):
-            if c == " ":
-                b[k] = [v.blank]
-            raw = c.encode()
-            if b"".join(map(v.a_bytes.__getitem__, a[k])) != raw or b"".join(map(v.b_bytes.__getitem__, b[k])) != raw:
-                wrong[k], a[k], b[k] = True, [], []
-        return a, b, wrong
+        ids, sizes = ([], []), ([], [])
+        for at in range(0, len(chunks), CHUNKS_AT_ONCE):
+            some = chunks[at : at + CHUNKS_AT_ONCE]
+            a = [e.ids for e in v.a.encode_batch_fast(some, add_special_tokens=False)]
+            b = v.b.encode([c[1:] for c in some], num_threads=1)
+            for k, c in enumerate(some):
+                if c == " ":
+                    b[k] = [v.blank]
+                raw = c.encode()
+                if b"".join(map(v.a_bytes.__getitem__, a[k])) != raw or b"".join(map(v.b_bytes.__getitem__, b[k])) != raw:
+                    wrong[at + k], a[k], b[k] = True, [], []
+            for side, lists in enumerate((a, b)):
+                ids[side].append(np.fromiter(itertools.chain.from_iterable(lists), np.int64))
+                sizes[side].append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        none = [np.zeros(0, np.int64)]
+        return [np.concatenate(none + x) for x in ids], [np.concatenate(none + x) for x in sizes], wrong
 
     def rows(self, v: Vocabularies, digest: bool) -> Iterator[dict]:
-        a_lists, b_lists, wrong = self.tokens(v)
-        n_chunks = len(a_lists)
-        ids, first, ends = [], [], []
-        for lists, known in ((a_lists, v.a_bytes), (b_lists, v.b_bytes)):
-            flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64)
-            ids.append(flat)
-            first.append(np.append(0, np.cumsum([len(x) for x in lists], dtype=np.int64)))
-            ends.append(np.cumsum(np.array([len(x) for x in known], np.int64)[flat]))
+        ids, sizes, wrong = self.tokens(v)
+        n_chunks = len(wrong)
+        first = [np.append(0, np.cumsum(n)) for n in sizes]
+        ends = [np.cumsum(np.array([len(x) for x in known], np.int64)[flat]) for flat, known in zip(ids, (v.a_bytes, v.b_bytes))]
         (a, b), (a_chunk, b_chunk) = ids, first
         cut_a, cut_b = common_ends(*ends)
         a_first, b_first = np.append(0, cut_a[:-1] + 1)[: len(cut_a)], np.append(0, cut_b[:-1] + 1)[: len(cut_b)]
@@ -214,16 +219,19 @@ class Block:
         links = np.append(0, np.cumsum(a_n * b_n))
 
         # texts: a group's A ids, then its B ids
-        group = np.arange(len(cut_a))
-        text = np.empty(len(a) + len(b), object)
-        a_code, b_code = a.copy(), b.copy()
+        a_code, b_code = a.copy(), b + (1 << 32)
         a_code[cut_a] += len(v.a_bytes)
         b_code[cut_b] += len(v.b_bytes)
-        text[np.arange(len(a)) + np.repeat(b_first, a_n)] = list(map(v.a_text.__getitem__, a_code.tolist()))
-        text[np.arange(len(b)) + np.repeat(a_first + a_n, b_n)] = list(map(v.b_text.__getitem__, b_code.tolist()))
-        text, bounds = text.tolist(), (a_chunk + b_chunk).tolist()
-        texts = [b"".join(text[s:e]) for s, e in zip(bounds, bounds[1:])]
-        del text
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.repeat(b_first, a_n)] = a_code
+        code[np.arange(len(b)) + np.repeat(a_first + a_n, b_n)] = b_code
+        bounds, texts = a_chunk + b_chunk, []
+        for at in range(0, n_chunks, CHUNKS_AT_ONCE):
+            some = bounds[at : at + CHUNKS_AT_ONCE + 1]
+            text = [v.b_text[c - (1 << 32)] if c >> 32 else v.a_text[c] for c in code[some[0] : some[-1]].tolist()]
+            some = (some - some[0]).tolist()
+            texts += [b"".join(text[x:y]) for x, y in zip(some, some[1:])]
+        del code, a_code, b_code
 
         distinct, number = _distinct_groups(a, b, a_first, a_n, b_first, b_n)
         of, pair, times = _group_links(a, b, a_first[distinct], a_n[distinct], b_first[distinct], b_n[distinct])
