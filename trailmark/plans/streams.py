@@ -107,9 +107,10 @@ def stream_turn_budget(spark, d):
 @query("stream_search", _search_sql(5, 0.05, 5, 25))
 def stream_search(spark, d):
     folder = _folder(spark)
+    live.publish_bank(*B.bank(spark, d), f"{folder}/bank")
     view = F.get(F.array(*[F.lit(v) for v in B.BANK_VIEWS]), (F.col("vec_id") % 3).cast("int"))
     asked = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), view.alias("view"), "embedding")
-    writer = live.stream_search(asked, *B.bank(spark, d), f"{folder}/hits", f"{folder}/checkpoint", k=5, min_score=0.05, min_q=5)
+    writer = live.stream_search(asked, f"{folder}/bank", f"{folder}/hits", f"{folder}/checkpoint", k=5, min_score=0.05, min_q=5)
     writer.trigger(availableNow=True).start().awaitTermination()
     hits = spark.read.parquet(f"{folder}/hits")
     return hits.select("query_id", "view", "rank", "bank_row", "task_id", F.col("state").cast("long").alias("state"),
@@ -148,13 +149,73 @@ def running_accuracy(spark, d):
     return last.select("flagged", "r.*")
 
 
-@query("accuracy_per_window", """
-SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')) // 1000000 AS start_sec, count(*) AS total,
-  count(*) FILTER (event_type = 'purchase') AS correct, round(count(*) FILTER (event_type = 'purchase') / count(*), 4) AS accuracy
-FROM events GROUP BY 1""")
+def _purchases(spark, d):
+    return _stream(spark, d, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("event_ts"), (F.col("event_type") == "purchase").alias("is_correct")
+    )
+
+
+# A window is given once it ends an hour or more before the newest event.
+B.cte("over", "SELECT epoch_ms(max(ts)) * 1000 - 3600000000 AS until FROM events")
+_SHARES = """count(*) AS total, count(*) FILTER (event_type = 'purchase') AS correct,
+  round(count(*) FILTER (event_type = 'purchase') / count(*), 4) AS accuracy"""
+
+
+def _spans():
+    return [F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us")]
+
+
+@query("accuracy_per_window", B.sql("over", body=f"""
+SELECT start_us, start_us + 21600000000 AS end_us, {_SHARES} FROM (SELECT *, epoch_us(ts) // 21600000000 * 21600000000 AS start_us FROM events)
+WHERE start_us + 21600000000 <= (SELECT until FROM over) GROUP BY start_us"""))
 def accuracy_per_window(spark, d):
-    results = B.table(spark, d, "events").select(
-        F.col("ts").cast("timestamp").alias("event_ts"), (F.col("event_type") == "purchase").alias("is_correct")
+    out = _finish(live.windowed_accuracy(_purchases(spark, d), "event_ts", window="6 hours"), spark)
+    return out.select(*_spans(), "total", "correct", "accuracy")
+
+
+@query("accuracy_per_sliding_window", B.sql("over", body=f"""
+SELECT start_us, start_us + 21600000000 AS end_us, {_SHARES}
+FROM (SELECT *, epoch_us(ts) // 7200000000 * 7200000000 - i * 7200000000 AS start_us FROM events, (SELECT unnest([0, 1, 2]) AS i))
+WHERE start_us + 21600000000 <= (SELECT until FROM over) GROUP BY start_us"""))
+def accuracy_per_sliding_window(spark, d):
+    out = _finish(live.windowed_accuracy(_purchases(spark, d), "event_ts", window="6 hours", slide="2 hours"), spark)
+    return out.select(*_spans(), "total", "correct", "accuracy")
+
+
+@query("accuracy_per_session", B.sql("over", body=f"""
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 14400000000 AS end_us, {_SHARES}
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+  SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 14400000000, true)::INT AS fresh FROM events))
+GROUP BY user_id, session HAVING epoch_us(max(ts)) + 14400000000 <= (SELECT until FROM over)"""))
+def accuracy_per_session(spark, d):
+    out = _finish(live.windowed_accuracy(_purchases(spark, d), "event_ts", gap="4 hours", by=["user_id"]), spark)
+    return out.select("user_id", *_spans(), "total", "correct", "accuracy")
+
+
+@query("stream_distinct_events", "SELECT DISTINCT event_id, user_id, event_type = 'purchase' AS is_correct FROM events")
+def stream_distinct_events(spark, d):
+    """Every event arrives twice."""
+    twice = _purchases(spark, d).unionByName(_purchases(spark, d))
+    out = _finish(live.distinct_events(twice, ["event_id"], "event_ts", "2 days"), spark)
+    return out.select("event_id", "user_id", "is_correct")
+
+
+@query("stream_open_tasks", """
+SELECT user_id::VARCHAR AS task_id FROM (
+  SELECT user_id, max(ts) AS last, count(*) AS turns, count(*) FILTER (event_type IN ('click', 'purchase')) AS actions,
+    bool_or(event_type = 'signup' AND value > 95) AS answered FROM events GROUP BY user_id)
+WHERE epoch_ms(last) + CASE WHEN turns >= 200 OR actions >= 100 OR answered THEN 0 ELSE 21600000 END > (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""")
+def stream_open_tasks(spark, d):
+    """What the state store holds at the end: open tasks not silent for six hours, closed ones with an event in the last hour."""
+    live.use_rocksdb(spark)
+    folder = _folder(spark)
+    turns = _stream(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("turn"), F.col("ts").cast("timestamp").alias("event_ts"),
+        F.col("event_type").isin("click", "purchase").cast("int").alias("n_actions"),
+        ((F.col("event_type") == "signup") & (F.col("value") > 95)).alias("answered"),
     )
-    out = live.running_accuracy(results, window="6 hours")
-    return out.select(F.unix_seconds("window.start").alias("start_sec"), "total", "correct", "accuracy")
+    clock = live.Clock("event_ts", "1 hour", silence_ms=21_600_000, linger_ms=0)
+    ended = live.stream_turn_budget(turns, 100, 1, clock=clock)
+    writer = ended.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{folder}/data").awaitTermination()
+    return live.held_tasks(spark, f"{folder}/checkpoint").select("task_id")
