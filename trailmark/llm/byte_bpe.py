@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm.blobs import joined, pack_arrays, planes, unpack_arrays
-from trailmark.llm.common import partitions, save, whole_text
+from trailmark.llm.common import partitions, save, save_by, whole_text
 
 BLOCK_BYTES = 32 << 20  # text whose words share one dictionary; a longer text is a block of its own
 DOCS_PER_ROW = 512
 ERA = 256  # tasks whose uses of one word are listed together; bounds that list for any amount of text
 LONG_WORD = 1024  # bytes; the fold is quadratic in a word's length, longer words are merged by a heap
 BUCKETS = 1 << 16
+PACK_BYTES = 8 << 20  # uses of words that are packed at once on their way back to the blocks
 
 
 @lru_cache(maxsize=2)
@@ -158,27 +159,55 @@ def _words(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.Recor
     yield row(True)
 
 
-def _numbers(blob: bytes) -> np.ndarray:
-    return joined(unpack_arrays(blob)[0].reshape(4, -1), np.uint32) if blob else np.zeros(0, np.uint32)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Uses of words and their ids, as one value for each block of some thousand words."""
+
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        uses, ids = (rows.column(c).combine_chunks() for c in ("uses", "ids"))
+        word = pc.list_parent_indices(uses).to_numpy()
+        block, place = (uses.flatten().field(i).to_numpy() for i in (0, 1))
+        size = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        first, flat = np.cumsum(size) - size, ids.flatten().to_numpy().astype(np.uint32)
+        order = np.lexsort((place, block))
+        block, place, word = block[order], place[order], word[order]
+        bounds = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)).tolist()
+        blobs = []
+        for x, y in zip(bounds, bounds[1:]):
+            n = size[word[x:y]]
+            own = flat[_ranges(first[word[x:y]], n)]
+            blobs.append(pack_arrays(*(planes(v.astype(np.uint32)).ravel() for v in (place[x:y], n, own)), level=3))
+        return pa.RecordBatch.from_arrays([pa.array(block[bounds[:-1]]), pa.array(blobs, pa.binary())], ["of_block", "known"])
+
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield pack(pa.Table.from_batches(waiting))
+            waiting, size = [], 0
+    if sum(b.num_rows for b in waiting):
+        yield pack(pa.Table.from_batches(waiting))
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))
 
 
 def _assemble(docs: pa.Table, known: pa.Table) -> pa.Table:
     """Ids of each document of a block from the ids of its words."""
-    known = known.combine_chunks().sort_by("place")
-    if known.num_rows:
-        column = known.column("ids").combine_chunks()
-        flat, sizes = column.flatten().to_numpy(), pc.list_value_length(column).to_numpy().astype(np.int64)
-    else:
-        flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
-    first = np.cumsum(sizes) - sizes
+    parts = [[joined(x.reshape(4, -1), np.uint32) for x in unpack_arrays(blob)] for blob in known.column("known").to_pylist()]
+    place, n, flat = (np.concatenate([np.zeros(0, np.uint32), *(p[i] for p in parts)]).astype(np.int64) for i in range(3))
+    sizes, first = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    sizes[place], first[place] = n, np.cumsum(n) - n
+    flat = flat.astype(np.int32)
     doc_ids, values, ends = [], [], [np.zeros(1, np.int64)]
     total = 0
     for row in docs.to_pylist():
-        places = _numbers(row["places"])
+        places = joined(unpack_arrays(row["places"])[0].reshape(4, -1), np.uint32)
         n = sizes[places]
-        at = np.cumsum(n)
-        values.append(flat[np.repeat(first[places] - (at - n), n) + np.arange(n.sum())])
-        stops = np.append(0, at)[np.cumsum(row["lengths"], dtype=np.int64)]
+        values.append(flat[_ranges(first[places], n)])
+        stops = np.append(0, np.cumsum(n))[np.cumsum(row["lengths"], dtype=np.int64)]
         ends.append(total + stops)
         total += len(values[-1])
         doc_ids += row["doc_ids"]
@@ -196,16 +225,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     A task numbers the distinct words of its documents and writes the documents as numbers. Each distinct word is then
     shuffled once, folded once, and its ids go back to the blocks that use it. How many uses are listed in a row is
-    bounded by ``ERA`` tasks. Texts are read once and never shuffled.
+    bounded by ``ERA`` tasks. Texts are read once and never shuffled: the table of blocks is bucketed by block, only the
+    packed ids of its words come to it.
     """
     spark, ranks = docs.sparkSession, read_ranks(ranks_path)
     rows = docs.select("doc_id", whole_text(docs).alias("text"))
-    blocks = save(rows.mapInArrow(
+    blocks = save_by(rows.mapInArrow(
         partial(_words, pattern=pattern),
         "block long, doc_ids array<long>, lengths array<int>, places binary, words array<binary>",
-    ))
+    ), "block")
     uses = blocks.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
-    uses = uses.withColumn("era", F.floor(F.shiftright("block", 32) / ERA))
+    era = F.floor(F.shiftright("block", 32) / ERA).cast("int")
+    uses = uses.select("word", era.alias("era"), "block", "place")
     # by number: the folds are long for the few bytes they read, tasks must not be merged by size
     uses = uses.repartition(partitions(spark), "word", "era")
     distinct = uses.groupBy("word", "era").agg(F.collect_list(F.struct("block", "place")).alias("uses"))
@@ -215,9 +246,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     long = distinct.where(F.length("word") > LONG_WORD).mapInArrow(
         partial(_heap_ids, path=ranks_path), "uses array<struct<block:long,place:int>>, ids array<int>"
     )
-    known = short.unionByName(long).select(F.explode("uses").alias("use"), "ids").select("use.block", "use.place", "ids")
+    known = short.unionByName(long).mapInArrow(_packed, "of_block long, known binary")
     texts = blocks.select("block", "doc_ids", "lengths", "places")
-    return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    return texts.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(ids: Column, ranks_path: str) -> Column:

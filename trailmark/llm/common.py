@@ -34,6 +34,15 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``save``, in buckets of ``key``: what is joined or grouped by it later needs no shuffle of this table."""
+    spark = df.sparkSession
+    name = f"trailmark_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def whole_text(docs: DataFrame) -> Column:
     """Null text counts as empty."""
     return F.coalesce(docs["text"], F.lit(""))
