@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.operators.skew import row_number, running
 from trailmark.schemas import BANK_VECTORS, VIEWS
+from trailmark.sources.ranges import read_arrays, read_json_list
 
 
 def write_state_bank(meta: DataFrame, vectors: DataFrame, path: str) -> None:
@@ -47,36 +43,8 @@ def upgrade_trace_bank(df: DataFrame) -> DataFrame:
 # ---- import of dense arrays -------------------------------------------------
 
 
-def _matrix_rows(content: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(content), allow_pickle=False)
-
-
-def _explode_arrays(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of every array file, 10,000 at a time."""
-    for batch in files:
-        for name, content in zip(batch["name"], batch["content"]):
-            m = _matrix_rows(content)
-            wide = m if m.ndim == 2 else m.reshape(-1, 1)
-            for at in range(0, len(wide), 10_000):
-                part = wide[at : at + 10_000].astype(np.float32)
-                yield pd.DataFrame({
-                    "name": name, "bank_row": np.arange(at, at + len(part)), "embedding": list(part),
-                })
-
-
-def read_arrays(spark: SparkSession, pattern: str) -> DataFrame:
-    """Rows of ``.npy`` files: ``(name, bank_row, embedding)``; a file is one task's work."""
-    files = spark.read.format("binaryFile").load(pattern)
-    name = F.regexp_extract("path", r"([^/]+)\.npy$", 1)
-    return files.select(name.alias("name"), "content").mapInPandas(
-        _explode_arrays, "name string, bank_row long, embedding array<float>"
-    )
-
-
 def _json_list(spark: SparkSession, path: str) -> DataFrame:
-    """Elements of a JSON list file with their position, as raw text."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("bank_row", "raw"))
+    return read_json_list(spark, path).withColumnRenamed("position", "bank_row")
 
 
 def import_state_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
