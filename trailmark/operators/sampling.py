@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.skew import TARGET_ROWS, hash_axis, row_number, running, small_side
+from trailmark.operators.skew import TARGET_ROWS, first_rows, hash_axis, row_number, running, small_side
 
 
 def shuffle_key(seed: int, idx: str = "idx") -> Column:
@@ -18,16 +18,20 @@ def group_name(key: str) -> Column:
 
 
 def limit_samples(df: DataFrame, n: int, position: str = "src_pos") -> DataFrame:
-    """First ``n`` rows in source order."""
-    ranked = running(df, [], {"pos": F.col(position)}, {"_rn": row_number()})
-    return ranked.where(F.col("_rn") <= n).drop("_rn")
+    """First ``n`` rows in source order; among rows of one position those of the smallest row hash."""
+    return first_rows(df, n, [F.col(position), F.xxhash64(*_hashable(df))])
+
+
+def _hashable(df: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed; maps as their entries."""
+    return [F.map_entries(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema.fields]
 
 
 def sample_random(df: DataFrame, n: int, seed: int = 42, idx: str = "idx") -> DataFrame:
     """Exactly min(n, rows) rows in a repeatable random choice."""
-    keyed = df.withColumn("_h", shuffle_key(seed, idx))
-    ranked = running(keyed, [], {"h": hash_axis(F.col("_h"))}, {"_rn": row_number()}, ["_h"])
-    return ranked.where(F.col("_rn") <= n).drop("_h", "_rn")
+    digest = shuffle_key(seed, idx)
+    parts = [F.conv(F.substring(digest, at, width), 16, 10) for at, width in ((1, 12), (13, 15), (28, 5))]
+    return first_rows(df, n, [*parts, F.xxhash64(*_hashable(df))])
 
 
 def sample_balanced(

@@ -188,6 +188,52 @@ def number_ranges(
     return joined.withColumn(name, position).drop("_at", "_part", "_before")
 
 
+SELECT_SLOTS = 4_096  # ranges that one round of ``first_rows`` counts
+
+
+def first_rows(df: DataFrame, n: int, axes: list[Column]) -> DataFrame:
+    """The first ``n`` rows in the order of whole-number ``axes``, nulls first; rows equal on all axes are interchangeable.
+
+    A distributed selection: a round counts the rows of some thousand equal ranges between the bounds of the first
+    axis and goes on in the range that holds the n-th row, until one value is left; ties on it are decided by the next
+    axis. Then the rows below the cut are a filter on the input. The rounds read narrow columns, and their number
+    depends on the width of the axes, not on ``n`` or the table. No row is ordered, whatever share of them is equal.
+    """
+    named = [F.coalesce(a.cast("long"), F.lit(-(1 << 63))) for a in axes]
+    names = [f"_axis{i}" for i in range(len(axes))]
+    wide = df.withColumns(dict(zip(names, named)))
+    narrow, left, below = wide.select(*names), n, F.lit(False)
+    tied = F.lit(True)
+    for name in names:
+        cut, before, at = _nth_value(narrow.where(tied), name, left)
+        if cut is None:
+            return df  # not more than n rows
+        below, left = below | (tied & (F.col(name) < cut)), left - before
+        tied = tied & (F.col(name) == cut)
+        if at == left:  # the rows of the cut value are all wanted
+            return wide.where(below | tied).drop(*names)
+    return wide.where(below).unionByName(wide.where(tied).limit(left)).drop(*names)
+
+
+def _nth_value(df: DataFrame, axis: str, n: int) -> tuple[int | None, int, int]:
+    """The value of the n-th row, how many rows are below it, and how many have it; None with n rows or fewer."""
+    first = df.agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if first["n"] <= n:
+        return None, 0, 0
+    lo, hi, before = first["lo"], first["hi"], 0
+    while True:
+        width = max(1, -(-(hi - lo + 1) // SELECT_SLOTS))
+        slot = F.expr(f"(cast({axis} as decimal(20,0)) - cast({lo} as decimal(20,0))) div cast({width} as decimal(20,0))")
+        counts = df.where(F.col(axis).between(lo, hi)).groupBy(slot.alias("slot")).count().collect()  # SELECT_SLOTS at most
+        for slot_no, count in sorted((r["slot"], r["count"]) for r in counts):
+            if before + count >= n:
+                break
+            before += count
+        lo, hi = lo + slot_no * width, min(hi, lo + (slot_no + 1) * width - 1)
+        if width == 1:
+            return lo, before, count
+
+
 def hash_axis(digest: Column) -> Column:
     """Order-keeping number of a hex digest."""
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
