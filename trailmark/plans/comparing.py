@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailmark.operators import compare as C
 from trailmark.operators import reports
 from trailmark.plans import bindings as B
-from trailmark.plans.registry import query
+from trailmark.plans.registry import QUERIES, query
+from trailmark.session import checkpoint_dir
+from trailmark.sources.versions import publish, read_version
 
 
 def _union(df):
@@ -239,16 +243,89 @@ def case_numbers(spark, d):
     return reports.number_cases(B.errors(spark, d)).select(F.col("_st").alias("sub_task"), "idx", "case_no")
 
 
-@query("error_report")
+def _listed(section: int, lines: list[str], sub_task: str = "''", part: int = 0, case_no: str = "0", source: str = "(SELECT 1)") -> str:
+    """SQL of report lines: one list of texts per row of ``source``."""
+    items = ", ".join(lines)
+    return f"""SELECT {section}::BIGINT AS section, {sub_task} AS sub_task, {part}::BIGINT AS part, ({case_no})::BIGINT AS case_no,
+  unnest(range({len(lines)}))::BIGINT AS line, unnest([{items}]) AS text FROM {source}"""
+
+
+def _share(part: str) -> str:
+    return f"printf('%.1f%%', round({part} * 100.0 / (SELECT count(*) FROM labels), 1))"
+
+
+_NL = "chr(10)"
+_RANK = f"list_position({B.CATEGORIES_SQL}, category)"
+_ROW = "'| ' || category || ' | ' || errors || ' | ' || printf('%.1f%%', pct) || ' |'"
+_CATEGORY_HEAD = ["'| Category | Count | % of Errors |'", "'|----------|-------|-------------|'"]
+_ERROR_LINES = " UNION ALL ".join([
+    _listed(0, [
+        f"'# Error Analysis Report' || {_NL}", "'| Metric | Value |'", "'|--------|-------|'",
+        "'| Total samples | ' || (SELECT count(*) FROM labels) || ' |'", f"'| Incorrect | ' || n || ' (' || {_share('n')} || ') |'",
+        "'| Analyzed | ' || n || ' |'", "'| Generated |  |'", "''", f"'## Overall Error Category Distribution' || {_NL}", *_CATEGORY_HEAD,
+    ], source="(SELECT count(*) AS n FROM errors)"),
+    _listed(1, [_ROW], case_no=_RANK, source=f"({QUERIES['error_distribution'].sql})"),
+    _listed(2, ["''", "'> Percentages may sum to >100% due to multi-label annotation.'", "''"]),
+    _listed(3, [f"'## Sub-task Overview' || {_NL}", "'| Sub-task | Errors | Top Categories |'", "'|----------|--------|----------------|'"]),
+    _listed(4, ["'| ' || sub_task || ' | ' || errors || ' | ' || top_categories || ' |'"], "sub_task", source=f"({QUERIES['subtask_overview'].sql})"),
+    _listed(5, ["''"]),
+    _listed(6, [f"'## Sub-task: ' || st || ' (' || n || ' errors)' || {_NL}", *_CATEGORY_HEAD], "st", source="(SELECT st, count(*) AS n FROM errors GROUP BY st)"),
+    _listed(6, [_ROW], "sub_task", 1, _RANK, f"({QUERIES['error_distribution_by_sub_task'].sql})"),
+    _listed(6, ["''", f"'### Cases' || {_NL}"], "st", 2, source="(SELECT DISTINCT st FROM errors)"),
+    _listed(6, [
+        "'#### #' || no || ' [idx=' || idx || ']'", "'- **Question**: ' || text", "'- **Images**: img/' || idx || '.png'",
+        "'- **Ground Truth**: ' || ground_truth || ' | **Predicted**: ' || predicted",
+        "'- **Categories**: ' || CASE WHEN len(cats) = 0 THEN 'N/A' ELSE array_to_string(cats, ', ') END", "'- **Analysis**: analysis of ' || idx", "''",
+    ], "st", 3, "no", "(SELECT e.*, d.text, row_number() OVER (PARTITION BY st ORDER BY idx) AS no FROM errors e JOIN documents d ON d.doc_id = e.idx)"),
+])
+_WINS = "count(*) FILTER (direct_is_correct) AS direct, count(*) FILTER (NOT direct_is_correct) AS tool, count(*) AS n"
+_COMPARISON_LINES = " UNION ALL ".join([
+    _listed(0, [
+        f"'# Comparison Analysis Report' || {_NL}", "'| Metric | Value |'", "'|--------|-------|'",
+        "'| Total samples | ' || (SELECT count(*) FROM labels) || ' |'", f"'| Disagreements | ' || n || ' (' || {_share('n')} || ') |'",
+        "'| Direct wins | ' || direct || ' |'", "'| Tool wins | ' || tool || ' |'", "'| Generated |  |'", "''", f"'## Sub-task Overview' || {_NL}",
+        "'| Sub-task | Direct Wins | Tool Wins | Total |'", "'|----------|-------------|-----------|-------|'",
+    ], source=f"(SELECT {_WINS} FROM records)"),
+    _listed(1, ["'| ' || st || ' | ' || direct || ' | ' || tool || ' | ' || n || ' |'"], "st", source=f"(SELECT st, {_WINS} FROM records GROUP BY st)"),
+    _listed(2, ["''"]),
+    _listed(3, [f"'## Sub-task: ' || st || ' (Direct ' || direct || ', Tool ' || tool || ', Total ' || n || ')' || {_NL}", f"'### Cases' || {_NL}"],
+            "st", source=f"(SELECT st, {_WINS} FROM records GROUP BY st)"),
+    _listed(3, [
+        "'#### #' || no || ' [idx=' || idx || '] — ' || CASE WHEN direct_is_correct THEN 'Direct' ELSE 'Tool' END || ' wins'",
+        "'- **Question**: ' || text", "'- **Images**: ' || idx", "'- **Ground Truth**: ' || ground_truth",
+        "'- **Direct**: ' || direct_said || CASE WHEN direct_is_correct THEN ' (correct)' ELSE ' (wrong)' END",
+        "'- **Tool**: ' || tool_said || CASE WHEN tool_is_correct THEN ' (correct)' ELSE ' (wrong)' END",
+        "'- **Key Difference**: ' || key_difference", "'- **Explanation**: '", "''",
+    ], "st", 1, "no", """(SELECT r.*, d.text, a.ground_truth, a.predicted AS direct_said, b.predicted AS tool_said,
+    row_number() OVER (PARTITION BY st ORDER BY r.idx) AS no
+  FROM records r JOIN run_a a ON a.idx = r.idx JOIN run_b b ON b.idx = r.idx JOIN documents d ON d.doc_id = r.idx)"""),
+])
+
+
+@query("error_report", B.sql("errors", body=_ERROR_LINES))
 def error_report(spark, d):
     return reports.error_report(B.errors(spark, d), B.table(spark, d, "labels").count())
 
 
-@query("comparison_report")
+@query("comparison_report", B.sql("records", body=_COMPARISON_LINES))
 def comparison_report(spark, d):
     return reports.comparison_report(_records(spark, d), B.table(spark, d, "labels").count())
 
 
+@query("outcome_versions", B.sql("traces", "run_b", body="""
+SELECT task_id, before, after, coalesce(before, 'missing') <> coalesce(after, 'missing') AS changed FROM (
+  SELECT t.task_id, t.is_correct::VARCHAR AS before, coalesce(r.is_correct, t.is_correct)::VARCHAR AS after
+  FROM traces t LEFT JOIN run_b r ON t.dataset_id = r.idx::VARCHAR)"""))
+def outcome_versions(spark, d):
+    """Outcomes written back as the second version of a stored table; both versions are read and compared."""
+    path = f"{checkpoint_dir(spark)}/traces-{uuid.uuid4().hex}"
+    publish(B.traces(spark, d).select("task_id", "dataset_id", "is_correct", "ground_truth"), path, note="as recorded")
+    publish(C.apply_outcomes(read_version(spark, path, 1), _union(B.runs(spark, d)[1])), path, base=1, note="outcomes of run b")
+    before = read_version(spark, path, 1).select("task_id", F.col("is_correct").cast("string").alias("before"))
+    after = read_version(spark, path).select("task_id", F.col("is_correct").cast("string").alias("after"))
+    return before.join(after, "task_id").withColumn("changed", ~F.col("before").eqNullSafe(F.col("after")))
+
+
 @query("error_report_cases", B.sql("errors", body="""
 SELECT st AS sub_task, case_no, line::BIGINT AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY idx) AS case_no FROM errors),
   LATERAL (SELECT unnest(['#### #' || case_no || ' [idx=' || idx || ']', '- **Ground Truth**: ' || ground_truth || ' | **Predicted**: ' || predicted,

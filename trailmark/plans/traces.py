@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailmark.functions import steps as S
@@ -11,6 +13,9 @@ from trailmark.operators import messages as M
 from trailmark.operators import trajectories as T
 from trailmark.plans import bindings as B
 from trailmark.plans.registry import query
+from trailmark.session import checkpoint_dir
+from trailmark.sources import tables as files
+from trailmark.streaming import live
 
 _NL = "chr(10)"
 
@@ -269,3 +274,65 @@ SELECT task_id, turns, actions, answered, CASE WHEN answered THEN 'answered' WHE
 FROM (SELECT task_id, count(*) AS turns, sum(n_actions)::BIGINT AS actions, bool_or(answered) AS answered FROM budget GROUP BY task_id)"""))
 def turn_outcomes(spark, d):
     return T.turn_outcomes(T.apply_turn_budget(B.turns(spark, d), axes=B.micros()))
+
+
+# ---- trace files ------------------------------------------------------------
+
+
+def _trace_files(spark, d) -> str:
+    """A file per trace, and a broken one for every tenth document; returns the folder."""
+    path = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    t = B.traces(spark, d)
+    # images as objects, plain paths and blanks
+    items = F.transform("images", lambda p, i: F.when(i == 0, F.to_json(F.struct(F.lit("x").alias("id"), p.alias("path")))).otherwise(F.to_json(F.array(p))))
+    images = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: F.regexp_replace(x, r"^\[(.*)\]$", "$1")), ","), F.when(F.size("images") > 0, ",").otherwise(""), F.lit('""]'))
+    steps = F.to_json(F.transform(F.filter("steps", lambda s: s["type"] != ""), lambda s: F.struct(
+        s["step"].alias("step"), s["type"].alias("type"), s["tool"].alias("tool"), s["content"].alias("content"),
+        s["properties"].alias("properties"), s["observation"].alias("observation"))))
+    document = F.concat(
+        F.lit('{"task_id": "written elsewhere", "is_correct": '), F.coalesce(F.col("is_correct").cast("string"), F.lit("null")),
+        F.lit(', "input": {"question": '), F.to_json(F.array("question")).substr(F.lit(2), F.length(F.to_json(F.array("question"))) - 2),
+        F.lit(', "images": '), images, F.lit('}, "trace": '), steps, F.lit("}"),
+    )
+    good = t.select("task_id", document.alias("document"))
+    bad = t.where("doc_id % 10 = 0").select(F.concat(F.lit("broken "), "task_id").alias("task_id"), F.substring(document, 1, 60).alias("document"))
+    files.write_traces(good.unionByName(bad), path)
+    return path
+
+
+_FILE_SQL = """
+SELECT t.task_id, t.question, array_to_string(t.images, ' ') AS images, coalesce(t.is_correct::VARCHAR, 'missing') AS is_correct,
+  coalesce(s.n, 0) AS n_steps, md5(coalesce(s.said, '')) AS digest
+FROM traces t LEFT JOIN (
+  SELECT task_id, count(*) AS n, string_agg((pos + 1) || ' ' || type || ' ' || coalesce(tool, '') || ' ' || properties || ' ' ||
+    CASE WHEN type = 'action' THEN observation ELSE x END, chr(10) ORDER BY pos) AS said FROM steps WHERE type <> '' GROUP BY task_id) s USING (task_id)"""
+
+
+def _of_files(traces):
+    said = F.transform("steps", lambda s: F.concat_ws(
+        " ", s["step"], s["type"], F.coalesce(s["tool"], F.lit("")), s["properties"], F.when(s["type"] == "action", s["observation"]).otherwise(s["content"])))
+    return traces.select(
+        "task_id", "question", F.array_join("images", " ").alias("images"), F.coalesce(F.col("is_correct").cast("string"), F.lit("missing")).alias("is_correct"),
+        F.size("steps").alias("n_steps"), F.md5(F.array_join(said, "\n")).alias("digest"),
+    )
+
+
+@query("read_traces", B.sql("traces", "steps", body=_FILE_SQL))
+def read_traces(spark, d):
+    """Traces written as files and read back, the broken ones left out."""
+    return _of_files(files.read_traces(spark, _trace_files(spark, d)))
+
+
+@query("unreadable_traces", "SELECT 'broken ' || printf('%06d', doc_id) AS task_id FROM documents WHERE doc_id % 10 = 0")
+def unreadable_traces(spark, d):
+    return files.unreadable_traces(spark, _trace_files(spark, d)).select("task_id")
+
+
+@query("stream_traces", B.sql("traces", "steps", body=_FILE_SQL))
+def stream_traces(spark, d):
+    """The same files as a stream, some hundred per batch."""
+    path = _trace_files(spark, d)
+    out = live.stream_traces(spark, path, 400).select("task_id", "question", "images", "is_correct", "steps")
+    writer = out.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    writer.start(f"{path}/out").awaitTermination()
+    return _of_files(spark.read.schema(out.schema).parquet(f"{path}/out"))
