@@ -51,6 +51,15 @@ def strip_sql(e: str) -> str:
     return f"trim({e}, {SPACES})"
 
 
+def vector_digest(v) -> Column:
+    """Digest of all values of an array of floats, as whole millionths."""
+    return F.md5(F.array_join(F.transform(v, lambda x: F.floor(x.cast("double") * 1_000_000).cast("string")), ","))
+
+
+def vector_digest_sql(v: str) -> str:
+    return f"md5(array_to_string(list_transform({v}, lambda x: floor(x::DOUBLE * 1000000)::BIGINT), ','))"
+
+
 # ---- traces from documents --------------------------------------------------
 
 TOOLS = ["crop", "zoom_in", "ocr", "localize_objects"]

@@ -129,17 +129,18 @@ def tool_usage_stats(spark, d):
 def _paired(spark, d):
     a, b = B.runs(spark, d)
     tool = C.with_tool_use(a.select("idx", "src_pos", "is_correct", "sub_task"), B.traces(spark, d))
-    direct = b.select("idx", "src_pos", "is_correct").withColumn("used_tools", F.lit(False))
-    return C.categorise(tool, direct)
+    # run b left its traces one sample earlier, the last sample has none
+    traces_b = B.traces(spark, d).withColumn("dataset_id", (F.col("doc_id") - 1).cast("string"))
+    return C.categorise(tool, C.with_tool_use(b.select("idx", "src_pos", "is_correct"), traces_b))
 
 
 _COMPARED = """
 SELECT c.category, count(p.idx) AS total, count(*) FILTER (used_tools) AS a_with_tools, count(*) FILTER (NOT used_tools) AS a_without_tools,
-  0::BIGINT AS b_with_tools, count(p.idx) AS b_without_tools
+  count(*) FILTER (b_used) AS b_with_tools, count(*) FILTER (NOT b_used) AS b_without_tools
 FROM (VALUES ('both_correct'), ('both_wrong'), ('only_a_wrong'), ('only_b_wrong')) c(category) LEFT JOIN (
-  SELECT a.idx, used_tools, CASE WHEN a.is_correct AND b.is_correct THEN 'both_correct' WHEN NOT a.is_correct AND NOT b.is_correct THEN 'both_wrong'
+  SELECT a.idx, u.used_tools, coalesce(v.used_tools, false) AS b_used, CASE WHEN a.is_correct AND b.is_correct THEN 'both_correct' WHEN NOT a.is_correct AND NOT b.is_correct THEN 'both_wrong'
     WHEN b.is_correct THEN 'only_a_wrong' ELSE 'only_b_wrong' END AS category
-  FROM run_a a JOIN run_b b ON a.idx = b.idx JOIN used u ON a.idx = u.doc_id) p ON c.category = p.category GROUP BY 1"""
+  FROM run_a a JOIN run_b b ON a.idx = b.idx JOIN used u ON a.idx = u.doc_id LEFT JOIN used v ON v.doc_id = a.idx + 1) p ON c.category = p.category GROUP BY 1"""
 
 
 @query("compare_runs", B.sql("run_a", "run_b", "used", body=_COMPARED))

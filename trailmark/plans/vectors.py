@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailmark.config import RetrievalConfig
@@ -10,16 +12,17 @@ from trailmark.functions import vectors as VX
 from trailmark.operators import banks, search
 from trailmark.plans import bindings as B
 from trailmark.plans.registry import query
+from trailmark.session import checkpoint_dir
+from trailmark.sources import banks as stored
 
 _DOT = "round(list_dot_product(q.v, b.v) / ((q.norm + 1e-8) * (b.norm + 1e-8)), 9)"
 
 
 @query("l2_normalize", B.sql("emb", body="""
-SELECT vec_id, round(norm / (norm + 1e-8), 6) AS length, round(v[1] / (norm + 1e-8), 6) + 0.0 AS first_value FROM emb"""))
+SELECT vec_id, i - 1 AS i, round(x / (norm + 1e-8), 6) + 0.0 AS value FROM (SELECT vec_id, norm, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb)"""))
 def l2_normalize(spark, d):
-    unit = VX.l2_normalize("embedding")
-    e = B.table(spark, d, "embeddings").select("vec_id", unit.alias("u"))
-    return e.select("vec_id", F.round(VX.norm("u"), 6).alias("length"), F.round(F.get("u", 0), 6).alias("first_value"))
+    unit = F.posexplode(VX.l2_normalize("embedding")).alias("i", "value")
+    return B.table(spark, d, "embeddings").select("vec_id", unit).select("vec_id", "i", F.round("value", 6).alias("value"))
 
 
 _BACK = "round(list_dot_product(list_reverse(q.v), b.v) / ((q.norm + 1e-8) * (b.norm + 1e-8)), 9)"
@@ -235,16 +238,13 @@ FROM (SELECT doc_id, md5('Question: ' || question || chr(10) || 'Task: ' || sub_
 
 
 @query("embed_texts", B.sql("hashed", body="""
-SELECT doc_id, len(e) AS dim, round(e[1]::DOUBLE, 5) + 0.0 AS first_value, round(e[16]::DOUBLE, 5) + 0.0 AS last_value FROM hashed"""))
+SELECT doc_id, len(e) AS dim, """ + B.vector_digest_sql("e") + """ AS digest FROM hashed"""))
 def embed_texts(spark, d):
     from trailmark.functions.text import index_text
 
     t = B.traces(spark, d).select("doc_id", index_text("question", "sub_task").alias("text"))
     e = models.embed(t, models.HashEncoder)
-    return e.select(
-        "doc_id", F.size("embedding").alias("dim"), F.round(F.get("embedding", 0).cast("double"), 5).alias("first_value"),
-        F.round(F.get("embedding", 15).cast("double"), 5).alias("last_value"),
-    )
+    return e.select("doc_id", F.size("embedding").alias("dim"), B.vector_digest("embedding").alias("digest"))
 
 
 @query("retrieve_trace_experience", B.sql("hashed", "traces", body="""
@@ -278,16 +278,19 @@ def mean_pool(spark, d):
 
 
 @query("pool_with_fallback", B.sql("emb", body="""
-SELECT r.r_regionkey::BIGINT AS r_regionkey, round(coalesce(i.m, t.m), 5) + 0.0 AS first_value FROM region r
-LEFT JOIN (SELECT label, avg(v[1]) AS m FROM emb WHERE label < 3 GROUP BY label) i ON r.r_regionkey = i.label
-LEFT JOIN (SELECT vec_id, v[1] AS m FROM emb) t ON r.r_regionkey = t.vec_id"""))
+SELECT r_regionkey, i - 1 AS i, round(coalesce(pooled, plain), 5) + 0.0 AS value FROM (
+  SELECT r.r_regionkey::BIGINT AS r_regionkey, t.i, t.x AS plain, p.m AS pooled FROM region r
+  JOIN (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb) t ON r.r_regionkey = t.vec_id
+  LEFT JOIN (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM emb WHERE label < 3) GROUP BY 1, 2) p
+    ON p.label = r.r_regionkey AND p.i = t.i)"""))
 def pool_with_fallback(spark, d):
     e = B.table(spark, d, "embeddings")
     keys = B.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"))
     images = e.where("label < 3").select(F.col("label").cast("long").alias("r_regionkey"), "embedding")
     texts = e.select(F.col("vec_id").alias("r_regionkey"), "embedding")
     out = banks.with_fallback_text(keys, images, texts, "r_regionkey")
-    return out.select("r_regionkey", F.round(F.get("embedding", 0).cast("double"), 5).alias("first_value"))
+    one = out.select("r_regionkey", F.posexplode("embedding").alias("i", "x"))
+    return one.select("r_regionkey", "i", F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 # Every event compares the vector of its user with the vector of its own number.
@@ -407,3 +410,33 @@ def approximate_recall(spark, d):
         F.bool_and(F.abs(F.col("near") - F.col("score")) < 1e-8).alias("all_scores_right")
     )
     return found.join(scored, "view")
+
+
+@query("import_state_bank", B.sql("emb", body=f"""
+SELECT vec_id AS bank_row, task_id, state::BIGINT AS state, label::BIGINT AS q_value, CASE WHEN label <> 0 THEN view ELSE '' END AS view,
+  CASE WHEN label <> 0 THEN {B.vector_digest_sql('v')} ELSE '' END AS digest FROM emb"""))
+def import_state_bank(spark, d):
+    """The bank written as one JSON list and one array and mask per view, and read back by ranges."""
+    path = f"{checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    stored.export_state_bank(*B.bank(spark, d), path)
+    meta, vec = stored.import_state_bank(spark, path)
+    found = vec.select("bank_row", "view", B.vector_digest("embedding").alias("digest"))
+    return meta.join(found, "bank_row", "left").select(
+        "bank_row", "task_id", F.col("state").cast("long").alias("state"), F.col("q_value").cast("long").alias("q_value"),
+        F.coalesce("view", F.lit("")).alias("view"), F.coalesce("digest", F.lit("")).alias("digest"),
+    )
+
+
+@query("import_trace_bank", B.sql("emb", body=f"""
+SELECT vec_id AS bank_row, task_id, 'say "' || vec_id || '", ]' AS experience, 'correct' AS source, {B.vector_digest_sql('v')} AS digest FROM emb"""))
+def import_trace_bank(spark, d):
+    path = f"{checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    said = F.concat(F.lit('say "'), F.col("vec_id").cast("string"), F.lit('", ]'))
+    bank = B.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("bank_row"), (F.col("vec_id") % 97).cast("string").alias("task_id"), said.alias("experience"),
+        F.lit("correct").alias("source"), "embedding",
+    )
+    stored.export_trace_bank(bank, path)
+    return stored.import_trace_bank(spark, path).select(
+        "bank_row", "task_id", "experience", "source", B.vector_digest("embedding").alias("digest")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators.skew import row_number, running
 from trailmark.schemas import BANK_VECTORS, VIEWS
-from trailmark.sources.ranges import read_arrays, read_json_list
+from trailmark.sources.ranges import read_arrays, read_json_list, write_arrays, write_json_list
 
 
 def write_state_bank(meta: DataFrame, vectors: DataFrame, path: str) -> None:
@@ -74,6 +74,35 @@ def import_state_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return meta, kept.select("bank_row", "view", "embedding")
 
 
+def export_state_bank(meta: DataFrame, vectors: DataFrame, path: str) -> None:
+    """The layout ``import_state_bank`` reads: a matrix with a row per state and a mask for every view of the bank.
+
+    ``bank_row`` counts from 0 without gaps. A state without vector in a view has a row of zeros and a false mask.
+    """
+    body = F.to_json(F.struct(*[c for c in meta.columns if c != "bank_row"]))
+    write_json_list(meta.select(F.col("bank_row").alias("position"), body.alias("raw")), f"{path}/state_meta.json")
+    width = vectors.groupBy("view").agg(F.max(F.size("embedding")).alias("_width"))
+    cells = _cells(meta, width)
+    full = cells.join(vectors.select("bank_row", "view", "embedding"), ["bank_row", "view"], "left")
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), F.col("_width"))
+    write_arrays(full.select(F.col("view").alias("name"), "bank_row", F.coalesce("embedding", zeros).alias("embedding")), f"{path}/views")
+    mask = F.array(F.col("embedding").isNotNull().cast("float"))
+    write_arrays(full.select(F.concat("view", F.lit("_mask")).alias("name"), "bank_row", mask.alias("embedding")), f"{path}/views", "|b1")
+
+
+def _cells(meta: DataFrame, width: DataFrame) -> DataFrame:
+    """``bank_row, view, _width`` of every state and every view that ``width`` lists; one row per view is joined by name."""
+    every = F.explode(F.array(*[F.lit(v) for v in VIEWS])).alias("view")
+    return meta.select("bank_row", every).join(width, "view")
+
+
+def export_trace_bank(bank: DataFrame, path: str) -> None:
+    """The layout ``import_trace_bank`` reads; ``bank_row`` counts from 0 without gaps."""
+    body = F.to_json(F.struct("task_id", "experience", "source"))
+    write_json_list(bank.select(F.col("bank_row").alias("position"), body.alias("raw")), f"{path}/experiences.json")
+    write_arrays(bank.select(F.lit("embeddings").alias("name"), "bank_row", "embedding"), path)
+
+
 def import_trace_bank(spark: SparkSession, path: str) -> DataFrame:
     """Bank stored as ``experiences.json`` (objects, or plain texts in old files) and ``embeddings.npy``."""
     rows = _json_list(spark, f"{path}/experiences.json")

@@ -158,6 +158,64 @@ def read_arrays(spark: SparkSession, pattern: str, range_bytes: int = RANGE_BYTE
     return _ranges(spark, ArrayRanges, pattern, range_bytes)
 
 
+def write_arrays(rows: DataFrame, folder: str, dtype: str = "<f4") -> int:
+    """Write ``name, bank_row, embedding`` as ``<folder>/<name>.npy``, rows in order, and return the number of rows.
+
+    An array file has one writer, which streams through its sorted rows. All vectors of a name have one length; rows
+    without vector are not taken.
+    """
+    kept = rows.where(F.col("embedding").isNotNull())
+    shape = kept.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("embedding")).alias("_width"))
+    ordered = kept.join(shape, "name").repartition("name").sortWithinPartitions("name", "bank_row")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        store.create_dir(root, recursive=True)
+        name, out, written = None, None, 0
+        for batch in batches:
+            flat = batch.column("embedding").cast(pa.list_(pa.float64())).flatten().to_numpy(zero_copy_only=False)
+            names, widths = batch.column("name").to_pylist(), batch.column("_width").to_pylist()
+            ends = [i for i in range(1, len(names)) if names[i] != names[i - 1]] + ([len(names)] if names else [])
+            at = 0
+            for first, end in zip([0, *ends], ends):
+                if names[first] != name:
+                    if out:
+                        out.close()
+                    name = names[first]
+                    out = store.open_output_stream(f"{root}/{name}.npy")
+                    n, width = batch.column("_n")[first].as_py(), widths[first]
+                    head = io.BytesIO()
+                    shape = (n,) if dtype == "|b1" else (n, width)
+                    np.lib.format.write_array_header_1_0(head, {"descr": dtype, "fortran_order": False, "shape": shape})
+                    out.write(head.getvalue())
+                size = (end - first) * widths[first]
+                out.write(flat[at : at + size].astype(dtype).tobytes())
+                at, written = at + size, written + end - first
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([written])], ["n"])
+
+    return ordered.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def write_json_list(rows: DataFrame, path: str) -> None:
+    """Write ``position, raw`` (JSON texts) as one file with one JSON list, in order; one task streams through the rows."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, name = _store(path)
+        store.create_dir(name.rpartition("/")[0], recursive=True)
+        n = 0
+        with store.open_output_stream(name) as out:
+            out.write(b"[")
+            for batch in batches:
+                for text in batch.column("raw").to_pylist():
+                    out.write((",\n" if n else "").encode() + text.encode())
+                    n += 1
+            out.write(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    rows.select("position", "raw").repartition(1).sortWithinPartitions("position").mapInArrow(write, "n long").count()
+
+
 # ---- JSON lists -------------------------------------------------------------
 
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2  # where a range begins: between strings, in one, behind its backslash
