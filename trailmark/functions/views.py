@@ -63,25 +63,27 @@ def compose_view(elements: Column | str, view: Column | str, mask: Column | None
     """
     e = col(elements)
     bits = view_mask(view) if mask is None else mask
-
-    def used(name: str) -> Column:
-        return (bits.bitwiseAND(1 << ELEMENTS.index(name)) != 0) & _filled(e, name)
-
-    text = F.concat_ws(
-        "\n",
-        F.when(used("question"), F.concat(F.lit("Question: "), e["question"])),
-        F.when(used("task"), F.concat(F.lit("Task: "), e["task"])),
-        F.when(used("images"), F.lit("Images are provided.")),
-        F.when(
-            used("observations"),
-            F.concat(F.lit("Observation: "), F.array_join(e["observations"], "\nObservation: ")),
-        ),
-    )
-    images = F.when(
-        used("images"), F.filter(e["images"], lambda p: p.isNotNull() & (p != ""))
-    ).otherwise(_none())
+    has = [bits.bitwiseAND(1 << i) != 0 for i in range(len(ELEMENTS))]
+    text = F.concat_ws("\n", *[F.when(h, t) for h, t in zip(has, element_texts(e))])
+    images = F.coalesce(F.when(has[ELEMENTS.index("images")], filled_images(e)), _none())
     return F.struct(text.alias("text"), images.alias("images"))
 
 
+def element_texts(e: Column) -> list[Column]:
+    """What each element adds to a view's text, in the order of ``ELEMENTS``; null when it is empty."""
+    texts = {
+        "question": F.concat(F.lit("Question: "), e["question"]),
+        "task": F.concat(F.lit("Task: "), e["task"]),
+        "images": F.lit("Images are provided."),
+        "observations": F.concat(F.lit("Observation: "), F.array_join(e["observations"], "\nObservation: ")),
+    }
+    return [F.when(_filled(e, name), texts[name]) for name in ELEMENTS]
+
+
+def filled_images(e: Column) -> Column:
+    """Paths of the images element, blanks dropped; null when it is empty."""
+    return F.when(_filled(e, "images"), F.filter(e["images"], lambda p: p.isNotNull() & (p != "")))
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")

@@ -45,12 +45,18 @@ def to_states(traces: DataFrame) -> DataFrame:
 def explode_views(states: DataFrame) -> DataFrame:
     """One row per state and available view with the payload to embed."""
     keep = [c for c in states.columns if c != "elements"]
-    masked = states.withColumn("_have", V.element_mask("elements"))
-    listed = masked.withColumn("view", F.explode_outer(V.views_of_mask(F.col("_have")))).where("view is not null")
-    views = listed.withColumn("_mask", V.view_mask("view"))
-    return views.withColumn("payload", V.compose_view("elements", "view", F.col("_mask"))).select(
-        *keep, "view", F.col("payload.text").alias("text"), F.col("payload.images").alias("view_images")
+    e = F.col("elements")
+    # a state's parts are composed once and carried through the views, which join them
+    parts = states.select(
+        *keep, V.element_mask("elements").alias("_have"), *[t.alias(f"_t{i}") for i, t in enumerate(V.element_texts(e))],
+        V.filled_images(e).alias("_images"),
     )
+    listed = parts.withColumn("view", F.explode_outer(V.views_of_mask(F.col("_have")))).where("view is not null")
+    views = listed.withColumn("_mask", V.view_mask("view"))
+    used = [F.when(F.col("_mask").bitwiseAND(1 << i) != 0, F.col(f"_t{i}")) for i in range(len(V.ELEMENTS))]
+    images = F.when(F.col("_mask").bitwiseAND(1 << V.ELEMENTS.index("images")) != 0, F.col("_images"))
+    none = F.array().cast("array<string>")
+    return views.select(*keep, "view", F.concat_ws("\n", *used).alias("text"), F.coalesce(images, none).alias("view_images"))
 
 
 def step_rows(traces: DataFrame, key: str = "task_id") -> DataFrame:

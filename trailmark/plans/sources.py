@@ -316,14 +316,14 @@ def _folder(spark, name: str) -> str:
 
 
 @query("state_bank_round_trip", B.sql("emb", body="""
-SELECT vec_id AS bank_row, task_id, label::BIGINT AS q_value, CASE WHEN label <> 0 THEN view ELSE '' END AS view, CASE WHEN label <> 0 THEN len(v) ELSE 0 END AS dim FROM emb"""))
+SELECT vec_id AS bank_row, task_id, label::BIGINT AS q_value, CASE WHEN label <> 0 THEN view ELSE '' END AS view, CASE WHEN label <> 0 THEN """ + B.vector_digest_sql("v") + """ ELSE '' END AS digest FROM emb"""))
 def state_bank_round_trip(spark, d):
     path = _folder(spark, "state-bank")
     SB.write_state_bank(*B.bank(spark, d), path)
     meta, vectors = SB.read_state_bank(spark, path)
     return meta.join(vectors, "bank_row", "left").select(
         "bank_row", "task_id", F.col("q_value").cast("long").alias("q_value"), F.coalesce("view", F.lit("")).alias("view"),
-        F.coalesce(F.size("embedding").cast("long"), F.lit(0)).alias("dim"),
+        F.coalesce(B.vector_digest("embedding"), F.lit("")).alias("digest"),
     )
 
 
