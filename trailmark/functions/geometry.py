@@ -20,6 +20,7 @@ def box_error(b: Column | str) -> Column:
     inside = F.lit(True)
     for name in CORNERS:
         inside = inside & b[name].between(0.0, 1.0)
+    # fixed values: both messages
     return F.when(~F.coalesce(inside, F.lit(False)), F.lit("bbox_2d values must be between 0 and 1")).when(
         (b["x1"] >= b["x2"]) | (b["y1"] >= b["y2"]),
         F.lit("invalid bbox_2d: left >= right or top >= bottom"),

@@ -117,6 +117,9 @@ def state_elements(
     )
 
 
+# The words of the texts below are fixed values.
+
+
 def trajectory_text(entries: Column | str) -> Column:
     """Readable ``State s_i`` / ``Action a_i`` blocks of a trajectory."""
     e = col(entries)

@@ -162,6 +162,7 @@ def is_answer_correct(
 
 
 # ---- traces -----------------------------------------------------------------
+# Labels, tags and the words of the texts below are fixed values.
 
 
 def index_text(question: Column | str, sub_task: Column | str) -> Column:
@@ -214,6 +215,7 @@ def task_id_text(n: Column | str) -> Column:
 
 
 # ---- observations -----------------------------------------------------------
+# The texts of observations, descriptions and messages below are fixed values.
 
 
 def format_regions(regions: Column | str) -> Column:
@@ -231,17 +233,17 @@ def format_regions(regions: Column | str) -> Column:
 
 
 def format_observation(data: Column | str) -> Column:
-    """``Key: value`` text of an observation map, in entry order."""
+    """``Key: value`` text of an observation map, in entry order; a missing value reads ``None``."""
     m = col(data)
 
     def entry(e: Column) -> Column:
         key = e["key"]
-        return F.concat(F.upper(F.substring(key, 1, 1)), F.substring(key, 2, 1 << 30), F.lit(": "), e["value"])
+        return F.concat(F.upper(F.substring(key, 1, 1)), F.substring(key, 2, 1 << 30), F.lit(": "), F.coalesce(e["value"], F.lit("None")))
 
     body = F.array_join(F.transform(F.map_entries(m), entry), ", ")
     return (
         F.when(F.coalesce(F.size(m), F.lit(0)) <= 0, F.lit("success"))
-        .when(F.map_contains_key(m, "error"), F.concat(F.lit("Error: "), m["error"]))
+        .when(F.map_contains_key(m, "error"), F.concat(F.lit("Error: "), F.coalesce(m["error"], F.lit("None"))))
         .otherwise(body)
     )
 

@@ -89,6 +89,7 @@ def params_error(params: Column | str, rules: dict[str, Param]) -> Column:
     text = unfence(params)
     v = F.try_parse_json(text)
     shape = F.schema_of_variant(v)
+    # the message texts of this module are fixed values
     checks = [F.when(v.isNull() | ~shape.startswith("OBJECT"), F.lit("parameters are not a JSON object"))]
     for name, rule in rules.items():
         value = F.try_variant_get(v, f"$.{name}", "variant")

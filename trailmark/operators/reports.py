@@ -56,6 +56,9 @@ def _category_rank() -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in ERROR_CATEGORIES]), F.col("category")).cast("long")
 
 
+# The headings, table heads and line texts of both reports are fixed values.
+
+
 def error_report(errors: DataFrame, total: int, generated: str = "") -> DataFrame:
     """Error report lines in order.
 

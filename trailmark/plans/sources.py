@@ -467,16 +467,17 @@ def replace_values(spark, d):
 
 
 def _data():
-    """Observation map of an event: none, an error, or a value and a list."""
+    """Observation map of an event: none, an error, or a value and a label; some values are missing."""
     none = F.create_map().cast("map<string,string>")
     return (
         F.when(F.col("event_type") == "view", none)
-        .when(F.col("event_type") == "error", F.create_map(F.lit("error"), F.col("props")))
-        .otherwise(F.create_map(F.lit("estimated depth"), F.col("value").cast("string"), F.lit("label"), F.col("event_type")))
+        .when(F.col("event_type") == "error", F.create_map(F.lit("error"), F.when(F.col("event_id") % 5 != 0, F.col("props"))))
+        .otherwise(F.create_map(F.lit("estimated depth"), F.col("value").cast("string"), F.lit("label"), F.when(F.col("event_id") % 3 != 0, F.col("event_type"))))
     )
 
 
-_FORMATTED = """CASE event_type WHEN 'view' THEN 'success' WHEN 'error' THEN 'Error: ' || props ELSE 'Estimated depth: ' || value::VARCHAR || ', Label: ' || event_type END"""
+_FORMATTED = """CASE event_type WHEN 'view' THEN 'success' WHEN 'error' THEN 'Error: ' || CASE WHEN event_id % 5 <> 0 THEN props ELSE 'None' END
+  ELSE 'Estimated depth: ' || value::VARCHAR || ', Label: ' || CASE WHEN event_id % 3 <> 0 THEN event_type ELSE 'None' END END"""
 
 
 @query("format_observation", f"SELECT event_id, {_FORMATTED} AS text FROM events")
