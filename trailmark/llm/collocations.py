@@ -282,9 +282,9 @@ WITH pieces AS (
                                       '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM documents
 ), split AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), x -> x <> '') AS w FROM pieces
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces
 ), grams AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
   FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
 ), f AS (
   SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL
