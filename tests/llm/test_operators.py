@@ -525,3 +525,13 @@ def test_edited_hash_of_query(llm):
         half = len(t) // 2
         want[i] = hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()
     assert {r["doc_id"]: r["edited_sha256"] for r in op10_fingerprints(llm, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_nearest_of_one_id_with_two_vectors(llm):
+    """The same row asks, whatever the order of the rows."""
+    rng = np.random.default_rng(8)
+    x = [(int(i), [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(60, 8)))]
+    x += [(0, [-v for v in x[0][1]])]
+    schema = "vec_id long, embedding array<double>"
+    ways = [sorted(map(tuple, nearest.nearest(llm.createDataFrame(rows, schema)).collect())) for rows in (x, x[::-1])]
+    assert ways[0] == ways[1]

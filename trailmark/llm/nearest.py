@@ -193,7 +193,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without
     vec_id and vectors of another length than most. Equal vectors are searched once and stand for their k + 1
-    smallest ids, which is all that can be among k nearest. Rows of one vec_id are one candidate. Fewer rows than
+    smallest ids, which is all that can be among k nearest. Rows of one vec_id are one candidate, and one query: the
+    row whose vector comes first in the order of its bytes asks. Fewer rows than
     k give all of them; an empty table gives no rows; other columns are ignored.
 
     Centroids come from a bounded sample; every vector is indexed. The pruning ratio is set so that queries from
@@ -215,7 +216,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     lists = min(lists, len(sample))
     centroids = balanced_centroids(sample, lists)
     graph = CentroidGraph(centroids)
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     some = queries.orderBy(F.xxhash64(F.lit(33), "vec_id"), "vec_id").limit(TUNING).toPandas()
     ratio = 1.0
