@@ -26,3 +26,41 @@ def test_a_table_of_several_files_is_streamed(spark, folder, as_folder, tmp_path
     rows.write.parquet(f"{folder}/labels.parquet.old")  # another table beside it
     assert streams.stream_results(spark, folder).count() == 9
     assert sorted((r.flagged, r.total) for r in streams.running_accuracy(spark, folder).collect()) == [(False, 6), (True, 3)]
+
+
+def clustered(n=10_000, dim=32):
+    """Vectors in tight groups, groups of groups far apart: a walk over near centroids does not leave its own."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    top, mid, low = rng.normal(size=(8, dim)), 0.3 * rng.normal(size=(40, dim)), 0.05 * rng.normal(size=(400, dim))
+    at = rng.integers(0, 400, n)
+    return top[at // 50] + mid[at // 10] + low[at] + 0.01 * rng.normal(size=(n, dim))
+
+
+def test_nearest_finds_neighbours_in_far_groups(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from trailmark.llm import nearest as N
+    from trailmark.llm.common import prepare
+
+    monkeypatch.setattr(N, "LIST_ROWS", 40)  # 250 lists
+    v = clustered()
+    rows = prepare(spark).createDataFrame(pd.DataFrame({"vec_id": range(len(v)), "embedding": v.tolist()}))
+    found = N.nearest(rows).toPandas().groupby("query_id")["vec_id"].apply(set)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(0, len(v), 50)
+    near = unit[ids] @ unit.T
+    near[np.arange(len(ids)), ids] = -2
+    true = np.argpartition(-near, 5, axis=1)[:, :5]
+    assert np.mean([len(found[q] & set(t)) / 5 for q, t in zip(ids, true.tolist())]) >= 0.95
+
+
+def test_a_query_on_a_centroid_has_finite_ratios():
+    import numpy as np
+
+    from trailmark.llm.nearest import CentroidGraph
+
+    c = np.eye(3)
+    assert np.isfinite(CentroidGraph.ratios(c, c)).all()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,8 +20,10 @@ SAMPLE_BYTES = 32 << 20  # of vectors that fit the centroids, 16 or more per lis
 COPIES = 4  # lists a vector is put in at most
 BOUNDARY = 1.10  # a vector also goes to lists whose centroid is at most so many times as far as the nearest
 DEGREE = 16  # links of a centroid in the graph
+STEP = 8  # centroids of a query whose links are followed at once
+NEAR = 1e-6  # distances below count alike: a query may lie on a centroid
 TUNING = 256  # queries that set the pruning ratio, measured against all vectors
-RECALL = 0.97  # of the tuning queries' true neighbours that the ratio must reach
+RECALL = 0.97  # of the tuning queries' true neighbours that the ratio, and the walk with it, must reach
 ROUNDING = 1e-9  # more than a product of unit vectors differs from the exact cosine
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 
@@ -52,44 +55,61 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class CentroidGraph:
-    """Centroids and links between near ones, walked best-first for many queries at once."""
+    """Centroids and links between near ones, walked best-first for many queries at once.
+
+    A walk begins at centroids spread over all of them, because a near group need not be linked with the others, and
+    goes on until ``beam`` centroids are seen and none that is still open is near enough. A beam of all centroids sees
+    all of them.
+    """
 
     def __init__(self, centroids: np.ndarray) -> None:
         self.centroids = centroids
-        near = np.argsort(self._far(centroids, centroids), axis=1, kind="stable")[:, 1 : DEGREE + 1]
+        far = self._far(centroids, centroids)
+        near = np.argsort(far, axis=1, kind="stable")[:, 1 : DEGREE + 1]
         ring = (np.arange(len(centroids)) + 1) % len(centroids)  # one more link each keeps the graph connected
         self.links = np.hstack([near, ring[:, None]]) if len(centroids) > 1 else np.zeros((1, 1), int)
+        entries, gap = [0], far[0].copy()  # each as far as possible from those before
+        while len(entries) < min(len(centroids), 4 * math.isqrt(len(centroids))):
+            entries.append(int(gap.argmax()))
+            gap = np.minimum(gap, far[entries[-1]])
+        self.entries = np.unique(entries)
 
     @staticmethod
     def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.T))
 
-    def search(self, queries: np.ndarray, ratio: float, least: int) -> np.ndarray:
+    @classmethod
+    def ratios(cls, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """How many times as far as the nearest centroid each one is."""
+        far = cls._far(x, c) + NEAR
+        return far / far.min(axis=1, keepdims=True)
+
+    def search(self, queries: np.ndarray, ratio: float, least: int, beam: int) -> np.ndarray:
         """Mask of the lists whose centroid is at most ``ratio`` times as far as the nearest found, ``least`` at any rate."""
         n, k = len(queries), len(self.centroids)
-        least = min(least, k)
+        least, beam, step = min(least, k), min(max(beam, 2 * least), k), min(STEP, k)
         far = np.full((n, k), np.inf)
-        rows = np.arange(n)
-        far[rows, 0] = np.linalg.norm(queries - self.centroids[0], axis=1)
-        todo = np.zeros((n, k), bool)
-        todo[:, 0] = True
-        live = rows
+        far[:, self.entries] = self._far(queries, self.centroids[self.entries]) + NEAR
+        todo = np.isfinite(far)
+        live = np.arange(n)
         while len(live):
             open_ = np.where(todo[live], far[live], np.inf)
-            at = open_.argmin(axis=1)
-            best = far[live].min(axis=1)
-            seen = np.isfinite(far[live]).sum(axis=1)
-            go = np.isfinite(open_.min(axis=1)) & ((open_.min(axis=1) <= ratio * best) | (seen < 2 * least))
-            live, at = live[go], at[go]
-            if not len(live):
+            at = np.argpartition(open_, step - 1, axis=1)[:, :step]
+            best = far[live].min(axis=1, keepdims=True)
+            seen = np.isfinite(far[live]).sum(axis=1, keepdims=True)
+            ahead = np.take_along_axis(open_, at, 1)
+            go = np.isfinite(ahead) & ((ahead <= ratio * best) | (seen < beam))
+            r, c = np.nonzero(go)
+            if not len(r):
                 break
-            todo[live, at] = False
-            links = self.links[at]
-            fresh = ~np.isfinite(far[live[:, None], links])
-            d = np.linalg.norm(self.centroids[links] - queries[live][:, None, :], axis=2)
-            r, c = np.nonzero(fresh)
-            far[live[r], links[r, c]] = d[r, c]
-            todo[live[r], links[r, c]] = True
+            row, at = live[r], at[r, c]
+            todo[row, at] = False
+            row, new = np.repeat(row, self.links.shape[1]), self.links[at].ravel()
+            pair = np.unique((row * k + new)[~np.isfinite(far[row, new])])
+            row, new = pair // k, pair % k
+            far[row, new] = np.linalg.norm(self.centroids[new] - queries[row], axis=1) + NEAR
+            todo[row, new] = True
+            live = live[go.any(axis=1)]
         kth = np.partition(far, least - 1, axis=1)[:, least - 1]
         return (far <= ratio * far.min(axis=1, keepdims=True)) | (far <= kth[:, None])
 
@@ -125,11 +145,11 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, dim: int)
         yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("ids").take(row), batch.column("v").take(row)], ["list", "ids", "v"])
 
 
-def _probe(batches: Iterator[pa.RecordBatch], graph: CentroidGraph, dim: int, ratio: float, least: int) -> Iterator[pa.RecordBatch]:
+def _probe(batches: Iterator[pa.RecordBatch], graph: CentroidGraph, dim: int, ratio: float, least: int, beam: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            row, at = np.nonzero(graph.search(_unit(_matrix(part.column("v"), dim)), ratio, least))
+            row, at = np.nonzero(graph.search(_unit(_matrix(part.column("v"), dim)), ratio, least, beam))
             row = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(at), part.column("vec_id").take(row), part.column("v").take(row)], ["list", "query_id", "v"])
 
@@ -170,9 +190,8 @@ def _search(queries: pd.DataFrame, vectors: pd.DataFrame, dim: int, k: int) -> p
 
 
 def _truth(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, centroids: np.ndarray, graph: CentroidGraph, dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The true neighbours in each batch, with the ratio at which one of their lists is searched."""
-    far = CentroidGraph._far(_unit(queries), graph.centroids)
-    far /= far.min(axis=1, keepdims=True)
+    """The true neighbours in each batch, with the ratio at which one of their lists is searched, and these lists."""
+    far = CentroidGraph.ratios(_unit(queries), graph.centroids)
     for batch in batches:
         v = _matrix(batch.column("v"), dim)
         near = _unit(queries) @ _unit(v).T
@@ -185,7 +204,21 @@ def _truth(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarr
         q = np.repeat(np.arange(len(ids)), take)
         t = top.ravel()
         need = np.where(inside[t], far[q], np.inf).min(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(near[q, t]), pa.array(need)], ["q", "score", "need"])
+        lists = [np.flatnonzero(x) for x in inside[t]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q), pa.array(near[q, t]), pa.array(need), pa.array(lists, pa.list_(pa.int64()))], ["q", "score", "need", "lists"]
+        )
+
+
+def reached_beam(graph: CentroidGraph, queries: np.ndarray, ratio: float, least: int, q: np.ndarray, lists: list) -> int:
+    """The smallest beam, doubled from ``least``, whose walk meets a list of as many neighbours as ``ratio`` promises."""
+    beam = 2 * least
+    while beam < len(graph.centroids):
+        mask = graph.search(queries, ratio, least, beam)
+        if np.mean([mask[i, own].any() for i, own in zip(q, lists)]) >= RECALL:
+            break
+        beam *= 2
+    return min(beam, len(graph.centroids))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
@@ -197,8 +230,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     row whose vector comes first in the order of its bytes asks. Fewer rows than
     k give all of them; an empty table gives no rows; other columns are ignored.
 
-    Centroids come from a bounded sample; every vector is indexed. The pruning ratio is set so that queries from
-    the query set, searched against all vectors, reach ``RECALL``. Lists are searched in blocks of bounded size.
+    Centroids come from a bounded sample; every vector is indexed. The pruning ratio and the beam of the walk over the
+    graph are set so that queries from the query set, searched against all vectors, reach ``RECALL``. Lists are searched in blocks of bounded size.
     """
     rows = save(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_clean, "vec_id long, dim long, v binary"))
     common = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
@@ -219,18 +252,21 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     some = queries.orderBy(F.xxhash64(F.lit(33), "vec_id"), "vec_id").limit(TUNING).toPandas()
-    ratio = 1.0
+    ratio, least, beam = 1.0, 4, lists
     if len(some) and lists > 1:
         found = rows.mapInArrow(
             partial(_truth, ids=some["vec_id"].to_numpy(), queries=_matrix(some["v"], dim), centroids=centroids, graph=graph, dim=dim, k=k),
-            "q long, score double, need double",
+            "q long, score double, need double, lists array<long>",
         )
         true = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= k)
-        need = np.sort(true.select("need").toPandas()["need"].to_numpy())
-        ratio = float(need[min(len(need) - 1, int(len(need) * RECALL))]) + 1e-9 if len(need) else 1.0
+        true = true.select("q", "need", "lists").toPandas()  # TUNING * k rows at most
+        need = np.sort(true["need"].to_numpy())
+        if len(need):
+            ratio = float(need[min(len(need) - 1, int(len(need) * RECALL))]) + 1e-9
+            beam = reached_beam(graph, _unit(_matrix(some["v"], dim)), ratio, least, true["q"].to_numpy(), list(true["lists"]))
 
     posted = save(distinct.mapInArrow(partial(_assign, centroids=centroids, dim=dim), "list long, ids array<long>, v binary"))
-    probed = save(queries.mapInArrow(partial(_probe, graph=graph, dim=dim, ratio=ratio, least=4), "list long, query_id long, v binary"))
+    probed = save(queries.mapInArrow(partial(_probe, graph=graph, dim=dim, ratio=ratio, least=least, beam=beam), "list long, query_id long, v binary"))
     sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("nv")).join(probed.groupBy("list").agg(F.count(F.lit(1)).alias("nq")), "list")
     sizes = sizes.select("list", F.ceil(F.col("nv") / BLOCK_VECTORS).alias("vs"), F.ceil(F.col("nq") / BLOCK_QUERIES).alias("qs"))
 
