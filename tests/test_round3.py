@@ -64,3 +64,25 @@ def test_a_query_on_a_centroid_has_finite_ratios():
 
     c = np.eye(3)
     assert np.isfinite(CentroidGraph.ratios(c, c)).all()
+
+
+def test_reindex_orders_ranges_of_positions(spark):
+    from trailmark.operators.trajectories import reindex
+
+    places = [None, -5, *range(0, 60_000, 2), 59_998, 1 << 40]
+    rows = spark.createDataFrame([(p, "text") for p in places], "src_pos long, text string")
+    out = reindex(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan  # whole rows are dealt by range, not to one task
+    got = sorted((r.idx, -1e9 if r.src_pos is None else r.src_pos) for r in out.collect())
+    assert got == list(enumerate(sorted(-1e9 if p is None else p for p in places)))
+    crowded = reindex(rows, target_rows=100).select("idx").collect()
+    assert sorted(r.idx for r in crowded) == list(range(len(places)))
+
+
+def test_loose_options_of_bare_labels(spark):
+    from trailmark.functions.choices import loose_option_lines
+
+    texts = ["A\nB\nC. three\nD", "A.\nred\nB) blue", "A\n", "a one\nb two", "", None, "A\nB\nC\n", "A x B: y"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", loose_option_lines("t").alias("c")).orderBy("i")
+    assert [r.c for r in got.collect()] == [["B", "three"], ["red", "blue"], [""], ["one", "two"], [], [], ["B", ""], ["x"]]

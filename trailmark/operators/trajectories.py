@@ -7,7 +7,7 @@ task: its operators order rows per task through ``skew.running``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import steps as S
@@ -15,6 +15,8 @@ from trailmark.functions import views as V
 from trailmark.functions.text import describe_input
 from trailmark.operators.skew import TARGET_ROWS, Running, row_number, running
 
+RANGE_BITS = 13  # 8,192 positions are numbered together
+
 # ---- trace documents --------------------------------------------------------
 
 
@@ -210,9 +212,21 @@ def describe_inputs(inputs: DataFrame) -> DataFrame:
 def reindex(
     df: DataFrame, position: str = "src_pos", name: str = "idx", target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    """Dense 0-based index in source order, without moving the table to one task."""
-    out = running(df, [], {"pos": F.col(position)}, {name: row_number()}, target_rows=target_rows)
-    return out.withColumn(name, F.col(name) - 1)
+    """Dense 0-based index in source order, without moving the table to one task.
+
+    Rows are whole texts, so a task orders the rows of a short range of positions; what comes before a range is summed
+    over one narrow row per range. Rows of one position stay together and are cut when they are too many.
+    """
+    pos = F.col(position).cast("long")
+    ranged = df.withColumn("_range", F.coalesce(F.shiftright(pos, RANGE_BITS), F.lit(-(1 << 63))))  # nulls come first
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).persist()  # narrow, read three times
+    before = running(sizes, [], {"range": F.col("_range")}, {"_before": Running("sum_before", F.col("_n"))}, target_rows=target_rows)
+    if sizes.where(F.col("_n") > target_rows).limit(1).count():
+        numbered = running(ranged, ["_range"], {"pos": pos}, {name: row_number()}, target_rows=target_rows)
+    else:
+        numbered = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(pos)).cast("long"))
+    out = numbered.join(before.select("_range", "_before"), "_range")
+    return out.withColumn(name, F.col(name) - 1 + F.col("_before")).drop("_range", "_before")
 
 
 def apply_turn_budget(
