@@ -169,25 +169,34 @@ def loose_option_lines(text: Column | str) -> Column:
     then whole lines, when no capital one begins a line.
     """
     raw = col(text)
-    lines = _present(stripped_lines(raw))
-    labels = F.transform(lines, lambda x: F.rlike(x, F.lit("^[A-D][.):]?$")))
-    # a line that follows a bare label belongs to it; a bare label that follows one is its text
-    state = F.aggregate(
-        F.arrays_zip(lines.alias("line"), labels.alias("bare")),
-        F.struct(no_choices().alias("done"), F.lit("").alias("open")),
-        lambda acc, x: F.when(acc["open"] != "", F.struct(F.concat(acc["done"], F.array(F.concat(acc["open"], F.lit(" "), x["line"]))).alias("done"), F.lit("").alias("open")))
-        .when(x["bare"], F.struct(acc["done"].alias("done"), x["line"].alias("open")))
-        .otherwise(F.struct(F.concat(acc["done"], F.array(x["line"])).alias("done"), F.lit("").alias("open"))),
-    )
-    last = F.when(state["open"] == "", no_choices()).when(F.rlike(raw, F.lit(r"\s$")), F.array(F.lit(""))).otherwise(
-        F.transform(F.filter(F.array(state["open"]), lambda x: F.length(x) > 1), _unlabelled)
-    )
 
     def texts(kept: Column, label: str) -> Column:
         return F.transform(F.filter(kept, lambda x: (F.length(x) > 1) & F.rlike(x, F.lit(f"^{label}"))), _unlabelled)
 
-    capital = F.transform(texts(state["done"], "[A-D]"), lambda x: strip(F.concat(F.left(x, F.lit(1)), F.get(F.split(F.substring(x, 2, 1 << 30), r"\s*[A-D][.):]"), F.lit(0)))))
-    return _first_filled(F.concat(capital, last), texts(lines, "[A-Da-d]"))
+    def owned(lines: Column) -> Column:
+        # of lines that follow each other as bare labels every second one begins an option; a line behind it is its text
+        bare = F.transform(lines, lambda x: F.rlike(x, F.lit("^[A-D][.):]?$")))
+        begins = F.aggregate(bare, F.struct(F.lit("").alias("marks"), F.lit(False).alias("open")), lambda acc, x: F.struct(
+            F.concat(acc["marks"], F.when(acc["open"], "t").when(x, "b").otherwise("-")).alias("marks"), (~acc["open"] & x).alias("open")))
+        return F.struct(lines.alias("lines"), begins["marks"].alias("marks"), begins["open"].alias("open"))
+
+    def options(s: Column) -> Column:
+        mark = lambda i: F.substring(s["marks"], i + 1, F.lit(1))
+        joined = F.transform(s["lines"], lambda x, i: F.when(mark(i) == "t", F.concat(F.get(s["lines"], i - 1), F.lit(" "), x)).when(mark(i) == "-", x))
+        done = F.filter(joined, lambda x: x.isNotNull())
+        last = F.get(s["lines"], F.size(s["lines"]) - 1)
+        alone = F.when(~s["open"], no_choices()).when(F.rlike(raw, F.lit(r"\s$")), F.array(F.lit(""))).otherwise(
+            F.transform(F.filter(F.array(last), lambda x: F.length(x) > 1), _unlabelled)
+        )
+        capital = F.transform(texts(done, "[A-D]"), lambda x: strip(F.concat(F.left(x, F.lit(1)), F.get(F.split(F.substring(x, 2, 1 << 30), r"\s*[A-D][.):]"), F.lit(0)))))
+        return _first_filled(F.concat(capital, alone), texts(s["lines"], "[A-Da-d]"))
+
+    return _let(_let(_present(stripped_lines(raw)), owned), options)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _unlabelled(line: Column) -> Column:

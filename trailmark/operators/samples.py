@@ -183,7 +183,9 @@ def to_samples(df: DataFrame, dialect: str, idx_mode: str | None = None, positio
     d = DIALECTS[dialect]
     df = _first_items(df, d.listed)
     rows = df if d.before is None else df.where(d.before())
-    parsed = rows.withColumn("_choices", d.choices()).withColumn("_answer", d.answer())
+    # a generated column is no expression that Spark writes out anew wherever it is used, in the filter and in each field
+    once = F.explode_outer(F.array("_parsed")).alias("_choices")
+    parsed = rows.withColumn("_parsed", d.choices()).select(*rows.columns, once).withColumn("_answer", d.answer())
     if d.keep is not None:
         parsed = parsed.where(d.keep())
     picked = parsed.select(
