@@ -86,3 +86,41 @@ def test_loose_options_of_bare_labels(spark):
     texts = ["A\nB\nC. three\nD", "A.\nred\nB) blue", "A\n", "a one\nb two", "", None, "A\nB\nC\n", "A x B: y"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", loose_option_lines("t").alias("c")).orderBy("i")
     assert [r.c for r in got.collect()] == [["B", "three"], ["red", "blue"], [""], ["one", "two"], [], [], ["B", ""], ["x"]]
+
+
+def test_small_tiles_travel_together(spark):
+    """Rows handed to the tasks grow with the input, not with the number of small tiles."""
+    import numpy as np
+
+    from trailmark.operators import search, topk
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "task", [float(x) for x in rng.integers(-3, 4, 8)]) for i in range(400)]
+    bank = spark.createDataFrame(rows, "bank_row long, view string, embedding array<float>").repartition(2)
+    asked = bank.withColumnRenamed("bank_row", "query_id")
+    seen, scan = [], topk._scan
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(topk, "_merged", lambda lists, keys, width, per_task, merge=topk._merged: (seen.append(lists.count()), merge(lists, keys, width, per_task))[1])
+        small = search.candidates(asked, bank, 5, 0.1, bank_tile=7, query_tile=9)
+        got = sorted(map(tuple, small.collect()))
+    assert seen[0] <= 400  # one list per query
+    assert got == sorted(map(tuple, search.candidates(asked, bank, 5, 0.1).collect())) and scan
+
+
+def test_models_get_small_parts_of_a_batch(spark):
+    import numpy as np
+
+    from trailmark.functions import models
+
+    class Checked(models.HashEncoder):
+        def encode(self, texts, images):
+            assert len(texts) <= 4
+            return super().encode(texts, images)
+
+    schema = "i int, text string, images array<string>, steps array<struct<a:int,b:string>>"
+    rows = spark.createDataFrame([(i, None if i == 3 else f"t{i}", None if i % 2 else ["p", None, "q"], [(i, "x")]) for i in range(30)], schema).coalesce(1)
+    out = models.embed(rows, Checked, images="images", batch_size=4).orderBy("i").collect()
+    assert [tuple(r)[:4] for r in out] == [tuple(r) for r in rows.orderBy("i").collect()]
+    one = models.HashEncoder()
+    assert all(np.allclose(r.embedding, one.encode([r.text or ""], [[p for p in r.images or [] if p]])[0]) for r in out)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
