@@ -15,11 +15,15 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+ANNOTATED_ROWS = 256  # rows whose prompts are handed to an annotator together
+
+
 class Encoder(Protocol):
     """Texts (and image paths per text) to float vectors."""
 
@@ -32,6 +36,77 @@ class Annotator(Protocol):
     def annotate(self, prompt: str, images: list[str]) -> str: ...
 
 
+class Refused(Exception):
+    """Raised by an annotator for a prompt it will never answer; not retried."""
+
+
+class HashEncoder:
+    """Deterministic 16-number vectors from the text digest, for tests.
+
+    With images the vector is the mean over one vector per (text, image).
+    """
+
+    dim = 16
+
+    @staticmethod
+    def _one(text: str) -> np.ndarray:
+        raw = np.frombuffer(hashlib.md5(text.encode("utf-8")).digest(), dtype=np.uint8)
+        return (raw.astype(np.float64) / 255.0 - 0.5).astype(np.float32)
+
+    def encode(self, texts: list[str], images: list[list[str]]) -> np.ndarray:
+        out = [
+            np.mean([self._one(f"{t}|{p}") for p in paths], axis=0) if paths else self._one(t)
+            for t, paths in zip(texts, images)
+        ]
+        return np.asarray(out, dtype=np.float32)
+
+
+def _retry(call: Callable[[], object], attempts: int, base: float, cap: float):
+    for attempt in range(attempts):
+        try:
+            return call()
+        except Refused:
+            raise
+        except Exception:
+            if attempt == attempts - 1:
+                raise
+            time.sleep(min(base * 1.5**attempt, cap))
+
+
+def embed(
+    df: DataFrame,
+    encoder: Callable[[], Encoder],
+    text: str = "text",
+    images: str | None = None,
+    name: str = "embedding",
+    batch_size: int = 32,
+    attempts: int = 3,
+    base_delay: float = 0.5,
+) -> DataFrame:
+    """Add the vector of each row; client errors are retried with growing delay."""
+    schema = T.StructType(df.schema.fields + [T.StructField(name, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = encoder()
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):  # a model's batch is all that becomes Python objects
+                part = batch.slice(at, batch_size)
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                paths = [[p for p in ps or [] if p] for ps in part.column(images).to_pylist()] if images else [[] for _ in texts]
+                vectors = _retry(lambda: client.encode(texts, paths), attempts, base_delay, 3.0)
+                rows = pa.array([np.asarray(v, dtype=np.float32) for v in vectors], pa.list_(pa.float32()))
+                yield _with_column(part, name, rows)
+
+    return df.mapInArrow(run, schema)
+
+
+def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
+
+
+def annotate(self, prompt: str, images: list[str]) -> str: ...
+
+
 class Refused(Exception):
     """Raised by an annotator for a prompt it will never answer; not retried."""
 
@@ -130,17 +205,17 @@ def annotate(
                 return reply
         return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = annotator()
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                paths = batch[images] if images else [None] * len(batch)
-                known = [list(p) if p is not None else [] for p in paths]
-                replies = list(pool.map(lambda t, p: ask(client, t, p), batch[prompt], known))
-                out = batch.assign(**{name: replies})
-                yield out[out[name].notna()]
+                for at in range(0, batch.num_rows, ANNOTATED_ROWS):  # only prompts and paths of so many rows become Python objects
+                    part = batch.slice(at, ANNOTATED_ROWS)
+                    known = [ps or [] for ps in part.column(images).to_pylist()] if images else [[]] * part.num_rows
+                    replies = pa.array(list(pool.map(lambda t, p: ask(client, t, p), part.column(prompt).to_pylist(), known)), pa.string())
+                    yield _with_column(part, name, replies).filter(replies.is_valid())
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def is_json_list(reply: str) -> bool:
