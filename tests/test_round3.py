@@ -124,3 +124,17 @@ def test_models_get_small_parts_of_a_batch(spark):
     one = models.HashEncoder()
     assert all(np.allclose(r.embedding, one.encode([r.text or ""], [[p for p in r.images or [] if p]])[0]) for r in out)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
+def test_json_ranges_are_small_enough_to_outline():
+    import inspect
+    import tracemalloc
+
+    from trailmark.sources import ranges
+
+    size = inspect.signature(ranges.read_json_list).parameters["range_bytes"].default
+    tracemalloc.start()
+    ranges._marks((b'{"a": "x,\\"y"},' * (size // 15 + 1))[:size], ranges.OUTSIDE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6

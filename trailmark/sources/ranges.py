@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANGE_BYTES = 32 << 20
+JSON_BYTES = 2 << 20  # of a JSON list; outlining a range takes some hundred bytes of memory per byte
 BATCH_ROWS = 10_000
 
 
@@ -283,7 +284,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_json_list(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_json_list(spark: SparkSession, path: str, range_bytes: int = JSON_BYTES) -> DataFrame:
     """``position, raw``: elements of a file that holds one JSON list, texts without their quotes, others as JSON.
 
     A byte range does not know whether it begins inside a string or how deep: a first pass outlines each range for
