@@ -10,6 +10,7 @@ from trailmark.functions import text as X
 from trailmark.functions import views as V
 from trailmark.operators import messages as M
 from trailmark.operators import trajectories as T
+from trailmark.schemas import TRACE_FILE
 from trailmark.sources import tables
 
 LOG = {"experience_for_step_2": [{"round": 1, "view": "question", "experiences": [{"experience": "e", "score": 0.5}]}]}
@@ -66,6 +67,33 @@ def test_read_traces(traces):
     assert rows["000002"].steps[2].observation == "a crop" and rows["000002"].steps[3].observation == ""
 
 
+def test_trace_files_are_listed_by_tasks(spark, folder):
+    """The driver holds no list of the files."""
+    assert tables.read_traces(spark, folder).inputFiles() == [] and tables.unreadable_traces(spark, folder).inputFiles() == []
+
+
+def test_odd_trace_files(spark, tmp_path):
+    """Files are judged and read as Spark's reader does."""
+    texts = {
+        "layout": b'{"task_id": "x",\r\n "input": {"question" : 1.50, "images": [1e400, "a b"]}, "answer": 1e5, "is_correct": true}',
+        "list": b'[{"answer": "1"},\n {"answer": {"a" : "\\u00e9\\/"}}]', "no list": b'[{"answer": "1"}, 2]', "none": b"[]", "empty": b"", "blank": b" \n",
+        "null": b"null", "number": b"12", "rest": b'{"answer": "1"} rest', "open": b'{"answer": [', "comma": b'{"answer": "1",}', "type": b'{"success": "abc"}',
+        "control": b'{"answer": "a\x01"}', "quotes": b"{'answer': 'x'}", "twice": b'{"answer": "1", "answer": "2"}', "nan": b'{"answer": NaN}',
+        "bytes": b'{"answer": "\xff"}', "mark": b'\xef\xbb\xbf{"answer": "x"}', "wide": '{"answer": "\u00e9"}'.encode("utf-16"), "a+b c%20[x]": b'{"answer": "x"}', "q#?": b"{",
+    }
+    for task, data in texts.items():
+        (tmp_path / "tasks" / task).mkdir(parents=True)
+        (tmp_path / "tasks" / task / "trace.json").write_bytes(data)
+    (tmp_path / "tasks" / "no file").mkdir()
+    raw = spark.read.schema(TRACE_FILE).option("multiLine", True).json(f"{tmp_path}/tasks/*/trace.json")
+    good = tables.keyed_by_folder(raw)
+    got = tables.read_traces(spark, str(tmp_path)).select(good.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, good.collect()))
+    bad = raw.select("*", F.col("_metadata.file_path").alias("file")).collect()  # all columns, so that types count
+    found = sorted(r.file for r in tables.unreadable_traces(spark, str(tmp_path)).collect())
+    assert found == sorted(r.file for r in bad if r["_corrupt_record"] is not None) and len(found) > 5
+
+
 def test_trajectory(traces):
     rows = {r.task_id: r.entries for r in T.with_trajectory(traces).collect()}
     assert [(e.state_index, e.thinking, e.tool, e.observation) for e in rows["000001"]] == [
