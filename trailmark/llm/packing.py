@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,11 @@ from trailmark.llm.common import save, whole_text
 CACHE_WORDS = 300_000  # words whose ids a worker keeps; only speed depends on it
 ROWS_PER_RANGE = 20_000
 _TAIL = ".,;:!?&$#%*|()[]\"-"  # neither letters, digits, blanks nor apostrophes: a token boundary before them is certain
+# Latin letters that are their own composed form and have one lower-case letter each
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+# the character a byte-level model writes for each byte
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 @lru_cache(maxsize=2)
@@ -36,7 +43,8 @@ class WordCache:
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -46,28 +54,33 @@ class WordCache:
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
         if len(self.cores) > CACHE_WORDS:
-            self.cores = {"": b""}
-        plain, parts = [], {}
+            self.cores.clear()
+        if len(self.tails) > CACHE_WORDS:
+            self.tails.clear()
+        plain, known, cores, tails = [], self.words, self.cores, self.tails
+        # lower-case Latin letters are their own normal form and one token boundary unit: the model alone is enough
+        model = self.tokenizer.model.tokenize
         for w in words:
             core = w.rstrip(_TAIL)
-            if core and core.isascii() and core.isalpha():
-                parts[w] = (core.lower(), w[len(core):])
-            else:
+            if not (core.isascii() and core.isalpha() or _LATIN(core)):
                 plain.append(w)
-        # lower-case ASCII letters are their own normal form and one token boundary unit: the model alone is enough
-        model = self.tokenizer.model.tokenize
-        for core in {a for a, _ in parts.values()} - self.cores.keys():
-            self.cores[core] = array("I", [t.id for t in model(core)]).tobytes()
-        tails = list({b for _, b in parts.values()} - self.cores.keys())
-        self.cores.update(zip(tails, self._encode(tails)))
-        cores = self.cores
-        self.words.update({w: cores[a] + cores[b] for w, (a, b) in parts.items()})
-        self.words.update(zip(plain, self._encode(plain)))
+                continue
+            low = core.lower()
+            ids = cores.get(low)
+            if ids is None:
+                shown = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
+                ids = cores[low] = array("I", [t.id for t in model(shown)]).tobytes()
+            if tail := w[len(core):]:
+                if tail not in tails:
+                    tails[tail] = self._encode([tail])[0]
+                ids += tails[tail]
+            known[w] = ids
+        known.update(zip(plain, self._encode(plain)))
 
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
         # split() also cuts at four control characters that are no blanks to the tokenizer: such texts stay whole
         split = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        missing = set().union(*split) - self.words.keys()
+        missing = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
         if len(self.words) + len(missing) > CACHE_WORDS:  # the cache starts anew, with all words of these texts
             missing = set().union(*split)
         if missing:
@@ -76,8 +89,14 @@ class WordCache:
         return [b"".join(map(get, s)) + end for s in split]
 
 
+@lru_cache(maxsize=1)
+def _cache(path: str) -> WordCache:
+    """The words a worker knows, over all its tasks."""
+    return WordCache(path)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    cache, end = WordCache(path), np.array([end_id], np.uint32).tobytes()
+    cache, end = _cache(path), np.array([end_id], np.uint32).tobytes()
     task, seen = TaskContext.get().partitionId(), 0
     for batch in batches:
         texts = batch.column("text").to_pylist()
