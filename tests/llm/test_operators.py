@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -269,6 +270,26 @@ def test_equal_hashes_of_unequal_runs_are_told_apart():
     assert got[0] == got[2] != got[1]
 
 
+def test_windows_are_hashed_at_the_ends_of_their_runs(monkeypatch):
+    """A run of some twenty windows takes two hashes, and the count of hot seeds those of frequent seeds alone."""
+    hashed, plain = [], suffix_dedup._window_hashes
+
+    def counted(*given):
+        out = plain(*given)
+        hashed.append(len(out))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_window_hashes", counted)
+    data = np.random.default_rng(5).integers(97, 123, 20_000).astype(np.uint8)
+    start, count, _, content = suffix_dedup.super_windows(data, np.array([0, 30, 9000, 20_000]))
+    assert count.sum() == (9000 - 30 - 49) + (11_000 - 49) and len(np.unique(content)) == len(start)
+    assert sum(hashed) <= 2 * len(start) < count.sum() / 5
+    hashed.clear()
+    batch = pa.RecordBatch.from_pydict({"text": [data.tobytes().decode()]})
+    (counts,) = suffix_dedup._seed_counts(iter([batch]), 1000, ())
+    assert counts.num_rows == 0 and sum(hashed) == 0
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.integers(97, 99, 4000).astype(np.uint8), np.zeros(60, np.uint8)])

@@ -19,6 +19,8 @@ WIDTH = 50  # bytes of a string that counts as repeated
 SEED = 8  # bytes of the strings whose smallest hash picks a window's bucket
 BUCKET_BYTES = 4 << 20  # text per bucket
 HOT = 4 << 20  # distinct windows of one seed that stay together
+BLOCK = 1 << 14  # windows hashed at once
+FILTER = 22  # bits of a hash that name its place in a filter
 RARE = 64  # windows of a seed in a part below which the part does not name it when hot seeds are sought
 _LANES = np.array([0, 8, 16, 24, 32, 40, WIDTH - 8])
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -31,19 +33,23 @@ def _loads(data: np.ndarray, order: str = "<u8") -> np.ndarray:
     return np.ndarray((len(data) + 1,), order, padded, 0, (1,))
 
 
-def _window_hashes(loads: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
-    total = np.zeros(n, np.uint64)
-    for lane, odd in zip(_LANES, _ODD):
-        x = loads[lane : lane + n] if isinstance(at, slice) else loads[at + lane]
-        x = x * odd
-        x ^= x >> np.uint64(29)
-        total += x * odd
+def _window_hashes(loads: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at ``at``, a few at a time, which stay in the processor's cache."""
+    total = np.zeros(len(at), np.uint64)
+    for first in range(0, len(at), BLOCK):
+        some, out = at[first : first + BLOCK], total[first : first + BLOCK]
+        for lane, odd in zip(_LANES, _ODD):
+            x = loads[some + lane]
+            x *= odd
+            x ^= x >> np.uint64(29)
+            x *= odd
+            out += x
     return total
 
 
 def _smallest(h: np.ndarray) -> np.ndarray:
     """Place of the seed with the smallest hash in each window."""
-    bits = np.uint64(len(h).bit_length())
+    bits = np.uint64(max(len(h).bit_length(), 24))  # the same for all parts, which must agree on equal windows
     low = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
     span, wide = 1, WIDTH - SEED + 1
     while span * 2 <= wide:
@@ -61,52 +67,71 @@ def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
 
-def super_windows(
+def _runs(
     data: np.ndarray, offsets: np.ndarray, hot: tuple[np.ndarray, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, number of windows, key and content hash of each run of windows with the same smallest seed.
-
-    Equal windows have equal seeds at equal distances, so they meet in the bucket of their key, the seed's hash. Where
-    that is in ``hot[0]``, a second seed that is not, smallest by another hash, tells windows apart further; where the
-    key of both is in ``hot[1]``, each window is a run and its own hash the key.
-    """
+    """start, number of windows and key of each run of windows with the same smallest seed, and whether that is in ``hot[0]``."""
     n = len(data) - WIDTH + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(bool)
     loads = _loads(data)
     h = loads[: len(data) - SEED + 1] * _ODD[0]
     h ^= h >> np.uint64(31)
     h *= _ODD[3]
     seed = _smallest(h)
-    key = h[seed]
-    parted = np.zeros(n, bool)  # windows that differ in key from the one before though their seed is the same
-    windows = _window_hashes(loads, slice(None), n)
+    new = np.ones(n, bool)
+    np.not_equal(seed[1:], seed[:-1], out=new[1:])
+    new[offsets[offsets < n]] = True
+    at = np.flatnonzero(new)
+    key, warm = h[seed[at]], np.zeros(len(at), bool)
     if len(hot) and (warm := _among(key, hot[0])).any():
-        h2 = bt.mix64(h * _ODD[1])
-        h2[_among(h, hot[0])] = np.uint64((1 << 64) - 1)
-        second = _smallest(h2)
-        key[warm] = bt.mix64(key[warm] * _ODD[2] + h2[second[warm]])
-        parted[1:] = warm[1:] & (second[1:] != second[:-1])
-        if len(hot) > 1 and (boiling := warm & _among(key, hot[1])).any():
-            key[boiling] = bt.mix64(windows[boiling])
+        lengths = np.diff(np.append(at, n))[warm]
+        inner = _ranges(at[warm], lengths)  # windows whose smallest seed is hot
+        # only what they cover is hashed again, and windows that follow each other together
+        edge = np.flatnonzero(np.r_[True, inner[1:] != inner[:-1] + 1])
+        size = np.diff(np.append(edge, len(inner)))
+        covered = _ranges(inner[edge], size + WIDTH - SEED)
+        h2 = bt.mix64(h[covered] * _ODD[1])
+        h2[_among(h[covered], hot[0])] = np.uint64((1 << 64) - 1)
+        second = _smallest(h2)[_ranges(edge + np.arange(len(edge)) * (WIDTH - SEED), size)]
+        least, second = h2[second], covered[second]
+        own = np.repeat(key[warm], lengths)
+        parted = np.ones(len(inner), bool)
+        parted[1:] = (second[1:] != second[:-1]) | (inner[1:] != inner[:-1] + 1)
+        own = bt.mix64(own * _ODD[2] + least)
+        if len(hot) > 1 and (boiling := _among(own, hot[1])).any():
+            own[boiling] = bt.mix64(_window_hashes(loads, inner[boiling]))
             parted |= boiling
-    inside = np.zeros(n, bool)  # windows that do not cross documents
-    steps = np.zeros(len(data) + 1, np.int64)
-    long = np.flatnonzero(np.diff(offsets) >= WIDTH)
-    np.add.at(steps, offsets[long], 1)
-    np.add.at(steps, offsets[long + 1] - WIDTH + 1, -1)
-    inside = np.cumsum(steps)[:n] > 0
-    new = inside.copy()
-    new[1:] &= (seed[1:] != seed[:-1]) | parted[1:] | ~inside[:-1]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    new |= inside & edge[:n]
-    start = np.flatnonzero(new)
-    place = np.cumsum(inside)
-    count = np.diff(np.append(place[start] - 1, place[-1]))
-    content = bt.mix64(windows[start] * _ODD[4] + windows[start + count - 1] * _ODD[5] + count.astype(np.uint64))
-    return start, count, key[start], content
+            parted[1:] |= boiling[:-1]
+        parted |= new[inner]
+        at, key = np.concatenate([at[~warm], inner[parted]]), np.concatenate([key[~warm], own[parted]])
+        order = np.argsort(at)
+        warm = np.repeat([False, True], [len(at) - int(parted.sum()), int(parted.sum())])[order]
+        at, key = at[order], key[order]
+    row = np.searchsorted(offsets, at, "right") - 1
+    count = np.minimum(np.append(at[1:], n), offsets[row + 1] - WIDTH + 1) - at
+    inside = count > 0  # windows that do not cross documents
+    return at[inside], count[inside], key[inside], warm[inside]
+
+
+def _contents(loads: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of the strings of runs of windows, by their first and last windows and their number."""
+    first, last = (_window_hashes(loads, at) for at in (start, start + count - 1))
+    return bt.mix64(first * _ODD[4] + last * _ODD[5] + count.astype(np.uint64))
+
+
+def super_windows(
+    data: np.ndarray, offsets: np.ndarray, hot: tuple[np.ndarray, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, number of windows, key and content hash of each run of windows with the same smallest seed.
+
+    Equal windows have equal seeds at equal distances, so they meet in the bucket of their key, the seed's hash. Where
+    that is in ``hot[0]``, a second seed that is not, smallest by another hash, tells windows apart further; where the
+    key of both is in ``hot[1]``, each window is a run and its own hash the key.
+    """
+    start, count, key, _ = _runs(data, offsets, hot)
+    return start, count, key, _contents(_loads(data), start, count)
 
 
 def told_apart(text: np.ndarray, start: np.ndarray, count: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -134,18 +159,17 @@ def _seed_counts(batches: Iterator[pa.RecordBatch], least: int, hot: tuple[np.nd
     """Distinct windows per key in each part, of the keys with ``least`` or more; with ``hot``, only of its windows."""
     for batch in batches:
         for _, _, data, offsets in bt.parts(batch.column("text"), 2 * bt.PART_BYTES):
-            _, count, key, content = super_windows(data, offsets)
-            if len(hot) and not _among(key, hot[0]).any():
-                continue
-            plain = np.unique(key)
+            start, count, key, warm = _runs(data, offsets, hot)
             if len(hot):
-                _, count, key, content = super_windows(data, offsets, hot)
-            _, once = np.unique(content, return_index=True)
+                start, count, key = start[warm], count[warm], key[warm]
+            # copies count once, which takes their contents: only of keys that have enough windows with all copies
+            keys, inverse = np.unique(key, return_inverse=True)
+            may = (np.bincount(inverse, count, minlength=len(keys)) >= least)[inverse]
+            start, count, key = start[may], count[may], key[may]
+            _, once = np.unique(_contents(_loads(data), start, count), return_index=True)
             keys, inverse = np.unique(key[once], return_inverse=True)
             times = np.bincount(inverse, count[once], minlength=len(keys)).astype(np.int64)
             many = times >= least
-            if len(hot):
-                many &= ~_among(keys, plain)
             yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(times[many])], ["key", "times"])
 
 
@@ -288,9 +312,7 @@ def _decide(rows: pd.DataFrame, groups: int) -> pd.DataFrame:
     lengths = windows + WIDTH - 1
     at = np.cumsum(lengths) - lengths
     loads = _loads(text)
-    content = bt.mix64(
-        _window_hashes(loads, at, len(at)) * _ODD[4] + _window_hashes(loads, at + windows - 1, len(at)) * _ODD[5] + windows.astype(np.uint64)
-    )
+    content = _contents(loads, at, windows)
     content = told_apart(text, at, windows, content)
     least = np.full(len(windows), np.iinfo(np.int64).max)
     np.minimum.at(least, frag[open_], doc[open_])
@@ -304,11 +326,14 @@ def _decide(rows: pd.DataFrame, groups: int) -> pd.DataFrame:
 
     start = _ranges(at[lead], windows[lead])
     of_lead = np.repeat(np.arange(len(lead)), windows[lead])
-    hashes = _window_hashes(loads, start, len(start))
+    hashes = _window_hashes(loads, start)
     ordered = np.sort(hashes)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    found = np.searchsorted(twice, hashes)
-    cand = np.flatnonzero(twice[np.minimum(found, len(twice) - 1)] == hashes) if len(twice) else np.empty(0, np.int64)
+    # most windows occur once: a filter leaves few to be looked up
+    may = np.zeros(1 << FILTER, bool)
+    may[twice >> np.uint64(64 - FILTER)] = True
+    cand = np.flatnonzero(may[hashes >> np.uint64(64 - FILTER)])
+    cand = cand[_among(hashes[cand], twice)]
     mask = np.zeros(len(lead), np.int64)
     if len(cand):
         used = np.unique(of_lead[cand])
