@@ -2,6 +2,7 @@
 
 import public_tokenizers
 
+from trailmark.llm import packing
 from trailmark.llm.packing import WordCache
 
 
@@ -22,3 +23,21 @@ def test_other_words_take_the_tokenizer():
     words = ["e\u0301lan", "\u0130stanbul", "\u212aelvin", "it's", "don't,", "\u03a3\u03a3", "a1b2", "\u00aa\u00ba\u00b5", "x\u00d7y", "\u4e2d\u6587", "na\u00efve\u0301", "\u01c5x"]
     cache.learn(set(words))
     assert [cache.words[w] for w in words] == cache._encode(words)
+
+
+def test_full_cache_keeps_the_words_at_hand(monkeypatch):
+    """A cache that starts anew learns no word of the same texts again."""
+    cache = WordCache(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "CACHE_WORDS", 4)
+    learnt, learn = [], cache.learn
+
+    def counted(words):
+        learnt.append(set(words))
+        learn(words)
+
+    cache.learn = counted
+    texts = ["one two three", "three été, four two", "five"]
+    got = [cache.ids([t], b"") for t in texts]
+    assert learnt == [{"one", "two", "three"}, {"été,", "four"}, {"five"}]
+    assert set(cache.words) == {"five"}
+    assert got == [[cache._encode([t])[0]] for t in texts]

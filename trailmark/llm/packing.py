@@ -6,6 +6,7 @@ import heapq
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -19,14 +20,15 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import save, whole_text
 
-CACHE_WORDS = 300_000  # words whose ids a worker keeps; only speed depends on it
+CACHE_WORDS = 600_000  # words whose ids a worker keeps; only speed depends on it
 ROWS_PER_RANGE = 20_000
 _TAIL = ".,;:!?&$#%*|()[]\"-"  # neither letters, digits, blanks nor apostrophes: a token boundary before them is certain
 # Latin letters that are their own composed form and have one lower-case letter each
 _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
 # the character a byte-level model writes for each byte
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_HIDDEN = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_BYTES = "".join(_HIDDEN.get(b, chr(b)) for b in range(256))
 
 
 @lru_cache(maxsize=2)
@@ -51,8 +53,6 @@ class WordCache:
         return [array("I", x.ids).tobytes() for x in found]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
         if len(self.cores) > CACHE_WORDS:
             self.cores.clear()
         if len(self.tails) > CACHE_WORDS:
@@ -62,15 +62,17 @@ class WordCache:
         model = self.tokenizer.model.tokenize
         for w in words:
             core = w.rstrip(_TAIL)
-            if not (core.isascii() and core.isalpha() or _LATIN(core)):
+            ascii_ = core.isascii()
+            if not (core.isalpha() if ascii_ else _LATIN(core)):
                 plain.append(w)
                 continue
             low = core.lower()
             ids = cores.get(low)
             if ids is None:
-                shown = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES)
+                shown = low if ascii_ else charmap_decode(low.encode(), "strict", _BYTES)[0]
                 ids = cores[low] = array("I", [t.id for t in model(shown)]).tobytes()
-            if tail := w[len(core):]:
+            if len(core) != len(w):
+                tail = w[len(core):]
                 if tail not in tails:
                     tails[tail] = self._encode([tail])[0]
                 ids += tails[tail]
@@ -80,12 +82,13 @@ class WordCache:
     def ids(self, texts: list[str], end: bytes) -> list[bytes]:
         # split() also cuts at four control characters that are no blanks to the tokenizer: such texts stay whole
         split = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        missing = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
-        if len(self.words) + len(missing) > CACHE_WORDS:  # the cache starts anew, with all words of these texts
-            missing = set().union(*split)
+        known = self.words
+        missing = set(filterfalse(known.__contains__, chain.from_iterable(split)))
+        if len(known) + len(missing) > CACHE_WORDS:  # the cache starts anew, with the words of these texts
+            known = self.words = {w: known[w] for w in set(chain.from_iterable(split)).intersection(known)}
         if missing:
             self.learn(missing)
-        get = self.words.__getitem__
+        get = known.__getitem__
         return [b"".join(map(get, s)) + end for s in split]
 
 
