@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -270,6 +271,44 @@ def test_equal_hashes_of_unequal_runs_are_told_apart():
     assert got[0] == got[2] != got[1]
 
 
+def test_questions_of_all_parts_are_answered_at_once(monkeypatch):
+    """A shard searches each level of its trie once, however many parts ask, and the arrays that travel come back as they were."""
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = classmethod(lambda cls: 0)
+
+    monkeypatch.setattr(language_model, "TaskContext", Task)
+    texts = ["a b a b c", "b a\nb", "", None, "d d d d", "a b c a b c"]
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    asked = []
+    for i, text in enumerate(texts):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [i], "train": [i != 5], "text": pa.array([text], pa.string())})
+        for found in language_model._ask(iter([batch]), 4, none):
+            asked += found.to_pandas().assign(part=i).to_dict("records")
+    searched, plain = [], language_model.Level.find
+
+    def counted(self, low, end, key):
+        searched.append(len(key))
+        return plain(self, low, end, key)
+
+    monkeypatch.setattr(language_model.Level, "find", counted)
+    asked = pd.DataFrame(asked)
+    answers = pd.concat([language_model._answer(rows) for _, rows in asked.groupby("shard")])
+    assert len(searched) == 3 * asked[asked["kind"] == 1]["shard"].nunique()
+    # the last text: begin, end, a, b, c in the order of their hashes; "a b" occurs three times in the others, "b c" once
+    merged = language_model._merge(answers[answers["part"] == 5], 4)
+    count, count2, count3, length, _ = language_model.unpack_arrays(merged["blob"].iat[0])
+    assert length.tolist() == [7]
+    assert language_model.joined(count, np.int64).tolist() == [3, 4, 1, 3, 4, 1, 5]
+    assert language_model.joined(count2, np.int64).tolist() == [1, 3, 1, 0, 3, 1, 1]
+    assert language_model.joined(count3, np.int64).tolist() == [0, 1, 1, 0, 0, 1, 1]
+    keys = np.array([5, 9, 2**32 - 1, 0, 7], np.uint32)
+    assert language_model._keys(language_model._steps(keys)).tolist() == keys.tolist()
+    ids = np.array([3, 0, 3, 3, 1, 0])
+    travelled = language_model.unpack_arrays(language_model.pack_arrays(*language_model._ranks(ids, 4)))
+    assert language_model._ids(*travelled, 4).tolist() == ids.tolist()
+
+
 def test_windows_are_hashed_at_the_ends_of_their_runs(monkeypatch):
     """A run of some twenty windows takes two hashes, and the count of hot seeds those of frequent seeds alone."""
     hashed, plain = [], suffix_dedup._window_hashes

@@ -21,6 +21,7 @@ SHARD_BYTES = 4 << 20
 HOT = 1 << 16  # uses of a word as context that one shard takes; contexts of more are dealt to several
 RARE = 16  # uses in a part below which a part does not name a word when hot ones are sought
 END, BEGIN = np.uint64(1), np.uint64(2)  # stand for the end of a text and the context of its first word
+ASK_BYTES = 8 << 20  # texts that ask together; a larger part names its frequent words, pairs and triples less often
 LEVELS = 255  # codes of a quantised probability
 _STEP = 12.0 / (LEVELS - 1)  # decades per code
 BINS = 40  # of context counts, by powers of two
@@ -31,6 +32,29 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Planes of the differences of 32-bit keys, which are small where keys ascend."""
+    return planes(np.diff(keys, prepend=np.uint32(0)))
+
+
+def _keys(steps: np.ndarray) -> np.ndarray:
+    """The keys of ``_steps``; differences below zero have wrapped around."""
+    return np.cumsum(joined(steps, np.uint32), dtype=np.uint32)
+
+
+def _ranks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Planes of each id's place by frequency, which compress better than ids, and how often ids occur."""
+    times = np.bincount(ids, minlength=size)
+    place = np.empty(size, np.uint32)
+    place[np.argsort(-times, kind="stable")] = np.arange(size, dtype=np.uint32)
+    return planes(place[ids]), planes(_small(times))
+
+
+def _ids(ranks: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
+    times = joined(times, np.dtype(f"u{len(times) // size}")).astype(np.int64)
+    return np.argsort(-times, kind="stable")[joined(ranks, np.uint32)]
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     """Code of a probability on a log scale; 0 stands for 0."""
     with np.errstate(divide="ignore"):
@@ -119,7 +143,7 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray,
     for batch in batches:
         train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
         ids_of = batch.column("doc_id").to_numpy()
-        for first, end, data, offsets in bt.parts(batch.column("text"), 2 * bt.PART_BYTES):
+        for first, end, data, offsets in bt.parts(batch.column("text"), ASK_BYTES):
             part = (task << 32) | seen
             seen += 1
             hashes, row = _tokens(data, offsets)
@@ -140,7 +164,7 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray,
             pairs, pair, befores, _, triples, triple, deep = _grams(ids, last, context, row, size)
             times = np.bincount(pair[learn], minlength=len(pairs))
             times3 = np.bincount(triple[learn[deep]], minlength=len(triples))
-            key = (bt.mix64(vocab) >> np.uint64(32)).astype(np.uint32)
+            key = (vocab >> np.uint64(32)).astype(np.uint32)  # ascends with the ids
             lanes, at = np.unique(last[split] * shards + lane[split], return_index=True)
             lane_words = context[split][at]
             context, before_context = pairs // size, befores // size
@@ -151,7 +175,7 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray,
             triple_cuts = np.searchsorted(above, before_cuts)
             # the texts travel with the first question and come back with the answers
             blobs = [pack_arrays(
-                planes(ids.astype(np.uint32)), np.bincount(row, minlength=end - first), np.array([size, begin]),
+                *_ranks(ids, size), np.bincount(row, minlength=end - first), np.array([size, begin]),
                 planes(ids_of[first:end].astype(np.int64)), train[first:end].astype(np.uint8),
                 planes(_small(lane)), planes(lanes), planes(lane_words), level=1,
             )]
@@ -161,10 +185,10 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray,
                 n = cuts[s + 1] - cuts[s]
                 blobs.append(pack_arrays(
                     planes(np.diff(vocab[v], prepend=np.uint64(0))), _small(counts[v]),
-                    _small(np.bincount(context[p] - cuts[s], minlength=n)), key[pairs[p] % size], _small(times[p]),
-                    _small(np.bincount(before_context[b] - cuts[s], minlength=n)), key[befores[b] % size],
+                    _small(np.bincount(context[p] - cuts[s], minlength=n)), _steps(key[pairs[p] % size]), _small(times[p]),
+                    _small(np.bincount(before_context[b] - cuts[s], minlength=n)), _steps(key[befores[b] % size]),
                     _small(np.bincount(above[t] - before_cuts[s], minlength=before_cuts[s + 1] - before_cuts[s])),
-                    _small(after[t]), _small(times3[t]), level=1,
+                    planes(_small(after[t])), _small(times3[t]), level=3,
                 ))
                 rows.append(int(s))
                 kinds.append(1)
@@ -189,10 +213,12 @@ class Level:
         low, top = low.copy(), end.copy()
         if not len(self.keys):
             return low, np.zeros(len(low), bool)
-        while (go := low < top).any():
-            mid = (low + top) // 2
-            less = self.keys[np.minimum(mid, len(self.keys) - 1)] < key
-            low, top = np.where(go & less, mid + 1, low), np.where(go & ~less, mid, top)
+        go = np.flatnonzero(low < top)
+        while len(go):
+            mid = (low[go] + top[go]) // 2
+            less = self.keys[mid] < key[go]
+            low[go[less]], top[go[~less]] = mid[less] + 1, mid[~less]
+            go = go[low[go] < top[go]]
         return low, (low < end) & (self.keys[np.minimum(low, len(self.keys) - 1)] == key)
 
     def count(self, low: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -250,6 +276,9 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     asked = rows[rows["kind"] == 1]
     parts = [unpack_arrays(b) for b in asked["blob"]]
     if parts:
+        for p in parts:
+            p[3], p[6] = _keys(p[3]), _keys(p[6])
+            p[8] = joined(p[8], np.dtype(f"u{len(p[8]) // max(len(p[9]), 1) or 1}")).astype(np.int64)
         words = [np.cumsum(joined(p[0], np.uint64), dtype=np.uint64) for p in parts]
         known, inverse = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
@@ -271,16 +300,21 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(known, counts, *pairs, ((longer >> shift).astype(np.int64), (longer & wide(0xFFFFFFFF)).astype(np.uint32)), third)
         shard = int(asked["shard"].iat[0])
         out.append((-1 - shard, shard, 2, pack_arrays(np.array([counts.sum(), (counts > 0).sum()], float), np.array([(counts.astype(float) ** 2).sum()]))))
-        for part, w, p, child3 in zip(asked["part"], words, parts, keys3):
-            where, _ = trie.find(w)
-            low, end = (np.repeat(x, p[2]) for x in trie.behind.range(where))
-            found = trie.behind.count(low, end, p[3])
-            low, end = (np.repeat(x, p[5]) for x in trie.longer.range(where))
-            pair, same = trie.longer.find(low, end, p[6])
-            low, end = trie.third.range(np.where(same, pair, 0)) if len(longer) else (np.zeros(len(pair), np.int64),) * 2
-            end = np.where(same, end, low)
-            found3 = trie.third.count(np.repeat(low, p[7]), np.repeat(end, p[7]), child3)
-            out.append((part, shard, 1, pack_arrays(_small(np.asarray(trie.counts)[where]), _small(found), _small(found3), level=1)))
+        # the questions of all parts at once
+        degree, child, degree_b, before, degree3 = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 5, 6, 7))
+        where = trie.find(known)[0]
+        low, end = (np.repeat(x[inverse], degree) for x in trie.behind.range(where))
+        found = trie.behind.count(low, end, child)
+        low, end = (np.repeat(x[inverse], degree_b) for x in trie.longer.range(where))
+        pair, same = trie.longer.find(low, end, before)
+        low, end = trie.third.range(np.where(same, pair, 0)) if len(longer) else (np.zeros(len(pair), np.int64),) * 2
+        end = np.where(same, end, low)
+        found3 = trie.third.count(np.repeat(low, degree3), np.repeat(end, degree3), np.concatenate(keys3))
+        answers = [np.asarray(trie.counts)[where][inverse], found, found3]
+        for i, sizes in enumerate(([len(w) for w in words], [len(p[3]) for p in parts], [len(k) for k in keys3])):
+            answers[i] = np.split(answers[i], np.cumsum(sizes)[:-1])
+        for part, *answer in zip(asked["part"], *answers):
+            out.append((part, shard, 1, pack_arrays(*map(_small, answer), level=3)))
     return pd.DataFrame(out, columns=["part", "shard", "kind", "blob"])
 
 
@@ -301,8 +335,8 @@ def _merge(rows: pd.DataFrame, shards: int) -> pd.DataFrame:
     rows = rows.drop_duplicates(["kind", "shard"]).sort_values("shard")
     if (rows["kind"] == 2).any():
         return pd.DataFrame({"blob": [None], "stats": [pack_arrays(*[np.zeros(BINS)] * 4, *unpack_arrays(rows["blob"].iat[0]))]})
-    ids, length, (size, begin), doc, train, lane, lanes, lane_words = unpack_arrays(rows[rows["kind"] == 0]["blob"].iat[0])
-    ids = joined(ids, np.uint32).astype(np.int64)
+    ranks, often, length, (size, begin), doc, train, lane, lanes, lane_words = unpack_arrays(rows[rows["kind"] == 0]["blob"].iat[0])
+    ids = _ids(ranks, often, int(size))
     row = np.repeat(np.arange(len(length)), length)
     last = _before(ids, row, int(begin))
     lane = joined(lane, np.dtype(f"u{len(lane) // len(ids)}")).astype(np.int64)
