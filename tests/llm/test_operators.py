@@ -309,6 +309,26 @@ def test_questions_of_all_parts_are_answered_at_once(monkeypatch):
     assert language_model._ids(*travelled, 4).tolist() == ids.tolist()
 
 
+def test_frequent_words_travel_as_codes(llm, monkeypatch):
+    """Questions name listed words by 16-bit codes, the others as before, and shards read the same from both."""
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 5000)) for i in range(200)]
+    df = llm.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(language_model, "COMMON", 300)
+    none, common = language_model._frequent(df, 400_000, 4)
+    assert not len(none[0]) and len(common.words) == 300
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs], "train": [True] * len(docs)})
+    monkeypatch.setattr(language_model.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    plain, coded = (next(language_model._ask(iter([batch]), 4, none, c)).to_pandas() for c in (language_model.NO_WORDS, common))
+    assert coded["blob"].map(len).sum() < 0.85 * plain["blob"].map(len).sum()
+    for x, y in zip(plain["blob"][1:], coded["blob"][1:]):
+        for a, b in zip(language_model._question(x, language_model.NO_WORDS), language_model._question(y, common)):
+            assert a.tolist() == b.tolist()
+    # a batch a little over the size of a part is one part
+    monkeypatch.setattr(language_model, "ASK_BYTES", sum(len(t) for _, t in docs) - 10)
+    assert len(list(language_model._ask(iter([batch]), 4, none, common))) == 1
+
+
 def test_windows_are_hashed_at_the_ends_of_their_runs(monkeypatch):
     """A run of some twenty windows takes two hashes, and the count of hot seeds those of frequent seeds alone."""
     hashed, plain = [], suffix_dedup._window_hashes

@@ -7,6 +7,17 @@ import tempfile
 import numpy as np
 
 _SELECT_ROWS = 1 << 16
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_NTH = np.argsort(1 - _BITS, axis=1, kind="stable").astype(np.int64)  # place of the n-th one of a byte, from 0
+
+
+def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one, from 1, of each word of 64 bits."""
+    split = words.view(np.uint8).reshape(-1, 8)
+    ones = np.cumsum(np.bitwise_count(split), axis=1, dtype=np.uint8)
+    byte, row = (ones >= k[:, None]).argmax(axis=1), np.arange(len(words))
+    split = split[row, byte]
+    return byte * 8 + _NTH[split, k - ones[row, byte] + np.bitwise_count(split) - 1]
 
 
 def mapped(array: np.ndarray) -> np.ndarray:
@@ -67,9 +78,7 @@ class EliasFano:
             i = asked[a : a + _SELECT_ROWS]
             k = high[i]  # the k-th zero, from 1
             word = np.searchsorted(self.zeros, k, "left") - 1
-            bits = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            place = (np.cumsum(1 - bits, axis=1, dtype=np.int16) >= (k - self.zeros[word])[:, None]).argmax(axis=1)
-            out[i] = word * 64 + place + 1 - k
+            out[i] = word * 64 + _select(~words[word], k - self.zeros[word]) + 1 - k
         return out
 
     def at(self, i: np.ndarray) -> np.ndarray:
@@ -80,9 +89,7 @@ class EliasFano:
         for a in range(0, len(i), _SELECT_ROWS):
             k = i[a : a + _SELECT_ROWS] + 1  # the k-th one, from 1
             word = np.searchsorted(ones, k, "left") - 1
-            bits = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            place = (np.cumsum(bits, axis=1, dtype=np.int16) >= (k - ones[word])[:, None]).argmax(axis=1)
-            out[a : a + _SELECT_ROWS] = word * 64 + place + 1 - k
+            out[a : a + _SELECT_ROWS] = word * 64 + _select(words[word], k - ones[word]) + 1 - k
         return (out << self.low_bits) | self._low(i).astype(np.int64)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,8 @@ HOT = 1 << 16  # uses of a word as context that one shard takes; contexts of mor
 RARE = 16  # uses in a part below which a part does not name a word when hot ones are sought
 END, BEGIN = np.uint64(1), np.uint64(2)  # stand for the end of a text and the context of its first word
 ASK_BYTES = 8 << 20  # texts that ask together; a larger part names its frequent words, pairs and triples less often
+COMMON = (1 << 16) - 1  # frequent words that travel as 16-bit codes instead of hashes
+COMMON_BYTES = 64 << 20  # text from which they are chosen; the choice changes sizes, never results
 LEVELS = 255  # codes of a quantised probability
 _STEP = 12.0 / (LEVELS - 1)  # decades per code
 BINS = 40  # of context counts, by powers of two
@@ -42,6 +44,42 @@ def _keys(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(joined(steps, np.uint32), dtype=np.uint32)
 
 
+class Common:
+    """Frequent words, known to all tasks: their codes count from 1 in order of frequency, 0 stands for all other words."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        order = np.argsort(words)
+        self.words, self.codes = words[order], (order + 1).astype(np.uint16)
+        self.keys = np.concatenate([[np.uint64(0)], words >> np.uint64(32)]).astype(np.uint32)
+
+    def code(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.uint16)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.codes[at], np.uint16(0))
+
+    def pack(self, words: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending words as steps between the places of common ones and steps between the others."""
+        places = np.searchsorted(self.words, words[codes > 0]).astype(np.uint16)
+        return planes(np.diff(places, prepend=np.uint16(0))), planes(np.diff(words[codes == 0], prepend=np.uint64(0)))
+
+    def unpack(self, places: np.ndarray, others: np.ndarray) -> np.ndarray:
+        places = np.cumsum(joined(places, np.uint16), dtype=np.uint16)
+        return np.sort(np.concatenate([self.words[places], np.cumsum(joined(others, np.uint64), dtype=np.uint64)]))
+
+    def pack_keys(self, keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return planes(codes), _steps(keys[codes == 0])
+
+    def unpack_keys(self, codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        codes = joined(codes, np.uint16)
+        keys = self.keys[codes]
+        keys[codes == 0] = _keys(others)
+        return keys
+
+
+NO_WORDS = Common(np.empty(0, np.uint64))
+
+
 def _ranks(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Planes of each id's place by frequency, which compress better than ids, and how often ids occur."""
     times = np.bincount(ids, minlength=size)
@@ -78,27 +116,39 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[order], row[order]
 
 
-def _context_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """How often each part has the words it has ``least`` times or more as contexts."""
+def _context_counts(batches: Iterator[pa.RecordBatch], least: int, every: int) -> Iterator[pa.RecordBatch]:
+    """How often each part has the words it has ``least`` times or more as contexts; one part of ``every`` also tells
+    how often it has the words it has twice or more (``seen``)."""
+    part = TaskContext.get().partitionId()
     for batch in batches:
         for _, _, data, offsets in bt.parts(batch.column("text"), 2 * bt.PART_BYTES):
             words, times = np.unique(_tokens(data, offsets)[0], return_counts=True)
             words[words == END] = BEGIN  # as many texts begin as end
-            many = times >= least
-            yield pa.RecordBatch.from_arrays([pa.array(words[many].view(np.int64)), pa.array(times[many])], ["word", "times"])
+            seen = np.where((times > 1) & (part % every == 0), times, 0)
+            times[times < least] = 0
+            told = (times > 0) | (seen > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)[told]), pa.array(times[told]), pa.array(seen[told])], ["word", "times", "seen"])
+            part += 1
 
 
-def _hot(rows: DataFrame, size: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts with more uses than ``HOT``, and over how many shards each is dealt.
+def _frequent(rows: DataFrame, size: int, shards: int) -> tuple[tuple[np.ndarray, np.ndarray], Common]:
+    """Contexts with more uses than ``HOT``, and over how many shards each is dealt; words that travel as codes.
 
     A part leaves out what it has less than its share of ``HOT`` of, or less than ``RARE``: so much is missed at most.
     """
     least = max(HOT // (2 * (1 + size // (2 * bt.PART_BYTES))), RARE)
-    found = rows.select("text").mapInArrow(partial(_context_counts, least=least), "word long, times long")
-    found = found.groupBy("word").agg(F.sum("times").alias("times")).where(F.col("times") > HOT // 2).toPandas()
-    words, times = found["word"].to_numpy(np.int64).view(np.uint64), found["times"].to_numpy(np.int64)
+    every = -(-size // COMMON_BYTES) or 1
+    found = rows.select("text").mapInArrow(partial(_context_counts, least=least, every=every), "word long, times long, seen long")
+    found = save(found.groupBy("word").agg(F.sum("times").alias("times"), F.sum("seen").alias("seen")))
+    hot = found.where(F.col("times") > HOT // 2).select("word", "times").toPandas()
+    words, times = hot["word"].to_numpy(np.int64).view(np.uint64), hot["times"].to_numpy(np.int64)
     order = np.argsort(words)
-    return words[order], np.minimum(-(-times // (HOT // 2)), shards)[order]
+    common = found.where("seen > 0").orderBy(F.desc("seen"), "word").select("word").limit(COMMON).toPandas()
+    return (words[order], np.minimum(-(-times // (HOT // 2)), shards)[order]), Common(common["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def _hot(rows: DataFrame, size: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    return _frequent(rows, size, shards)[0]
 
 
 def _lanes(words: np.ndarray, ids: np.ndarray, context: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,18 +173,31 @@ def _before(ids: np.ndarray, row: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the index of each; keys and places are sorted as one number where they fit into 63 bits."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> (63 - bits):
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << bits) | np.arange(len(keys)))
+    at, both = both & ((1 << bits) - 1), both >> bits
+    first = np.concatenate([[True], both[1:] != both[:-1]])
+    index = np.empty(len(keys), np.int64)
+    index[at] = np.cumsum(first) - 1
+    return both[first], index
+
+
 def _grams(ids: np.ndarray, last: np.ndarray, context: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """Distinct pairs (context, word), longer contexts (context, word before it) and triples (longer context, pair) of
     the texts, each followed by the index of every token in it; tokens behind two others of their text (the begin
     counts) have triples, and the last result says which they are. ``context`` is ``last``, the word before, or its lane."""
-    pairs, pair = np.unique(context * size + ids, return_inverse=True)
+    pairs, pair = _distinct(context * size + ids)
     deep = np.flatnonzero(row[1:] == row[:-1]) + 1
-    befores, before = np.unique(context[deep] * size + last[deep - 1], return_inverse=True)
-    triples, triple = np.unique(before * max(len(pairs), 1) + pair[deep], return_inverse=True)
+    befores, before = _distinct(context[deep] * size + last[deep - 1])
+    triples, triple = _distinct(before * max(len(pairs), 1) + pair[deep])
     return pairs, pair, befores, before, triples, triple, deep
 
 
-def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray, np.ndarray], common: Common = NO_WORDS) -> Iterator[pa.RecordBatch]:
     """Per part of the input: its texts as local word ids, and for every shard its words, the distinct words behind and
     before them in the part, and the distinct triples around them, with training counts (0: only asked for). The lanes
     of a hot context are words of their own, which no text has."""
@@ -143,7 +206,9 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray,
     for batch in batches:
         train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
         ids_of = batch.column("doc_id").to_numpy()
-        for first, end, data, offsets in bt.parts(batch.column("text"), ASK_BYTES):
+        total = len(bt.text_bytes(batch.column("text"))[0])
+        size = total // max(1, total // ASK_BYTES) + ASK_BYTES // 64  # no part for what a batch has over
+        for first, end, data, offsets in bt.parts(batch.column("text"), size):
             part = (task << 32) | seen
             seen += 1
             hashes, row = _tokens(data, offsets)
@@ -164,7 +229,7 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray,
             pairs, pair, befores, _, triples, triple, deep = _grams(ids, last, context, row, size)
             times = np.bincount(pair[learn], minlength=len(pairs))
             times3 = np.bincount(triple[learn[deep]], minlength=len(triples))
-            key = (vocab >> np.uint64(32)).astype(np.uint32)  # ascends with the ids
+            key, code = (vocab >> np.uint64(32)).astype(np.uint32), common.code(vocab)  # keys ascend with the ids
             lanes, at = np.unique(last[split] * shards + lane[split], return_index=True)
             lane_words = context[split][at]
             context, before_context = pairs // size, befores // size
@@ -183,10 +248,11 @@ def _ask(batches: Iterator[pa.RecordBatch], shards: int, hot: tuple[np.ndarray,
             for s in np.flatnonzero(np.diff(cuts)):
                 v, p, b, t = (slice(c[s], c[s + 1]) for c in (cuts, pair_cuts, before_cuts, triple_cuts))
                 n = cuts[s + 1] - cuts[s]
+                child, before = pairs[p] % size, befores[b] % size
                 blobs.append(pack_arrays(
-                    planes(np.diff(vocab[v], prepend=np.uint64(0))), _small(counts[v]),
-                    _small(np.bincount(context[p] - cuts[s], minlength=n)), _steps(key[pairs[p] % size]), _small(times[p]),
-                    _small(np.bincount(before_context[b] - cuts[s], minlength=n)), _steps(key[befores[b] % size]),
+                    *common.pack(vocab[v], code[v]), *common.pack_keys(key[child], code[child]), *common.pack_keys(key[before], code[before]),
+                    _small(counts[v]), _small(np.bincount(context[p] - cuts[s], minlength=n)), _small(times[p]),
+                    _small(np.bincount(before_context[b] - cuts[s], minlength=n)),
                     _small(np.bincount(above[t] - before_cuts[s], minlength=before_cuts[s + 1] - before_cuts[s])),
                     planes(_small(after[t])), _small(times3[t]), level=3,
                 ))
@@ -210,16 +276,19 @@ class Level:
 
     def find(self, low: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each key inside its range, and whether it is there."""
-        low, top = low.copy(), end.copy()
-        if not len(self.keys):
+        low, keys = low.copy(), np.asarray(self.keys)
+        if not len(keys):
             return low, np.zeros(len(low), bool)
-        go = np.flatnonzero(low < top)
+        go = np.flatnonzero(low < end)
+        first, top, want = low[go], end[go], key[go]
         while len(go):
-            mid = (low[go] + top[go]) // 2
-            less = self.keys[mid] < key[go]
-            low[go[less]], top[go[~less]] = mid[less] + 1, mid[~less]
-            go = go[low[go] < top[go]]
-        return low, (low < end) & (self.keys[np.minimum(low, len(self.keys) - 1)] == key)
+            mid = (first + top) >> 1
+            less = keys[mid] < want
+            first, top = np.where(less, mid + 1, first), np.where(less, top, mid)
+            found = first == top
+            low[go[found]] = first[found]
+            go, first, top, want = (x[~found] for x in (go, first, top, want))
+        return low, (low < end) & (keys[np.minimum(low, len(keys) - 1)] == key)
 
     def count(self, low: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Counts of the keys, 0 where the parent never had the key."""
@@ -270,16 +339,23 @@ def _unique_sums(key: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.nda
     return (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32), summed
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+def _question(blob: bytes, common: Common) -> tuple[np.ndarray, ...]:
+    """Words, their counts, successors (degree, key, times), words before them (degree, key) and triples (degree, place, times)."""
+    places, others, child, child_others, before, before_others, counts, degree, times, degree_b, degree3, after, times3 = unpack_arrays(blob)
+    after = joined(after, np.dtype(f"u{len(after) // max(len(times3), 1) or 1}")).astype(np.int64)
+    return (
+        common.unpack(places, others), counts, degree, common.unpack_keys(child, child_others), times,
+        degree_b, common.unpack_keys(before, before_others), degree3, after, times3,
+    )
+
+
+def _answer(rows: pd.DataFrame, common: Common = NO_WORDS) -> pd.DataFrame:
     """Build one shard's trie from the training counts of all parts and answer every part's questions with it."""
     out = [(r.part, r.shard, 0, r.blob) for r in rows[rows["kind"] == 0].itertuples()]
     asked = rows[rows["kind"] == 1]
-    parts = [unpack_arrays(b) for b in asked["blob"]]
+    parts = [_question(b, common) for b in asked["blob"]]
     if parts:
-        for p in parts:
-            p[3], p[6] = _keys(p[3]), _keys(p[6])
-            p[8] = joined(p[8], np.dtype(f"u{len(p[8]) // max(len(p[9]), 1) or 1}")).astype(np.int64)
-        words = [np.cumsum(joined(p[0], np.uint64), dtype=np.uint64) for p in parts]
+        words = [p[0] for p in parts]
         known, inverse = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
         wide, shift = np.uint64, np.uint64(32)
@@ -396,7 +472,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     Parts of the input ask shards about their distinct words, the words behind and before them and the triples around
     them, with their training counts; a shard sums the counts into a trie and answers with counts. Frequent words are
-    thus sent once per part. The number of shards grows with the text, and no part of the model is sent whole to any task.
+    thus sent once per part, as codes of a list of ``COMMON`` words. The number of shards grows with the text, and no part of the model is sent whole to any task.
 
     Contexts of many uses are found by a count first, and their successors are dealt to several shards by hash. Shards
     answer with counts, so no total is split: a context occurs as often as its word or pair, which one shard counts.
@@ -404,9 +480,13 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     rows = docs.select("doc_id", whole_text(docs).alias("text"), train.alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // SHARD_BYTES))
-    hot = _hot(rows, size, shards)
-    asked = rows.mapInArrow(partial(_ask, shards=shards, hot=hot), "shard long, part long, kind long, blob binary")
-    answered = asked.repartition(shards, "shard").groupBy("shard").applyInPandas(_answer, "part long, shard long, kind long, blob binary")
+    hot, common = _frequent(rows, size, shards)
+    asked = rows.mapInArrow(partial(_ask, shards=shards, hot=hot, common=common), "shard long, part long, kind long, blob binary")
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        return _answer(rows, common)
+
+    answered = asked.repartition(shards, "shard").groupBy("shard").applyInPandas(answer, "part long, shard long, kind long, blob binary")
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         return _merge(rows, shards)
