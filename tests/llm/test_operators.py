@@ -309,6 +309,39 @@ def test_questions_of_all_parts_are_answered_at_once(monkeypatch):
     assert language_model._ids(*travelled, 4).tolist() == ids.tolist()
 
 
+def test_small_buckets_share_a_call():
+    """Blocks of several buckets at once give the pairs of each alone, and rows of different buckets never meet."""
+    rng = np.random.default_rng(5)
+    base, rows = rng.integers(0, 256, (3, 200), np.uint8), []
+    folded = [np.unique(rng.integers(0, 2**32, 300, np.uint32)) for _ in base]
+    for key, ci, cj, size in ((3, 0, 0, 2), (7, 0, 0, 40), (8, 0, 1, 30), (9, 1, 1, 9)):
+        for x in range(size):
+            kind, small = x % 3, base[x % 3].copy()
+            small[rng.random(200) < 0.3 * rng.random()] += 1
+            rows.append({
+                "key": key, "ci": ci, "cj": cj, "chunk": ci if x % 2 else cj, "n": 300 + x % 5, "comp": x % 7, "hi": x, "lo": key,
+                "small": small.tobytes(), "bands": np.array([100 + x % 4, *range(1000 + 50 * x, 1038 + 50 * x), key]), "folded": folded[kind].tobytes(),
+            })
+    rows = pd.DataFrame(rows)
+    for best in (True, False):
+        alone = [near_dedup._across(r, 80, best, 302) for _, r in rows.groupby("key")]
+        got = near_dedup._across(rows.sample(frac=1, random_state=1), 80, best, 302)
+        assert len(got) and (got["alo"] == got["blo"]).all()
+        assert len(got) == sum(map(len, alone))
+    # the plain way: every two rows of a bucket once, the first common band decides
+    pairs = set()
+    for (key, ci, cj), r in rows.groupby(["key", "ci", "cj"]):
+        r = r.to_dict("records")
+        for i, a in enumerate(r):
+            for b in r[i + 1 :]:
+                like = np.mean(np.frombuffer(a["small"], np.uint8) == np.frombuffer(b["small"], np.uint8))
+                meet = ci == cj or a["chunk"] != b["chunk"]
+                same = a["folded"] == b["folded"] or max(a["n"], b["n"]) > 302
+                if meet and same and a["comp"] != b["comp"] and like >= 0.65 and a["bands"][a["bands"] == b["bands"]][0] == key:
+                    pairs.add((key, min(a["hi"], b["hi"]), max(a["hi"], b["hi"])))
+    assert {(r.alo, min(r.ahi, r.bhi), max(r.ahi, r.bhi)) for r in got.itertuples()} == pairs
+
+
 def test_frequent_words_travel_as_codes(llm, monkeypatch):
     """Questions name listed words by 16-bit codes, the others as before, and shards read the same from both."""
     rng = np.random.default_rng(4)

@@ -19,6 +19,9 @@ from trailmark.llm.components import components
 BANDS, ROWS = 40, 5  # a pair at similarity 0.8 misses all bands once in 8 million
 SLACK = 0.15  # five standard errors of a similarity estimated from BANDS * ROWS coordinates
 BLOCK = 512  # rows of a bucket compared at once
+PACK = 4096  # rows of small buckets given to a task's function at once
+PAIRS = 1 << 15  # pairs whose signatures are compared at once
+FEW = 1 << 16  # classes whose texts are found by a broadcast
 WIDE = 4096  # sets up to this size are compared in their block, 16 KB each; wider ones by estimate, then by join
 
 
@@ -133,36 +136,56 @@ def _may_link(x: np.ndarray, others: list[np.ndarray], n: int, sizes: np.ndarray
     return 100 * both >= percent * (n + sizes - both)
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bytes of each row agree; rows have a multiple of 8 bytes and less than 256, so eight sums fit into one number."""
+    return (((x == y).view(np.uint64).sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+
+
 def _across(rows: pd.DataFrame, percent: int, best: bool, limit: int) -> pd.DataFrame:
-    """Pairs of one bucket's two blocks whose components differ and whose sizes, estimates and sets allow a link.
+    """Pairs of two blocks of a bucket whose components differ and whose sizes, estimates and sets allow a link.
 
-    A pair that meets in several buckets is given by the first of them. ``best``: only each row's likeliest partner.
+    ``rows`` hold one pair of blocks or several, of different buckets. A pair that meets in several buckets is given by
+    the first of them. ``best``: only each row's likeliest partner.
     """
-    key, ci, cj = rows["key"].iat[0], rows["ci"].iat[0], rows["cj"].iat[0]
-    chunk, n, comp, hi, lo = (rows[c].to_numpy() for c in ("chunk", "n", "comp", "hi", "lo"))
+    rows = rows.sort_values(["key", "ci", "cj", "chunk"])
+    key, ci, cj, chunk, n, comp, hi, lo = (rows[c].to_numpy() for c in ("key", "ci", "cj", "chunk", "n", "comp", "hi", "lo"))
     small = np.frombuffer(b"".join(rows["small"]), np.uint8).reshape(len(rows), -1)
-    bands = np.stack(rows["bands"].to_numpy())
-    sets = None if best else [None if s is None else np.frombuffer(s, np.uint32) for s in rows["folded"]]
-    wide = n > limit
-    left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
-    found = []
-    for at, i in enumerate(left):
-        to = right[at + 1 :] if ci == cj and not best else right
-        to = to[(comp[to] != comp[i]) & (np.minimum(n[to], n[i]) * 100 >= percent * np.maximum(n[to], n[i]))]
-        if not len(to):
-            continue
-        like = (small[to] == small[i]).mean(axis=1)
+    at, left = np.arange(len(rows)), chunk == ci
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ci[1:] != ci[:-1]) | (cj[1:] != cj[:-1])]))
+    sizes = np.diff(np.append(first, len(rows)))
+    # a row of the left block meets those of the right one; inside one block the rows behind it, or all for the best
+    start = np.where(ci < cj, np.repeat(first + np.add.reduceat(left, first, dtype=np.int64), sizes), np.repeat(first, sizes) if best else at + 1)
+    count = np.where(left, np.repeat(first + sizes, sizes) - start, 0)
+    ends = np.cumsum(count)
+    if not best:
+        bands, wide = np.stack(rows["bands"].to_numpy()), n > limit
+        sets = [None if s is None else np.frombuffer(s, np.uint32) for s in rows["folded"]]
+    found, row = [], 0
+    while row < len(rows):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] - count[row] + PAIRS, "right")))
+        times = count[row:stop]
+        i = np.repeat(at[row:stop], times)
+        j = np.arange(len(i)) + np.repeat(start[row:stop] - np.cumsum(times) + times, times)
+        row = stop
+        may = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+        i, j = i[may], j[may]
+        like = _alike(small[i], small[j])
+        may = like / small.shape[1] >= percent / 100 - SLACK
+        i, j, like = i[may], j[may], like[may]
         if best:
-            to = to[[like.argmax()]] if like.max() >= percent / 100 - SLACK else to[:0]
+            order = np.lexsort((-like, i))
+            i, j = i[order], j[order]
+            may = np.diff(i, prepend=-1) > 0
         else:
-            to = to[like >= percent / 100 - SLACK]
-            to = to[bands[i][(bands[to] == bands[i]).argmax(axis=1)] == key]
-            near = to[~wide[to]]
-            if len(near) and not wide[i]:
-                near = near[_may_link(sets[i], [sets[j] for j in near], n[i], n[near], percent)]
-                to = np.concatenate([near, to[wide[to]]])
-        found += [(hi[i], lo[i], hi[j], lo[j]) for j in to]
-    return pd.DataFrame(found, columns=["ahi", "alo", "bhi", "blo"], dtype="int64")
+            may = bands[i, (bands[i] == bands[j]).argmax(axis=1)] == key[i]
+            i, j = i[may], j[may]
+            may = wide[i] | wide[j]
+            for k in np.unique(i[~may]):
+                near = np.flatnonzero((i == k) & ~may)
+                may[near] = _may_link(sets[k], [sets[x] for x in j[near]], n[k], n[j[near]], percent)
+        i, j = i[may], j[may]
+        found.append(np.stack([hi[i], lo[i], hi[j], lo[j]], axis=1))
+    return pd.DataFrame(np.concatenate(found), columns=["ahi", "alo", "bhi", "blo"], dtype="int64")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -238,7 +261,7 @@ def _left_over(
     left = placed.join(mixed.where("c0 <> c1").select("key", F.ceil(F.col("rows") / BLOCK).alias("chunks")), "key")
     classes = left.select("hi", "lo").distinct()
     small = signed.join(classes, ["hi", "lo"]).dropDuplicates(["hi", "lo"])
-    small = small.select("hi", "lo", "small", "bands", F.col("n_shingles").alias("n"))
+    small = small.select("hi", "lo", "small", F.col("n_shingles").alias("n"), *([] if best else ["bands"]))
     if not best:
         sets = _sets_of(rows, signed, classes.select(node.alias("node")), words, fold=wide)
         small = small.join(sets.select("node.hi", "node.lo", F.col("shingles").alias("folded")), ["hi", "lo"])
@@ -246,14 +269,18 @@ def _left_over(
     left = left.withColumn("chunk", F.pmod("lo", "chunks"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     left = left.select(
-        "key", *small.columns, "comp", "chunk",
+        "key", *small.columns, "comp", "chunk", "chunks",
         F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"),
     )
+    # most buckets are a few rows, so those of one block share a call; ``placed`` is counted from its files' footers
+    packs = F.lit(1 + placed.count() // PACK).cast("long")
+    pack = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("key"), packs)).otherwise(F.xxhash64("key", "ci", "cj"))
+    left = left.withColumn("pack", pack).drop("chunks")
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
         return _across(rows, percent, best, wide)
 
-    found = left.repartition(partitions(left.sparkSession), "key", "ci", "cj").groupBy("key", "ci", "cj")
+    found = left.repartition(partitions(left.sparkSession), "pack").groupBy("pack")
     pairs = found.applyInPandas(across, "ahi long, alo long, bhi long, blo long")
     a = F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo"))
     return _ordered(pairs.select(a.alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b")))
@@ -262,7 +289,9 @@ def _left_over(
 def _sets_of(rows: DataFrame, signed: DataFrame, nodes: DataFrame, words: int, fold: int | None = None) -> DataFrame:
     """The shingle sets of the classes in ``nodes``, folded up to that size if ``fold`` is given."""
     text_of = signed.where("hi is not null").select(F.struct("hi", "lo").alias("node"), "of").join(nodes, "node")
-    text_of = text_of.groupBy("node").agg(F.min("of").alias("of"))
+    text_of = save(text_of.groupBy("node").agg(F.min("of").alias("of")))
+    if text_of.count() <= FEW:
+        text_of = F.broadcast(text_of)
     texts = rows.join(text_of, "of").groupBy("node").agg(F.first("text").alias("text"))
     return save(texts.mapInArrow(partial(_sets, words=words, fold=fold), "node struct<hi:long,lo:long>, shingles binary"))
 
