@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trailmark.llm import elias_fano, fingerprints, language_model, near_dedup, nearest, suffix_dedup, toxicity
+from trailmark.llm import elias_fano, fingerprints, language_model, near_dedup, nearest, quality, suffix_dedup, toxicity
 from trailmark.llm.line_dedup import drop_repeated_lines
 from trailmark.llm.mixing import mix
 from trailmark.llm.near_dedup import near_duplicates
@@ -412,6 +412,37 @@ def test_quality_of_odd_and_no_rows(llm, odd, none):
     assert rows_of(resample(none, labels)) == []
 
 
+def test_quality_learns_from_every_labelled_document(llm, monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(rng.choice([f"w{j}" for j in range(40 + i % 50)], 30))) for i in range(300)]
+    good = [i for i in range(300) if i % 3]
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "TARGETS", 20, raising=False)  # no bound on them is left
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 50, raising=False)  # ids meet the texts by a shuffle
+    raw, target, own = np.ones(quality.BUCKETS), np.zeros(quality.BUCKETS), {}
+    for i, t in docs:
+        data = np.frombuffer(t.encode(), np.uint8)
+        own[i] = np.bincount(quality.ngram_buckets(data, np.array([0, len(data)]))[0], minlength=quality.BUCKETS)
+        raw += own[i]
+        target += own[i] * (i % 3 > 0)
+    target += raw / raw.sum() * max(1.0, quality.PRIOR * target.sum())
+    got = {r["doc_id"]: r for r in rows_of(resample(df, labels))}
+    for i, n in own.items():
+        mine = target - n * (i % 3 > 0)
+        ratio = np.log(mine, where=n > 0, out=np.zeros(len(n))) - np.log(mine.sum()) - np.log(raw / raw.sum())
+        assert abs(got[i]["log_weight"] - n @ ratio) < 1e-6
+    least = sorted(got[i]["key"] for i in good)[int(len(good) * quality.LOSS)]
+    assert all(r["kept"] == (r["key"] >= least) for r in got.values())
+
+
+@pytest.mark.parametrize("k", [0, 1, 37, 500])
+def test_quality_draws_a_given_number(llm, k):
+    docs = llm.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id") % 7, F.col("id") % 11).alias("text"))
+    got = rows_of(resample(docs, docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("quality")), k))
+    assert sorted((r["key"] for r in got if r["kept"]), reverse=True) == sorted((r["key"] for r in got), reverse=True)[:k]
+
+
 # ---- mixing ----
 
 
