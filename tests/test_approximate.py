@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.operators import approximate, search
 
@@ -56,3 +57,23 @@ def test_same_cells_again(clustered):
     _, _, v = clustered
     a, b = (sorted(map(tuple, approximate.fit_cells(v, 3, 2).cells(v).select("bank_row", "cell").collect())) for _ in range(2))
     assert a == b and len(a) == 3 * 3001
+
+
+def test_every_score_of_the_index_is_checked(spark, tmp_path, monkeypatch):
+    """The scores of the hits of lowest rank in the exact search are checked as well."""
+    from trailmark.plans import vectors as plans
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(a) for a in rng.normal(size=8)], 2 + i % 8) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    right = {r.view: r.all_scores_right for r in plans.approximate_recall(spark, str(tmp_path)).collect()}
+    assert len(right) == 3 and all(right.values())
+    best = approximate.search_states_approximate
+
+    def with_far_ones(q, meta, vec, index, *args, **options):
+        far = search.search_states(q, meta, vec, 60, -1.0, 2, overfetch=None).where("rank > 45").withColumn("score", F.col("score") + 0.5)
+        return best(q, meta, vec, index, *args, **options).unionByName(far)
+
+    monkeypatch.setattr(approximate, "search_states_approximate", with_far_ones)
+    wrong = {r.view: r.all_scores_right for r in plans.approximate_recall(spark, str(tmp_path)).collect()}
+    assert len(wrong) == 3 and not any(wrong.values())

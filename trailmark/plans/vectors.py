@@ -392,7 +392,8 @@ SELECT view, count(*) AS n_queries, true AS nine_of_ten_found, true AS all_score
 def approximate_recall(spark, d):
     """All rows ask the index and the exact search: are nine of ten neighbours found, and is every score the exact one?
 
-    The bank is the whole table in each of the three views.
+    The bank is the whole table in each of the three views. Each score the index gives is held against the cosine of
+    its two vectors, whatever rank the exact search gives the pair.
     """
     from trailmark.operators import approximate
 
@@ -401,15 +402,21 @@ def approximate_recall(spark, d):
     vec = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("bank_row"), every, "embedding")
     near = approximate.search_states_approximate(q, meta, vec, approximate.fit_cells(vec), 5, -1.0, 2)
     exact = search.search_states(q, meta, vec, 5, -1.0, 2, overfetch=None)
-    wide = search.search_states(q, meta, vec, 40, -1.0, 2, overfetch=None)
     hit = near.select("query_id", "view", "bank_row", F.col("score").alias("near"))
     found = exact.join(hit, ["query_id", "view", "bank_row"], "left").groupBy("view").agg(
         F.countDistinct("query_id").alias("n_queries"), (F.count("near") >= 0.9 * F.count(F.lit(1))).alias("nine_of_ten_found")
     )
-    scored = hit.join(wide.select("query_id", "view", "bank_row", "score"), ["query_id", "view", "bank_row"]).groupBy("view").agg(
-        F.bool_and(F.abs(F.col("near") - F.col("score")) < 1e-8).alias("all_scores_right")
-    )
-    return found.join(scored, "view")
+    return found.join(_scores_right(hit, q, vec), "view")
+
+
+def _scores_right(hit, queries, vectors):
+    """Per view: is the score of every hit the cosine of its two vectors? Where an id has several vectors one must give it."""
+    asked = queries.select("query_id", "view", VX.l2_normalize("embedding").alias("_q"))
+    stored_units = vectors.select("bank_row", "view", VX.l2_normalize("embedding").alias("_b"))
+    pairs = hit.join(asked, ["query_id", "view"]).join(stored_units, ["bank_row", "view"])
+    right = F.abs(F.col("near") - F.round(VX.dot("_q", "_b"), 9)) < 1e-8
+    one = pairs.groupBy("query_id", "view", "bank_row").agg(F.bool_or(right).alias("_right"))
+    return one.groupBy("view").agg(F.bool_and("_right").alias("all_scores_right"))
 
 
 @query("import_state_bank", B.sql("emb", body=f"""
