@@ -71,3 +71,26 @@ def test_one_element_over_many_ranges(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps(long))
     got = ranges.read_json_list(spark, f"{tmp_path}/l.json", 100).orderBy("position").select("position", F.length("raw").alias("n")).collect()
     assert [(r.position, r.n) for r in got] == [(0, 1), (1, 5003), (2, 9)]
+
+
+def test_a_file_has_one_writer_when_its_rows_are_many(spark, tmp_path):
+    """A join that becomes a broadcast join while it runs must not give the rows of one file to several tasks."""
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k",
+        "spark.sql.autoBroadcastJoinThreshold": "1k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    rows = spark.range(0, 24_000, 1, 8).select(
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("name"),
+        F.floor(F.col("id") / 3).alias("bank_row"), F.array(F.col("id").cast("float"), F.rand(1).cast("float")).alias("embedding"),
+    )
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        written = ranges.write_arrays(rows, str(tmp_path))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert written == 24_000
+    for i, name in enumerate("abc"):
+        assert np.load(tmp_path / f"{name}.npy")[:, 0].tolist() == [3.0 * n + i for n in range(8_000)]

@@ -165,9 +165,12 @@ def write_arrays(rows: DataFrame, folder: str, dtype: str = "<f4") -> int:
     An array file has one writer, which streams through its sorted rows. All vectors of a name have one length; rows
     without vector are not taken.
     """
+    # dealt by a column of its own: rows that a join or aggregate has dealt by name already would not be dealt again, and
+    # such a join may change its ways while it runs, which gives a file several writers
     kept = rows.where(F.col("embedding").isNotNull())
     shape = kept.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("embedding")).alias("_width"))
-    ordered = kept.join(shape, "name").repartition("name").sortWithinPartitions("name", "bank_row")
+    dealt = kept.join(shape, "name").withColumn("_writer", F.xxhash64("name")).repartition("_writer").drop("_writer")
+    ordered = dealt.sortWithinPartitions("name", "bank_row")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
