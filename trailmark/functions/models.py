@@ -16,6 +16,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,17 +49,27 @@ class HashEncoder:
 
     dim = 16
 
-    @staticmethod
-    def _one(text: str) -> np.ndarray:
-        raw = np.frombuffer(hashlib.md5(text.encode("utf-8")).digest(), dtype=np.uint8)
-        return (raw.astype(np.float64) / 255.0 - 0.5).astype(np.float32)
-
     def encode(self, texts: list[str], images: list[list[str]]) -> np.ndarray:
-        out = [
-            np.mean([self._one(f"{t}|{p}") for p in paths], axis=0) if paths else self._one(t)
-            for t, paths in zip(texts, images)
-        ]
-        return np.asarray(out, dtype=np.float32)
+        digests, n = [], np.ones(len(texts), np.int64)
+        for i, (text, paths) in enumerate(zip(texts, images)):
+            said = hashlib.md5(text.encode("utf-8"))
+            for path in paths:  # the text is read once, whatever images follow it
+                one = said.copy()
+                one.update(f"|{path}".encode("utf-8"))
+                digests.append(one.digest())
+            if not paths:
+                digests.append(said.digest())
+            n[i] = max(1, len(paths))
+        raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, self.dim)
+        vectors = (raw.astype(np.float64) / 255.0 - 0.5).astype(np.float32)
+        if len(vectors) == len(texts):
+            return vectors
+        first = np.cumsum(n) - n
+        total = vectors[first]
+        for j in range(1, int(n.max())):
+            more = np.flatnonzero(n > j)
+            total[more] += vectors[first[more] + j]
+        return total / n[:, None].astype(np.float32)
 
 
 def _retry(call: Callable[[], object], attempts: int, base: float, cap: float):
@@ -82,96 +93,44 @@ def embed(
     batch_size: int = 32,
     attempts: int = 3,
     base_delay: float = 0.5,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Add the vector of each row; client errors are retried with growing delay."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.ArrayType(T.FloatType()))])
+    """Add the vector of each row; client errors are retried with growing delay.
+
+    Of the other columns those in ``keep`` go on, all by default: texts that nobody reads later need not leave the task.
+    """
+    kept = df.columns if keep is None else keep
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = encoder()
         for batch in batches:
+            found = [pa.array([], pa.list_(pa.float32()))]
             for at in range(0, batch.num_rows, batch_size):  # a model's batch is all that becomes Python objects
                 part = batch.slice(at, batch_size)
                 texts = [t or "" for t in part.column(text).to_pylist()]
-                paths = [[p for p in ps or [] if p] for ps in part.column(images).to_pylist()] if images else [[] for _ in texts]
-                vectors = _retry(lambda: client.encode(texts, paths), attempts, base_delay, 3.0)
-                rows = pa.array([np.asarray(v, dtype=np.float32) for v in vectors], pa.list_(pa.float32()))
-                yield _with_column(part, name, rows)
+                paths = _filled(part.column(images)) if images else [[] for _ in texts]
+                found.append(_lists(_retry(lambda: client.encode(texts, paths), attempts, base_delay, 3.0)))
+            yield _with_column(batch.select(kept), name, pa.concat_arrays(found))
 
     return df.mapInArrow(run, schema)
 
 
-def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
-
-
-def annotate(self, prompt: str, images: list[str]) -> str: ...
-
-
-class Refused(Exception):
-    """Raised by an annotator for a prompt it will never answer; not retried."""
-
-
-class HashEncoder:
-    """Deterministic 16-number vectors from the text digest, for tests.
-
-    With images the vector is the mean over one vector per (text, image).
-    """
-
-    dim = 16
-
-    @staticmethod
-    def _one(text: str) -> np.ndarray:
-        raw = np.frombuffer(hashlib.md5(text.encode("utf-8")).digest(), dtype=np.uint8)
-        return (raw.astype(np.float64) / 255.0 - 0.5).astype(np.float32)
-
-    def encode(self, texts: list[str], images: list[list[str]]) -> np.ndarray:
-        out = [
-            np.mean([self._one(f"{t}|{p}") for p in paths], axis=0) if paths else self._one(t)
-            for t, paths in zip(texts, images)
-        ]
-        return np.asarray(out, dtype=np.float32)
-
-
-def _retry(call: Callable[[], object], attempts: int, base: float, cap: float):
-    for attempt in range(attempts):
-        try:
-            return call()
-        except Refused:
-            raise
-        except Exception:
-            if attempt == attempts - 1:
-                raise
-            time.sleep(min(base * 1.5**attempt, cap))
+def _filled(lists: pa.Array) -> list[list[str]]:
+    """The texts of each list, blanks and nulls left out."""
+    ends, values = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).tolist(), lists.flatten().to_pylist()
+    return [[v for v in values[a:b] if v] for a, b in zip(ends, ends[1:])]
 
 
-def embed(
-    df: DataFrame,
-    encoder: Callable[[], Encoder],
-    text: str = "text",
-    images: str | None = None,
-    name: str = "embedding",
-    batch_size: int = 32,
-    attempts: int = 3,
-    base_delay: float = 0.5,
-) -> DataFrame:
-    """Add the vector of each row; client errors are retried with growing delay."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.ArrayType(T.FloatType()))])
+def _lists(vectors: np.ndarray | list) -> pa.ListArray:
+    if isinstance(vectors, np.ndarray) and vectors.ndim == 2:
+        ends = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(vectors, np.float32).ravel()))
+    return pa.array([np.asarray(v, dtype=np.float32) for v in vectors], pa.list_(pa.float32()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = encoder()
-        for batch in batches:
-            vectors: list[np.ndarray] = []
-            for at in range(0, len(batch), batch_size):
-                part = batch.iloc[at : at + batch_size]
-                texts = [t or "" for t in part[text]]
-                paths = (
-                    [[p for p in (ps if ps is not None else []) if p] for ps in part[images]]
-                    if images else [[] for _ in texts]
-                )
-                vectors.extend(_retry(lambda: client.encode(texts, paths), attempts, base_delay, 3.0))
-            yield batch.assign(**{name: [np.asarray(v, dtype=np.float32) for v in vectors]})
 
-    return df.mapInPandas(run, schema)
+def _with_column(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, name])
 
 
 def annotate(
@@ -183,15 +142,19 @@ def annotate(
     name: str = "reply",
     attempts: int = 3,
     concurrency: int = 8,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Add the annotator's reply; rows without an acceptable reply are left out.
 
+    Of the other columns those in ``keep`` go on, all by default.
+
     An error or a reply that ``accept`` turns down counts as one attempt; a
     refusal ends the row at once. A task keeps ``concurrency`` calls in flight.
     Replies are not repeatable: write them out or checkpoint before using them
     twice.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.StringType())])
+    kept = df.columns if keep is None else keep
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.StringType())])
 
     def ask(client: Annotator, text: str, paths: list[str]) -> str | None:
         for _ in range(attempts):
@@ -213,7 +176,7 @@ def annotate(
                     part = batch.slice(at, ANNOTATED_ROWS)
                     known = [ps or [] for ps in part.column(images).to_pylist()] if images else [[]] * part.num_rows
                     replies = pa.array(list(pool.map(lambda t, p: ask(client, t, p), part.column(prompt).to_pylist(), known)), pa.string())
-                    yield _with_column(part, name, replies).filter(replies.is_valid())
+                    yield _with_column(part.select(kept), name, replies).filter(replies.is_valid())
 
     return df.mapInArrow(run, schema)
 

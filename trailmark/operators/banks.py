@@ -20,7 +20,7 @@ from trailmark.functions.jsons import extract_json, extract_json_object
 from trailmark.functions.text import index_text, prefix_task_id, strip
 from trailmark.operators.filters import filter_outcome, is_correct, non_empty
 from trailmark.operators.skew import number_ranges
-from trailmark.operators.trajectories import to_states, with_trajectory
+from trailmark.operators.trajectories import explode_views, to_states, with_trajectory
 from trailmark.schemas import VIEWS
 
 # ---- embeddings -------------------------------------------------------------
@@ -141,9 +141,9 @@ def annotated_states(
     trace's row, so attaching them needs no join: the last one per state wins,
     a state without one gets quality 5.
     """
-    replied = models.annotate(
-        _prompted(filter_outcome(traces, mode), "state", tools), annotator, _is_list_reply, images="images"
-    )
+    needed = ["task_id", "question", "sub_task", "images", "is_correct", "entries"]
+    asked = _prompted(filter_outcome(traces, mode), "state", tools).select(*needed, "prompt")
+    replied = models.annotate(asked, annotator, _is_list_reply, images="images", keep=needed)
     notes = F.from_json(
         extract_json("reply")["raw"], "array<struct<state:int,state_index:int,q_value:int,experience:string>>"
     )
@@ -191,14 +191,8 @@ def build_state_bank(
     state_text = V.compose_view("elements", F.lit(VIEWS[-1]))["text"]
     kept = save(states.withColumn("state_text", state_text).withColumn("available_views", V.available_views("elements")))
     meta = save(number_ranges(kept, ["task_id", "state"], "bank_row", save))
-    payload = (
-        meta.select("bank_row", "elements", F.explode_outer("available_views").alias("view"))
-        .where("view is not null")
-        .withColumn("p", V.compose_view("elements", "view"))
-        .select("bank_row", "view", F.col("p.text").alias("text"), F.col("p.images").alias("images"))
-    )
-    vectors = models.embed(payload, encoder, images="images", batch_size=batch_size)
-    return meta, save(vectors.select("bank_row", "view", "embedding"))
+    payload = explode_views(meta.select("bank_row", "elements"))
+    return meta, save(models.embed(payload, encoder, images="view_images", batch_size=batch_size, keep=["bank_row", "view"]))
 
 
 def build_trace_bank(
@@ -211,9 +205,9 @@ def build_trace_bank(
     batch_size: int = 32,
 ) -> DataFrame:
     """Trace bank table: one row per wanted trace with advice and a non-blank index text."""
-    replied = models.annotate(
-        _prompted(filter_outcome(traces, mode), "trace", tools), annotator, _is_object_reply, images="images"
-    )
+    needed = ["task_id", "question", "sub_task", "images", "is_correct"]
+    asked = _prompted(filter_outcome(traces, mode), "trace", tools).select(*needed, "prompt")
+    replied = models.annotate(asked, annotator, _is_object_reply, images="images", keep=needed)
     experience = strip(F.get_json_object(extract_json_object("reply"), "$.experience"))
     rows = replied.select(
         "task_id", experience.alias("experience"), _source().alias("source"),
@@ -221,8 +215,7 @@ def build_trace_bank(
     )
     kept = save(non_empty(rows, "experience", "text"))
     ranked = number_ranges(kept, ["task_id"], "bank_row", save)
-    embedded = models.embed(ranked, encoder, images="images", batch_size=batch_size)
-    return save(embedded.select("bank_row", "task_id", "experience", "source", "embedding"))
+    return save(models.embed(ranked, encoder, images="images", batch_size=batch_size, keep=["bank_row", "task_id", "experience", "source"]))
 
 
 def _is_object_reply(reply: str) -> bool:
