@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -103,8 +104,15 @@ class LengthAnnotator:
 
 
 def _saved(spark):
-    checkpoint_dir(spark)
-    return lambda df: df.checkpoint()
+    """Tables are written compressed and by columns, so that a later step reads the columns it needs."""
+    folder = checkpoint_dir(spark).rstrip("/")
+
+    def save(df):
+        path = f"{folder}/bank-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
 
 
 B.cte("built", f"""
